@@ -8,12 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import terms
+from . import leaks, mixing, site_lines, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 NORM = ["title_norm", "text_norm"]
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return site_lines.repeated_lines(table(spark, d, "documents")).select("doc_id", "line_no")
+
+
+def p4_clean_text(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return site_lines.without_lines(docs, site_lines.repeated_lines(docs))
+
+
+def p4_templates(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return site_lines.templates(site_lines.repeated_lines(docs), docs)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_term_frequencies(spark, d).filter("mark is not null").select("term", "mark")
 
@@ -33,6 +47,32 @@ def p6_term_scores(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("document_id", "term", "n", "records", F.round("score", 6).alias("score"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "benchmark")).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every item with the number of documents that hold it and the longest part found."""
+    items = table(spark, d, "benchmark")
+    found = leaks.leaked_items(table(spark, d, "documents"), items).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("run").alias("longest_run"))
+    return items.select("item_id").join(found, "item_id", "left").fillna(0, ["documents", "longest_run"])
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_shares(spark, d).filter("short").select("source")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The report: what each source was to give and gave."""
+    _, report = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return report.select("source", "target_share", "max_repeats", "tokens", "documents", "copies", "short", "reached", F.round("reached_share", 6).alias("reached_share"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    mixture, _ = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixture
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
