@@ -8,12 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import leaks, mixing, site_lines, terms
+from . import leaks, mixing, near_copies, site_lines, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 NORM = ["title_norm", "text_norm"]
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_copies.expanded(*near_copies.near_copies(table(spark, d, "documents"))).toDF("doc_id_a", "doc_id_b")
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every document that has a copy, with the group's id and its number of links between representatives."""
+    return near_copies.groups(*near_copies.near_copies(table(spark, d, "documents"))).toDF("doc_id", "class_id", "links")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.repeated_lines(table(spark, d, "documents")).select("doc_id", "line_no")
 

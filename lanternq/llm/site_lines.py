@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.urls import site
 from ..sources.staging import stage
 
-SPACES = re.compile("[ \t 　]+")
+SPACES = re.compile("[ \t\u00a0\u3000]+")
 DIGITS = re.compile("[0-9]+")
 TOKENS = re.compile(r"#|[^\W\d_]+|\d+|[^\w\s]|_")
 DEPTH = 3
