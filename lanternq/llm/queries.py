@@ -8,12 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import leaks, mixing, near_copies, site_lines, terms
+from . import encodings, leaks, mixing, near_copies, site_lines, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 NORM = ["title_norm", "text_norm"]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.wrong_lines(table(spark, d, "documents")).select("doc_id", "field").distinct()
+
+
+def p1_restored(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return encodings.restored(docs, encodings.wrong_lines(docs))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return near_copies.expanded(*near_copies.near_copies(table(spark, d, "documents"))).toDF("doc_id_a", "doc_id_b")
 
