@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -47,10 +47,15 @@ LOST = len(KEYS)
 PAIR_BITS = 19
 #: A line counts from this gain (in nats) on, a field from this sum of the gains of its lines on.
 LINE_GAIN, FIELD_GAIN = 4.0, 9.0
+CYRILLIC = ("cp866", "cp1251")
+#: A page is no candidate for a line if it lacks this share of the odd characters.
+MOST_FOREIGN = 0.6
+#: Nats for a line that is valid UTF-8 by its bytes, which chance hardly makes; fewest Han, kana or Hangul that a two-byte page restores.
+VALID_GAIN, FEWEST = 5.0, 4
 UTF8 = rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf4][\x80-\xbf]{3})"
 RUNS = {1: re.compile(UTF8 + rb"+"), 3: re.compile(UTF8 + rb"{3,}")}
 #: Letters that clean text of the common scripts is made of; a line of nothing else but frequent Han is not looked at.
-PLAIN = re.compile("[\t -~«°±·»×฀-๿ऀ-ॿ‐-‧‰′″　-】぀-ヿ！-～]+")
+PLAIN = re.compile("[\\t -~\\u00a0©«\\u00ad®°±·»×฀-๿ऀ-ॿ\\u2000-\\u200d‐-‧\\u202f‰′″\\u205f\\u2060⼀-⿕\\u3000-】぀-ヿ\\ufeff！-～｡-ﾟ]+")
 OPENING, CLOSING = "“\"‘「『'（([《", "”\"’」』'）)]》"
 GARBAGE = "锟斤拷"
 
@@ -62,44 +67,32 @@ def single_table(page: str) -> str:
 
 
 @lru_cache(maxsize=None)
-def shown_bytes(page: str) -> Callable[[str], list[tuple[str, bytes | None]]]:
-    """A function that cuts a line into (text, bytes) parts; bytes is None where the page lacks the characters."""
+def page_bytes(page: str) -> tuple[np.ndarray, np.ndarray | None]:
+    """Which code points a page has, and for a single-byte page the byte of each."""
+    has, byte = np.zeros(MAX_CP, bool), None
     if page in SINGLE:
+        byte = np.zeros(MAX_CP, np.uint8)
         table = {c: b for b, c in reversed(list(enumerate(single_table(page))))}
         if page == "cp1252":  # also as plain ISO 8859-1
             table |= {chr(b): b for b in range(0x80, 0xA0)} | {c: b for b, c in enumerate(single_table(page))}
+        for c, b in table.items():
+            has[ord(c)], byte[ord(c)] = True, b
+    else:
+        every = "".join(chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000)
+        has[codes_of(every.encode(page, "ignore").decode(page, "ignore"))] = True
+    return has, byte
 
-        def parts(line: str) -> list[tuple[str, bytes | None]]:
-            got = [table.get(c) for c in line]
-            if None not in got:
-                return [(line, bytes(got))]
-            out, at = [], 0
-            for i in range(1, len(line) + 1):
-                if i == len(line) or (got[i] is None) != (got[at] is None):
-                    out.append((line[at:i], None if got[at] is None else bytes(got[at:i])))
-                    at = i
-            return out
-
-        return parts
-
-    def parts(line: str) -> list[tuple[str, bytes | None]]:
-        try:
-            return [(line, line.encode(page))]
-        except UnicodeEncodeError:
-            pass
-        out, at = [], 0
-        while at < len(line):
-            try:
-                out.append((line[at:], line[at:].encode(page)))
-                break
-            except UnicodeEncodeError as e:
-                if e.start:
-                    out.append((line[at : at + e.start], line[at : at + e.start].encode(page)))
-                out.append((line[at + e.start : at + e.end], None))
-                at += e.end
-        return out
 
-    return parts
+def odd_parts(line: str, codes: np.ndarray, odd: np.ndarray, page: str) -> list[tuple[int, int, bytes]]:
+    """(start, end, bytes) of the longest pieces of the line that the page has and that hold an odd character."""
+    has, byte = page_bytes(page)
+    on = has[codes]
+    if np.count_nonzero(on & odd) <= MOST_FOREIGN * np.count_nonzero(odd):
+        return []
+    step = np.flatnonzero(on[1:] != on[:-1]) + 1
+    start, end = np.concatenate(([0], step)), np.concatenate((step, [len(codes)]))
+    use = on[start] & np.logical_or.reduceat(odd, start)
+    return [(x, y, line[x:y].encode(page) if byte is None else byte[codes[x:y]].tobytes()) for x, y in zip(start[use].tolist(), end[use].tolist(), strict=True)]
 
 
 def shown_text(raw: bytes, page: str) -> str:
@@ -109,7 +102,7 @@ def shown_text(raw: bytes, page: str) -> str:
 def undone(raw: bytes, true: str, shown: str) -> str | None:
     """The bytes read in the true page, or None where that changes nothing or is impossible."""
     if true == "utf-8":
-        run = RUNS[1 if shown in SINGLE else 3]
+        run = RUNS[1 if shown in SINGLE and shown not in CYRILLIC else 3]  # Russian words are valid UTF-8 too often
         if not run.search(raw):
             return None
         out, at = [], 0
@@ -143,12 +136,15 @@ class Language:
             self.ready = True
         return self
 
-    def score(self, text: str) -> float:
-        """Half the sum of the joint log probabilities of the letter pairs, the ends included."""
-        c = np.r_[10, codes_of(text), 10].astype(np.int64)
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Of each text, half the sum of the joint log probabilities of its letter pairs, the ends included."""
+        if not texts:
+            return np.zeros(0)
+        c = codes_of("\n" + "\n".join(texts) + "\n").astype(np.int64)
         p = self.single[c]
         joint = 0.9 * self.joint[pair_slot(c[:-1], c[1:])] * (p[:-1] > 1e-8) + 0.1 * p[:-1] * p[1:]
-        return 0.5 * float(np.log(joint).sum())
+        size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        return 0.5 * np.add.reduceat(np.log(joint), np.r_[0, np.cumsum(size)[:-1]])
 
 
 def pair_slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -190,51 +186,77 @@ def quoted(line: str, fixed: str) -> bool:
     return 0 < a and 0 < b and len(piece) <= 16 and line[a - 1] in OPENING and line[len(line) - b] in CLOSING
 
 
-def explained(line: str, lm: Language, twice: bool = True) -> list[tuple[int, float, str]]:
-    """(key, gain, restored line) of every key that explains the line better than it stands."""
-    if "�" in line or GARBAGE in line:
-        gone = re.sub(f"(?:�|{GARBAGE}|[{GARBAGE}](?=[�{GARBAGE}])|(?<=[�{GARBAGE}])[{GARBAGE}])+", "", line)
-        lost = [] if quoted(line, gone) else [(LOST, 30.0, line)]
-    else:
-        lost = []
-    if not line.strip() or line.isascii():
-        return lost
-    rest = PLAIN.sub("", line)
-    if not rest or not (lm.rare[(c := codes_of(rest))].any() or (c < 0x3400).any() or (c > 0x9FFF).any()):
-        return lost
-    out: list[tuple[int, float, str]] = []
-    base: dict[str, float] = {}
-
-    def gain_of(part: str, new: str) -> float:
-        if part not in base:
-            base[part] = lm.score(part)
-        return lm.score(new) - base[part]
-
-    cut: dict[str, list[tuple[str, bytes | None]]] = {}
-    for k, (true, shown) in enumerate(KEYS):
-        if shown not in cut:
-            cut[shown] = shown_bytes(shown)(line)
-        total, fixed, changed = 0.0, [], False
-        for part, raw in cut[shown]:
-            new = undone(raw, true, shown) if raw and not raw.isascii() else None
-            gain = gain_of(part, new) if new is not None and new != part else 0.0
-            if gain > 0:
-                total, changed = total + gain, True
-                fixed.append(new)
-            else:
-                fixed.append(part)
-        if changed and total >= LINE_GAIN:
-            new = "".join(fixed)
-            if not quoted(line, new):
-                out.append((k, total, new))
-    out.sort(key=lambda x: -x[1])
-    out = out[:4]
-    if twice and out:
-        k, gain, new = out[0]
-        for k2, gain2, newer in explained(new, lm, False)[:1]:
-            if k2 != LOST:
-                out[0] = (k, gain + gain2, newer)
-    return out + lost
+def new_letters(line: str, texts: list[str], pieces: list[tuple[int, int, int, float]]) -> int:
+    """How many Han, kana or Hangul letters of the restored pieces did not stand there before."""
+    return sum(len(set(re.findall("[\u3040-\u9fff\uac00-\ud7a3]", texts[new])) - set(line[a:b])) for a, b, new, _ in pieces)
+
+
+LOST_SIGNS = re.compile(f"(?:�|{GARBAGE}|[{GARBAGE}](?=[�{GARBAGE}])|(?<=[�{GARBAGE}])[{GARBAGE}])+")
+
+
+def odd_ones(line: str, lm: Language) -> tuple[np.ndarray, np.ndarray] | None:
+    """Code points of the line and which of them may come from a wrong decoding; None where none may."""
+    if line.isascii() or not (rest := PLAIN.sub("", line)):
+        return None
+    c = codes_of(rest)
+    c = c[lm.rare[c] | (c < 0x3400) | (c > 0x9FFF)]
+    if not len(c):
+        return None
+    codes = codes_of(line)
+    return codes, np.isin(codes, c)
+
+
+def explained(lines: list[str], lm: Language, twice: bool = True) -> list[list[tuple[int, float, str]]]:
+    """Of each line, (key, gain, restored line) of every key that explains the line better than it stands."""
+    out: list[list[tuple[int, float, str]]] = [[] for _ in lines]
+    tries: list[tuple[int, int, int, int, int, int]] = []
+    number: dict[str, int] = {}
+    for i, line in enumerate(lines):
+        found = odd_ones(line, lm)
+        if found is None:
+            continue
+        cut: dict[str, list[tuple[int, int, bytes]]] = {}
+        for k, (true, shown) in enumerate(KEYS):
+            if shown not in cut:
+                cut[shown] = odd_parts(line, *found, shown)
+            for a, b, raw in cut[shown]:
+                new = undone(raw, true, shown)
+                if new is not None and new != line[a:b]:
+                    tries.append((i, k, a, b, number.setdefault(line[a:b], len(number)), number.setdefault(new, len(number))))
+    texts = list(number)
+    score = lm.scores(texts)
+    by: dict[tuple[int, int], list[tuple[int, int, int, float]]] = {}
+    for i, k, a, b, old, new in tries:
+        gain = score[new] - score[old]
+        if gain > 0:
+            by.setdefault((i, k), []).append((a, b, new, gain))
+    for (i, k), pieces in by.items():
+        total = float(sum(x[3] for x in pieces))
+        true, shown = KEYS[k]
+        if true == "utf-8" and shown in SINGLE and shown not in CYRILLIC:
+            total += VALID_GAIN
+        if total < LINE_GAIN or (true not in SINGLE and true != "utf-8" and new_letters(lines[i], texts, pieces) < FEWEST):
+            continue
+        line, fixed, at = lines[i], [], 0
+        for a, b, new, _ in pieces:
+            fixed += [line[at:a], texts[new]]
+            at = b
+        fixed = "".join(fixed) + line[at:]
+        if not quoted(line, fixed):
+            out[i].append((k, total, fixed))
+    for x in out:
+        x.sort(key=lambda y: -y[1])
+        del x[4:]
+    if twice:
+        again = [i for i, x in enumerate(out) if x]
+        for i, more in zip(again, explained([out[i][0][2] for i in again], lm, False), strict=True):
+            if more and more[0][0] != LOST:
+                k, gain, _ = out[i][0]
+                out[i][0] = (k, gain + more[0][1], more[0][2])
+    for i, line in enumerate(lines):
+        if ("�" in line or GARBAGE in line) and not quoted(line, LOST_SIGNS.sub("", line)):
+            out[i].append((LOST, 30.0, line))
+    return out
 
 
 def suspects(lm):
@@ -244,18 +266,17 @@ def suspects(lm):
         model = lm.value.prepare()
         known: dict[str, list[tuple[int, float, str]]] = {}
         for batch in batches:
-            rows: list[tuple[int, str, int, int, float, str]] = []
+            where: list[tuple[int, str, int, str]] = []
             for field in ("title", "text"):
                 for i, text in enumerate(batch.column(batch.schema.get_field_index(f"_{field}")).to_pylist()):
-                    if not text or text.isascii():
-                        continue
-                    for n, line in enumerate(text.split("\n"), 1):
-                        found = known.get(line)
-                        if found is None:
-                            found = explained(line, model)
-                            if len(line) < 80 and len(known) < 100_000:
-                                known[line] = found
-                        rows += [(i, field, n, k, g, f) for k, g, f in found]
+                    if text and not text.isascii():
+                        where += [(i, field, n, line) for n, line in enumerate(text.split("\n"), 1) if not line.isascii()]
+            if len(known) > 200_000:
+                known.clear()
+            new = list(dict.fromkeys(x[3] for x in where if x[3] not in known))
+            for at in range(0, len(new), 500):
+                known |= zip(new[at : at + 500], explained(new[at : at + 500], model), strict=True)
+            rows = [(i, field, n, *found) for i, field, n, line in where for found in known[line]]
             if rows:
                 i, field, n, k, g, f = zip(*rows, strict=True)
                 pick = pa.array(i, pa.int64())
