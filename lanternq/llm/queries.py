@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import encodings, leaks, mixing, near_copies, site_lines, terms
+from . import encodings, leaks, lookalikes, mixing, near_copies, site_lines, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 NORM = ["title_norm", "text_norm"]
@@ -65,6 +65,19 @@ def p6_term_scores(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("document_id", "term", "n", "records", F.round("score", 6).alias("score"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_forms(spark, d, False).select("doc_id", "field")
+
+
+def p7_forms(spark: SparkSession, d: str, with_form: bool = True) -> DataFrame:
+    """Affected values with their faults and consistent form; documents decoded wrongly (problem 1) are left to that problem."""
+    docs = table(spark, d, "documents")
+    one = lookalikes.inconsistent(docs, "doc_id", "text", with_form).withColumn("field", F.lit("text"))
+    two = lookalikes.inconsistent(table(spark, d, "indexed_documents"), "document_id", "text_norm", with_form).withColumnRenamed("document_id", "doc_id").withColumn("field", F.lit("text_norm"))
+    wrong = encodings.wrong_lines(docs).filter("field = 'text'").select("doc_id").distinct()
+    return one.unionByName(two).join(wrong, "doc_id", "left_anti")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "benchmark")).select("doc_id", "item_id")
 
