@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import encodings, leaks, lookalikes, mixing, near_copies, site_lines, terms
+from . import encodings, leaks, lookalikes, mixing, near_copies, sentences, site_lines, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 NORM = ["title_norm", "text_norm"]
@@ -104,6 +104,16 @@ def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixture
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = sentences.of_chosen(table(spark, d, "documents"), table(spark, d, "sentence_docs"))
+    return sentences.sentences(docs, with_text=False).select("doc_id", "start_pos", "end_pos")
+
+
+def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, not only the judged ones, with the sentences themselves."""
+    return sentences.sentences(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
