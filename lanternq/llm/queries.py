@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import encodings, leaks, lookalikes, mixing, near_copies, sentences, site_lines, terms
+from . import encodings, leaks, lookalikes, main_text, mixing, near_copies, sentences, site_lines, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 NORM = ["title_norm", "text_norm"]
@@ -32,6 +32,15 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_copies.groups(*near_copies.near_copies(table(spark, d, "documents"))).toDF("doc_id", "class_id", "links")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return main_text.outside_lines(table(spark, d, "documents"))
+
+
+def p3_main_text(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return site_lines.without_lines(docs, main_text.outside_lines(docs))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.repeated_lines(table(spark, d, "documents")).select("doc_id", "line_no")
 
