@@ -15,3 +15,12 @@ def host(url: Column) -> Column:
 def site(url: Column) -> Column:
     """Host without a leading `www.` or `m.`."""
     return F.regexp_replace(host(url), r"^(?:www|m)\.", "")
+
+
+def canonical(url: Column) -> Column:
+    """Scheme and host in lower case, no default port, no fragment, and `/` for an empty path."""
+    bare = F.regexp_replace(url, "#.*$", "")
+    origin = F.lower(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0))
+    rest = F.substr(bare, F.length(origin) + 1)
+    short = F.regexp_replace(F.regexp_replace(origin, r"^(http://[^/]*):80$", "$1"), r"^(https://[^/]*):443$", "$1")
+    return F.concat(short, F.when(rest == "", "/").otherwise(rest))
