@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import retrieval_queries, text_queries
+from . import corpus_queries, retrieval_queries, text_queries
 
-MODULES = [text_queries, retrieval_queries]
+MODULES = [text_queries, retrieval_queries, corpus_queries]
 
 
 def queries() -> dict:
