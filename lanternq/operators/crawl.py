@@ -77,13 +77,13 @@ def host_schedule(tasks: DataFrame, delay: float) -> DataFrame:
     return wait.withColumn("n", own).join(sizes, ["host", "slice"]).select("seq", "host", "url", F.round((F.col("before") + F.col("n") - 1) * delay, 3).alias("offset"))
 
 
-Fetcher = Callable[[str], tuple[str, str] | None]
+Fetcher = Callable[[str], tuple[str, str | None] | None]
 
 
 def crawl(seeds: list[str], fetch: Fetcher, max_pages: int = 100, attempts: int = 3, allowed: set[str] | None = None, refresh_hours: float | None = None, tasks: dict[str, dict] | None = None, save: Callable[[str, dict], None] = lambda _u, _p: None) -> tuple[dict[str, int], dict[str, dict]]:
     """Breadth-first crawl on the driver: counters and the tasks by url.
 
-    fetch gives (final url, page) or None for an error; a url outside the allowed hosts, before or after redirects, is
+    fetch gives (final url, page), no page for what is no page, or None for an error; a url outside the allowed hosts, before or after redirects, is
     skipped. Errors go to the front of the queue until attempts are used up. Pages are saved under their final url.
     """
     if attempts <= 0:
@@ -127,7 +127,7 @@ def crawl(seeds: list[str], fetch: Fetcher, max_pages: int = 100, attempts: int
                 queue.insert(0, url)
             continue
         final, page = got
-        if not inside(final):
+        if page is None or not inside(final):
             stats["skipped"] += 1
         else:
             x = dom.extract(page, final)

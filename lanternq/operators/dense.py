@@ -18,11 +18,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def scores(vectors: DataFrame, queries: dict[int, list[float]], keys: list[str], limit: int, vector: str = "embedding") -> DataFrame:
+def scores(vectors: DataFrame, queries: dict[int, list[float]], keys: list[str], limit: int, vector: str = "embedding", once: bool = False) -> DataFrame:
     """(query_id, *keys, score): the best `limit` rows of every query within each batch, by one matrix product.
 
-    What leaves a task is at most limit rows per query and batch; `top` of ranking takes the best of them. Ties are kept by
-    key order. Rows with a null vector or one of another length are left out.
+    What leaves a task is at most limit rows per query and batch; `top` of ranking takes the best of them. With `once`, a
+    batch gives only the best row per value of the first key, so that many rows of one document cannot crowd out others.
+    Ties are kept by key order. Rows with a null vector or one of another length are left out.
     """
     ids = list(queries)
     matrix = np.array([queries[q] for q in ids], np.float64).reshape(len(ids), -1)
@@ -35,13 +36,20 @@ def scores(vectors: DataFrame, queries: dict[int, list[float]], keys: list[str],
             if not len(rows):
                 continue
             x = pa.compute.list_flatten(column.take(pa.array(rows))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
-            order = np.lexsort([batch.column(k).take(pa.array(rows)).to_numpy(zero_copy_only=False) for k in range(len(keys) - 1, -1, -1)])
+            own = [batch.column(k).take(pa.array(rows)).to_numpy(zero_copy_only=False) for k in range(len(keys))]
+            order = np.lexsort(own[::-1])
             for at in range(0, len(ids), QUERY_BLOCK):
                 s = np.round(x[order] @ matrix[at : at + QUERY_BLOCK].T, 6)
-                best = np.argsort(-s, axis=0, kind="stable")[:limit]
-                pick = rows[order[best.T.ravel()]]
-                q = np.repeat(ids[at : at + QUERY_BLOCK], best.shape[0])
-                yield pa.record_batch({"query_id": pa.array(q.astype(np.int32)), **{k: batch.column(i).take(pa.array(pick)) for i, k in enumerate(keys)}, "score": np.take_along_axis(s, best, 0).T.ravel().copy()})
+                best = np.argsort(-s, axis=0, kind="stable")
+                if once:
+                    first = own[0][order]
+                    chosen = [b[np.sort(np.unique(first[b], return_index=True)[1])][:limit] for b in best.T]
+                else:
+                    chosen = list(best[:limit].T)
+                q = np.repeat(ids[at : at + QUERY_BLOCK], [len(c) for c in chosen])
+                pick = rows[order[np.concatenate(chosen)]]
+                score = np.concatenate([s[c, k] for k, c in enumerate(chosen)])
+                yield pa.record_batch({"query_id": pa.array(q.astype(np.int32)), **{k: batch.column(i).take(pa.array(pick)) for i, k in enumerate(keys)}, "score": score})
 
     kinds = dict(vectors.dtypes)
     return vectors.select(*keys, vector).mapInArrow(run, "query_id int, " + ", ".join(f"{k} {kinds[k]}" for k in keys) + ", score double")

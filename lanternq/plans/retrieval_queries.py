@@ -43,8 +43,7 @@ def dense_passages_topk(spark, d):
 
 
 def _dense_documents(spark, d):
-    # two passages a document: twice the side holds its best documents
-    scored = dense.scores(vectors(spark, d), query_vectors(spark, d), ["document_id", "chunk_index"], 2 * SIDE)
+    scored = dense.scores(vectors(spark, d), query_vectors(spark, d), ["document_id", "chunk_index"], SIDE, once=True)
     return ranking.top(dense.best_per_document(scored), SIDE)
 
 
