@@ -127,5 +127,40 @@ def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
 
+#: Terms a second time, by windows over characters.
+TERMS = """WITH fld AS (SELECT row_number() OVER () AS row, document_id, coalesce(title_norm, '') AS t, coalesce(text_norm, '') AS x FROM indexed_documents),
+arr AS (SELECT row, document_id, regexp_extract_all(t || chr(10) || x, '(?s).') AS a FROM fld),
+ch AS (SELECT row, document_id, unnest(a) AS c, generate_subscripts(a, 1) AS p FROM arr),
+k AS (SELECT *, CASE WHEN unicode(c) BETWEEN 19968 AND 40959 THEN 1 WHEN regexp_matches(c, '[\\p{L}\\p{M}\\p{N}]') THEN 2 ELSE 0 END AS kind FROM ch),
+nb AS (SELECT *, lead(c) OVER w AS c2, coalesce(lead(kind) OVER w, 0) AS k2, coalesce(lag(kind) OVER w, 0) AS k0 FROM k WINDOW w AS (PARTITION BY row ORDER BY p)),
+runs AS (SELECT *, sum(CASE WHEN k0 <> 2 THEN 1 ELSE 0 END) OVER (PARTITION BY row ORDER BY p) AS r FROM nb WHERE kind = 2),
+tok AS (SELECT row, document_id, c || c2 AS term FROM nb WHERE kind = 1 AND k2 = 1
+  UNION ALL SELECT row, document_id, c FROM nb WHERE kind = 1 AND k2 <> 1 AND k0 <> 1
+  UNION ALL SELECT row, document_id, string_agg(c, '' ORDER BY p) FROM runs GROUP BY row, document_id, r),
+per AS (SELECT row, document_id, term, count(*) AS n FROM tok GROUP BY 1, 2, 3),
+size AS (SELECT row, sum(n) AS length FROM per GROUP BY 1),
+st AS (SELECT (SELECT count(*) FROM indexed_documents) AS rows, (SELECT sum(n) FROM per) AS tokens),
+freq AS (SELECT term, CAST(sum(n) AS BIGINT) AS total, count(*) AS records, CASE WHEN sum(n) <= 2 THEN 'rare' WHEN count(*) >= 0.2e0 * any_value(rows) THEN 'common' END AS mark FROM per CROSS JOIN st GROUP BY 1),
+sc AS (SELECT per.*, records, rows, CAST(length AS BIGINT) AS length, ln(1e0 + (rows - records + 0.5e0) / (records + 0.5e0)) * n * 2.2e0 / (n + 1.2e0 * (0.25e0 + 0.75e0 * length / (CAST(tokens AS DOUBLE) / rows))) AS score FROM per JOIN freq USING (term) JOIN size USING (row) CROSS JOIN st) """
+#: Lines of each site by their form.
+LINES = r"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_replace(regexp_extract(lower(url), '^\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^(www|m)\.', '') AS site, text FROM documents),
+base AS (SELECT site, count(*) AS n_of FROM d WHERE site <> '' GROUP BY 1),
+l AS (SELECT row, doc_id, site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM d WHERE site <> ''),
+f AS (SELECT *, regexp_replace(trim(regexp_replace(line, '[ \t\x{00A0}\x{3000}]+', ' ', 'g'), ' '), '[0-9]+', '#', 'g') AS form FROM l WHERE regexp_matches(line, '[^\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]')),
+many AS (SELECT site, form FROM f JOIN base USING (site) GROUP BY site, form, n_of HAVING count(DISTINCT row) >= 6 AND count(DISTINCT row) * 20 >= n_of),
+found AS (SELECT row, doc_id, line_no FROM f JOIN many USING (site, form)) """
+SIZES = r"""WITH s AS (SELECT source, CASE WHEN text IS NULL THEN 0 ELSE length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) + (length(text) - length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) + 3) // 4 END AS tokens FROM documents),
+p AS (SELECT m.source, target_share, max_repeats, coalesce(sum(tokens), 0) AS tokens FROM mix_targets m LEFT JOIN s USING (source) GROUP BY 1, 2, 3) """
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL twins; the other queries are tested against brute force, round trips or held-out labels."""
+    return {
+        "p4_found": LINES + "SELECT doc_id, line_no FROM found",
+        "p4_clean_text": LINES + "SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce((SELECT string_agg(x, chr(10) ORDER BY i) FROM (SELECT unnest(string_split(d.text, chr(10))) AS x, generate_subscripts(string_split(d.text, chr(10)), 1) AS i) WHERE i NOT IN (SELECT line_no FROM found WHERE found.row = d.row)), '') END AS text FROM d",
+        "p5_found": TERMS + "SELECT term, mark FROM freq WHERE mark IS NOT NULL",
+        "p5_term_frequencies": TERMS + "SELECT term, total, records, mark FROM freq",
+        "p6_found": TERMS + "SELECT document_id, term FROM sc WHERE n >= 3 AND records BETWEEN 2 AND 20 AND n / CAST(length AS DOUBLE) * ln(rows / CAST(records AS DOUBLE)) >= 0.05e0",
+        "p6_term_scores": TERMS + "SELECT document_id, term, n, records, round(score, 6) AS score FROM sc",
+        "p9_found": SIZES + "SELECT source FROM p WHERE tokens * max_repeats < target_share * (SELECT sum(tokens) FROM (SELECT DISTINCT source, tokens FROM p))",
+    }
