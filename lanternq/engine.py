@@ -67,7 +67,8 @@ class Engine:
 
         cut = passages.passages(fresh)
         titled = cut.join(fresh.select("document_id", "title_norm"), "document_id").select("document_id", "chunk_index", F.concat_ws("\n", "title_norm", "text").alias("t"))
-        tables = {"documents": fresh, "passages": cut, "vectors": titled.mapInArrow(vectors, "document_id long, chunk_index int, embedding array<float>")}
+        built = index.indexed(fresh)
+        tables = {"documents": fresh, "lengths": index.lengths(built), "postings": index.postings(built), "passages": cut, "vectors": titled.mapInArrow(vectors, "document_id long, chunk_index int, embedding array<float>")}
         if old:
             tables = {k: index.replaced(old[k], v.join(fresh.select("document_id"), "document_id", "left_semi")) if k == "documents" else old[k].join(fresh.select("document_id"), "document_id", "left_anti").unionByName(v) for k, v in tables.items()}
         n = fresh.count() if old else seen
@@ -85,13 +86,13 @@ class Engine:
     def stats(self) -> dict[str, object]:
         docs = self.tables["documents"]
         hosts = docs.groupBy(F.regexp_extract(F.lower("url"), r"^[a-z]+://([^/:?#]+)", 1).alias("host")).count()
-        terms = index.document_frequency(index.indexed(docs)).count()
+        terms = self.tables["postings"].select("term").distinct().count()
         return {"documents": docs.count(), "terms": terms, "hosts": {r.host: r["count"] for r in hosts.collect()}}
 
     # ---- rankings ----
 
     def _sparse(self, query: str, side: int) -> DataFrame:
-        return ranking.top(ranking.bm25f(self.tables["documents"], {1: query}), side)
+        return ranking.top(ranking.bm25f_of_index(self.tables["lengths"], self.tables["postings"], {1: query}), side)
 
     def _vectors(self, query: str, side: int, once: bool = False) -> DataFrame:
         return dense.scores(self.tables["vectors"], {1: self.encoder(T.normalize(query))}, ["document_id", "chunk_index"], side, once=once)
@@ -109,7 +110,7 @@ class Engine:
             return self.spark.createDataFrame([], "query_id int, rank int, document_id long, score double")
         side = fusion.candidates(limit)
         if how == "phrase":
-            return ranking.top(ranking.phrase_search(self.tables["documents"], {1: query}).withColumn("score", F.lit(0.0)), limit)
+            return ranking.top(ranking.phrase_of_postings(self.tables["postings"], {1: query}).withColumn("score", F.lit(0.0)), limit)
         if how == "bm25f":
             return self._sparse(query, limit)
         if how == "dense":

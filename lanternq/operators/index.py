@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS
 from ..functions.tokens import spans
+from ..sources.staging import spread
 
 TERM = pa.struct([("term", pa.string()), ("field", pa.int8()), ("positions", pa.list_(pa.int32()))])
 SCHEMA = "document_id long, title_len long, text_len long, terms array<struct<term:string,field:byte,positions:array<int>>>"
@@ -60,7 +61,7 @@ def indexed(df: DataFrame, key: str = "document_id", title: str = "title_norm",
                     yield _rows(ids.slice(first, i + 1 - first), titles[first : i + 1], texts[first : i + 1], mode, only)
                     first, total = i + 1, 0
 
-    return df.select(F.col(key).cast("long").alias("document_id"), F.col(title), F.col(text)).mapInArrow(run, SCHEMA)
+    return spread(df.select(F.col(key).cast("long").alias("document_id"), F.col(title), F.col(text))).mapInArrow(run, SCHEMA)
 
 
 def postings(index: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dom
+from ..sources.staging import spread
 
 
 def per_page(df: DataFrame, columns: list[str], schema: str, make: Callable[..., list[tuple]]) -> DataFrame:
@@ -23,7 +24,7 @@ def per_page(df: DataFrame, columns: list[str], schema: str, make: Callable[...,
             rows = [r for x in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in make(*x)]
             yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r, strict=True)) for r in rows], schema=kind)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return spread(df.select(*columns)).mapInArrow(run, schema)
 
 
 def extracted(df: DataFrame, rules: dict[str, dom.Rule] | None = None, key: str = "doc_id", url: str = "url", page: str = "content_html") -> DataFrame:

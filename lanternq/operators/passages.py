@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS
 from ..functions.tokens import spans
+from ..sources.staging import spread, stage
 from .ranking import terms_of
 
 #: Tokens of a passage, of its title, of the overlap, and those that a model adds.
@@ -54,7 +55,7 @@ def passages(df: DataFrame, key: str = "document_id", title: str = "title_norm",
             i, k, a, b, n, t = zip(*rows, strict=True) if rows else ([],) * 6
             yield pa.record_batch({"document_id": batch.column(0).take(pa.array(i, pa.int64())), "chunk_index": pa.array(k, pa.int32()), "start": pa.array(a, pa.int32()), "end": pa.array(b, pa.int32()), "tokens": pa.array(n, pa.int32()), "text": pa.array(t, pa.string())})
 
-    return df.select(F.col(key).cast("long").alias("document_id"), title, text).mapInArrow(run, "document_id long, chunk_index int, start int, end int, tokens int, text string")
+    return spread(df.select(F.col(key).cast("long").alias("document_id"), title, text)).mapInArrow(run, "document_id long, chunk_index int, start int, end int, tokens int, text string")
 
 
 def passage_terms(df: DataFrame, terms: list[str], key: str = "document_id", title: str = "title_norm", text: str = "text_norm", max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
@@ -89,7 +90,7 @@ def passage_terms(df: DataFrame, terms: list[str], key: str = "document_id", tit
             yield pa.record_batch({"document_id": batch.column(0).take(pa.array(i, pa.int64())), "chunk_index": pa.array(k, pa.int32()), "size": pa.array(n, pa.int32()), "hits": pa.array(hits, kind)})
 
     schema = "document_id long, chunk_index int, size int, hits array<struct<term:string,tf0:int,tf1:int>>"
-    return df.select(F.col(key).cast("long").alias("document_id"), title, text).mapInArrow(run, schema)
+    return spread(df.select(F.col(key).cast("long").alias("document_id"), title, text)).mapInArrow(run, schema)
 
 
 def passage_bm25(df: DataFrame, queries: dict[int, str], **options) -> DataFrame:
@@ -97,7 +98,7 @@ def passage_bm25(df: DataFrame, queries: dict[int, str], **options) -> DataFrame
     spark = df.sparkSession
     pairs = terms_of(queries)
     words = spark.createDataFrame(pairs, "query_id int, term string")
-    rows = passage_terms(df, [t for _, t in pairs], **options)
+    rows = stage(passage_terms(df, [t for _, t in pairs], **options), "passage-terms")  # read for statistics and for hits
     stats = rows.agg(F.count(F.lit(1)).alias("rows"), F.avg("size").alias("mean"))
     hits = rows.filter(F.size("hits") > 0).select("document_id", "chunk_index", "size", F.inline("hits"))
     found = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize
 from ..functions.tokens import query_terms, tokenize_with_positions
+from ..sources.staging import stage
 from .index import corpus_stats, indexed, postings
 
 #: Saturation, and (weight, length share) of title and text.
@@ -33,12 +34,24 @@ def bm25f(df: DataFrame, queries: dict[int, str], mode: str = "search") -> DataF
 
     Only the postings of query terms leave the scan, so what is shuffled is the matches and not the corpus.
     """
-    spark = df.sparkSession
-    pairs = terms_of(queries)
-    words = spark.createDataFrame(pairs, "query_id int, term string")
-    index = indexed(df, mode=mode, terms=[t for _, t in pairs])
-    stats = corpus_stats(index).select("documents", (F.col("title_tokens") / F.col("documents")).alias("avg0"), (F.col("text_tokens") / F.col("documents")).alias("avg1"))
-    hits = index.filter(F.size("terms") > 0).select("document_id", "title_len", "text_len", F.inline("terms")).select("document_id", "title_len", "text_len", "term", "field", F.size("positions").alias("tf"))
+    words = [t for _, t in terms_of(queries)]
+    index = stage(indexed(df, mode=mode, terms=words), "matches")  # read for lengths and for hits
+    hits = index.filter(F.size("terms") > 0).select("document_id", "title_len", "text_len", F.inline("terms"))
+    return scored_bm25f(index, hits, queries)
+
+
+def bm25f_of_index(lengths: DataFrame, stored: DataFrame, queries: dict[int, str]) -> DataFrame:
+    """The same over stored lengths and postings: the filter on term reaches the scan, which is sorted by it."""
+    words = [t for _, t in terms_of(queries)]
+    hits = stored.filter(F.col("term").isin(words)).join(lengths, "document_id")
+    return scored_bm25f(lengths, hits, queries)
+
+
+def scored_bm25f(lengths: DataFrame, hits: DataFrame, queries: dict[int, str]) -> DataFrame:
+    """Scores from (document_id, title_len, text_len) of all documents and the hits with their term, field and positions."""
+    words = lengths.sparkSession.createDataFrame(terms_of(queries), "query_id int, term string")
+    stats = corpus_stats(lengths).select("documents", (F.col("title_tokens") / F.col("documents")).alias("avg0"), (F.col("text_tokens") / F.col("documents")).alias("avg1"))
+    hits = hits.select("document_id", "title_len", "text_len", "term", "field", F.size("positions").alias("tf"))
     count = lambda f: F.sum(F.when(F.col("field") == f, F.col("tf")).otherwise(0))
     per = hits.groupBy("term", "document_id", "title_len", "text_len").agg(count(0).alias("tf0"), count(1).alias("tf1"))
     found = per.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -58,13 +71,24 @@ def phrase_search(df: DataFrame, phrases: dict[int, str], mode: str = "search")
 
     The shifted starts of all tokens of a phrase meet in one group; a group of all tokens is an occurrence.
     """
-    spark = df.sparkSession
+    rows = phrase_rows(phrases, mode)
+    return phrase_of_postings(postings(indexed(df, mode=mode, terms=[r[1] for r in rows])), phrases, mode)
+
+
+def phrase_rows(phrases: dict[int, str], mode: str) -> list[tuple[int, str, int, int]]:
+    """(query_id, term, shift, n) of every token of every phrase."""
     rows = []
     for q, text in phrases.items():
         tokens = tokenize_with_positions(normalize(text), mode)
         rows += [(q, t, at - tokens[0][1], len(tokens)) for t, at in tokens]
-    words = spark.createDataFrame(rows, "query_id int, term string, shift int, n int")
-    found = postings(indexed(df, mode=mode, terms=[r[1] for r in rows]))
+    return rows
+
+
+def phrase_of_postings(stored: DataFrame, phrases: dict[int, str], mode: str = "search") -> DataFrame:
+    """phrase_search over stored postings; the filter on term reaches the scan."""
+    rows = phrase_rows(phrases, mode)
+    words = stored.sparkSession.createDataFrame(rows, "query_id int, term string, shift int, n int")
+    found = stored.filter(F.col("term").isin([r[1] for r in rows]))
     starts = found.join(F.broadcast(words), "term").select("query_id", "document_id", "field", "shift", "n", F.explode("positions").alias("at"))
     whole = starts.groupBy("query_id", "document_id", "field", (F.col("at") - F.col("shift")).alias("start")).agg(F.countDistinct("shift").alias("met"), F.max("n").alias("n"))
     return whole.filter("met = n").select("query_id", "document_id").distinct()

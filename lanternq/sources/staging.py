@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,3 +30,19 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Operators after which rows are already dealt out by a shuffle.
+_DEALT = re.compile(r"\b(?:Join|Aggregate|Repartition\w*|RebalancePartitions|Window|Sort|Distinct|Deduplicate|Union|Intersect|Except|Limit|FlatMapGroups\w*|TransformWithState\w*)\b")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df with its rows dealt over the cores where it is a scan of fewer splits than there are cores.
+
+    Parquet cannot be split below a row group, so a small file would keep Python work on one core. Inputs with more splits
+    than cores, which is every large one, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if _DEALT.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
