@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.staging import stage
+from ..sources.staging import spread, stage
 from .codes import MAX_CP, codes_of
 
 #: Code pages that a text may be shown in by mistake, and that it may truly be in.
@@ -295,7 +295,7 @@ def wrong_lines(df: DataFrame, key: str = "doc_id", title: str = "title", text:
     one source; short pieces inside quotes are examples and no fault. Keys of rows are taken as unique.
     """
     spark = df.sparkSession
-    base = df.select(F.col(key).alias("_id"), F.col(source).alias("source"), F.col(title).alias("_title"), F.col(text).alias("_text"))
+    base = spread(df.select(F.col(key).alias("_id"), F.col(source).alias("source"), F.col(title).alias("_title"), F.col(text).alias("_text")))
     lm = spark.sparkContext.broadcast(language(base, "_title", "_text"))
     schema = f"_id {dict(df.dtypes)[key]}, source string, field string, line_no long, key int, gain double, fixed string"
     lines = stage(base.mapInArrow(suspects(lm), schema), "suspects")

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..sources.staging import spread
 from .codes import chunks, codes_of, is_letter_or_number
 
 #: Longest q-gram; code points of items that one pass holds (further items make further passes).
@@ -171,6 +172,7 @@ def leaked_items(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     equal keys are reported each by itself. Other columns are ignored; empty inputs give no rows.
     """
     base = df.select(key, text).filter(f"`{text}` is not null and `{text}` <> ''").toDF("_key", "_text")
+    base = spread(base)
     schema = f"_key {dict(df.dtypes)[key]}, item_id long, run long, item_length long"
     out = None
     ids: list[int] = []

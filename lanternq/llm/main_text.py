@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import spread
 from .codes import joined, major_category
 
 #: Labelled pages that the model is fitted on; slots and sizes of its vectors; passes over the sample.
@@ -375,4 +376,4 @@ def outside_lines(df: DataFrame, key: str = "doc_id", text: str = "text", page:
     base = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"), F.col(page).alias("_page"))
     if not net.fitted:
         return spark.createDataFrame([], schema).withColumnRenamed("_id", key)
-    return base.mapInArrow(labelled(spark.sparkContext.broadcast(net), share), schema).withColumnRenamed("_id", key)
+    return spread(base).mapInArrow(labelled(spark.sparkContext.broadcast(net), share), schema).withColumnRenamed("_id", key)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import stage
+from ..sources.staging import spread, stage
 from .codes import chunks, codes_of
 
 SLOTS = 128
@@ -242,7 +242,7 @@ def near_copies(df: DataFrame, key: str = "doc_id", title: str = "title", text:
     class whose representative is the smallest key; representatives are not listed as members. Keys must be unique.
     """
     base = df.select(F.col(key).cast("long").alias("_id"), F.col(title).alias("_title"), F.col(text).alias("_text")).filter("_id is not null")
-    all_sigs = stage(base.mapInArrow(signed(["_title", "_text"], width), "_id long, class binary, sig binary"), "signatures")
+    all_sigs = stage(spread(base).mapInArrow(signed(["_title", "_text"], width), "_id long, class binary, sig binary"), "signatures")
     again = all_sigs.groupBy("class").agg(F.min("_id").alias("representative"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = stage(all_sigs.select("_id", "class").join(again, "class").filter("_id <> representative").select(F.col("_id").alias("member"), "representative"), "members")
     sigs = all_sigs.select("_id", "sig")

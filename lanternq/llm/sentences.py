@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import spread, stage
+
 REACH = 1000
 #: Tables of at most so many ids are sent to every task instead of shuffling the texts.
 HELD_IDS = 1_000_000
@@ -84,7 +86,9 @@ def sentences(df: DataFrame, key: str = "doc_id", text: str = "text", with_text:
     have none. Rows with equal keys are cut each by itself. Other columns are ignored.
     """
     base = df.select(F.col(key).alias("_id"), F.col(text).alias("_text")).filter("_text is not null and _text <> ''")
-    base = base.withColumn("_row", F.monotonically_increasing_id())
+    base = spread(base).withColumn("_row", F.monotonically_increasing_id())
+    if with_text:  # row numbers must be the same in both reads
+        base = stage(base, "numbered")
     cut = base.select("_row", "_id", *(["_text"] if with_text else []), F.posexplode(pieces(F.col("_text"))).alias("_no", "_piece"))
     edge = rf"[\n{BLANK[1:-1]}]+"
     head = F.length("_piece") - F.length(F.regexp_replace("_piece", f"^{edge}", ""))

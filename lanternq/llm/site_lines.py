@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import site
-from ..sources.staging import stage
+from ..sources.staging import spread, stage
 
 SPACES = re.compile("[ \t\u00a0\u3000]+")
 DIGITS = re.compile("[0-9]+")
@@ -126,6 +126,7 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", url:
     """
     num, den = share
     base = df.select(F.col(key).alias("_key"), site(F.col(url)).alias("site"), F.col(text).alias("_text")).filter("site is not null")
+    base = spread(base)
     sizes = base.groupBy("site").agg(F.count(F.lit(1)).alias("of"))
     many = lambda n: (F.col(n) >= least_docs) & (F.col(n) * den >= F.col("of") * num)
     full = base.filter("_text is not null and _text <> ''")

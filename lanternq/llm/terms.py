@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import stage
+from ..sources.staging import spread, stage
 from .codes import HAN_HI, HAN_LO, chunks, codes_of, group_sums, term_class
 
 SPAN = HAN_HI - HAN_LO + 1
@@ -164,7 +164,7 @@ def term_frequencies(df: DataFrame, columns: list[str], rare_at_most: int = 2, c
     total <= rare_at_most, else `common` for records >= common_share of all rows, else null. A null or empty text has no
     terms but its row counts as a row. Other columns of df are ignored; an empty df gives no rows.
     """
-    base = df.select(*columns)
+    base = spread(df.select(*columns))
     rows = base.count()
     heavy = heavy_terms(base, columns, rows)
     parts = stage(base.mapInArrow(partial_counts(columns, heavy), "term string, slot int, n long, d long"), "term-counts")
@@ -203,7 +203,7 @@ def distinctive_terms(df: DataFrame, key: str, columns: list[str], least: int =
     not used). Terms with n < least or d outside records_between are left out of the result, never out of the counts.
     Rows with equal keys are scored each by itself; a null key comes out as null. An empty df gives no rows.
     """
-    base = df.select(F.col(key).alias("_key"), *columns)
+    base = spread(df.select(F.col(key).alias("_key"), *columns))
     counts = stage(term_frequencies(base, columns), "term-table").select("term", "total", "records")
     rows = base.count()
     mean = (counts.agg(F.sum("total")).first()[0] or 0) / max(rows, 1)
