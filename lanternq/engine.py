@@ -16,6 +16,7 @@ from .functions.tokens import query_terms, spans
 from .operators import crawl, dense, fusion, index, passages, ranking, rerank
 from .rag.engine import answer_question
 from .sources import generation
+from .sources.tables import ship
 
 RANKINGS = ("dense", "phrase", "bm25f", "hybrid", "rerank")
 DIMENSION = 64
@@ -40,6 +41,7 @@ class Engine:
     """All operations of one index folder. Rankings take a limit; document rankings give cards in rank order."""
 
     def __init__(self, spark: SparkSession, directory: str, encoder: Encoder = hashed_vector, scorer: Callable[[str, str], float] = rerank.lexical_scorer) -> None:
+        ship(spark)
         self.spark, self.directory, self.encoder, self.scorer = spark, directory, encoder, scorer
         self._loaded: tuple[str, dict[str, DataFrame]] | None = None
 
