@@ -27,6 +27,7 @@ FLUSH = 1_000_000
 #: Rows looked at to find heavy terms, and how many terms may be heavy. They choose how a term is counted, never its count.
 HEAVY_SAMPLE_ROWS = 2_000
 HEAVY_TERMS = 2_048
+HEAVY_SHARE = 0.002
 
 
 class TermIds:
@@ -177,20 +178,29 @@ def term_frequencies(df: DataFrame, columns: list[str], rare_at_most: int = 2, c
     return dense.unionByName(sparse).withColumn("mark", mark)
 
 
-def scored_terms(key: str, columns: list[str], least: int):
-    """mapInArrow function: (key, term, n, length) of each distinct term with n >= least of each row."""
+def scored_terms(key: str, columns: list[str], least: int, heavy: dict[str, int], of_heavy: bool):
+    """mapInArrow function: (key, term, n, length, records) of each distinct term with n >= least of each row.
+
+    Gives the heavy terms, whose records it knows, or all others, whose records are null.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keys = texts_of(batch, columns), batch.column(batch.schema.get_field_index(key))
             for part in chunks(len(texts), np.fromiter(map(len, texts), np.int64, len(texts))):
                 ids = TermIds()
+                known = np.array([ids.of(t) for t in heavy], np.int64)
+                order = np.argsort(known)
+                known, records = known[order], np.array(list(heavy.values()), np.int64)[order]
                 row, term, n, total = row_terms(texts[part], ids)
-                keep = n >= least
-                row, term, n = row[keep], term[keep], n[keep]
+                at = np.searchsorted(known, term).clip(max=max(len(known) - 1, 0))
+                hit = known[at] == term if len(known) else np.zeros(len(term), bool)
+                keep = (n >= least) & (hit == of_heavy)
+                row, term, n, at = row[keep], term[keep], n[keep], at[keep]
                 order = np.argsort(term, kind="stable")
-                row, term, n = row[order], term[order], n[order]
-                yield pa.record_batch({"_key": keys.take(pa.array(row + part.start)), "term": pa.array(ids.texts(term), pa.string()), "n": n, "length": total[row]})
+                row, term, n, at = row[order], term[order], n[order], at[order]
+                d = pa.array(records[at]) if of_heavy else pa.nulls(len(term), pa.int64())
+                yield pa.record_batch({"_key": keys.take(pa.array(row + part.start)), "term": pa.array(ids.texts(term), pa.string()), "n": n, "length": total[row], "records": d})
 
     return run
 
@@ -209,9 +219,15 @@ def distinctive_terms(df: DataFrame, key: str, columns: list[str], least: int =
     mean = (counts.agg(F.sum("total")).first()[0] or 0) / max(rows, 1)
     low, high = records_between
     chosen = counts.filter(F.col("records") >= low) if high is None else counts.filter(F.col("records").between(low, high))
-    kind = dict(df.dtypes)[key]
-    hits = base.mapInArrow(scored_terms("_key", columns, least), f"_key {kind}, term string, n long, length long")
-    out = hits.join(chosen.select("term", "records"), "term")
+    # Heavy terms take their records along; only the others are joined by shuffle.
+    many = counts.filter(F.col("records") >= max(2.0, HEAVY_SHARE * rows)).orderBy(F.desc("records"), "term").limit(HEAVY_TERMS).collect()
+    heavy = {r.term: r.records for r in many}
+    schema = f"_key {dict(df.dtypes)[key]}, term string, n long, length long, records long"
+    light = base.mapInArrow(scored_terms("_key", columns, least, heavy, False), schema).drop("records")
+    out = light.join(chosen.select("term", "records"), "term").select("_key", "term", "n", "length", "records")
+    inside = {t: d for t, d in heavy.items() if d >= low and (high is None or d <= high)}
+    if inside:
+        out = out.unionByName(base.mapInArrow(scored_terms("_key", columns, least, inside, True), schema))
     idf = F.log(1 + (F.lit(float(rows)) - F.col("records") + 0.5) / (F.col("records") + 0.5))
     tf = F.col("n") * (k1 + 1) / (F.col("n") + k1 * (1 - b + b * F.col("length") / (mean or math.inf)))
     return out.select(F.col("_key").alias(key), "term", "n", "length", "records", F.lit(rows).cast("long").alias("rows"), (idf * tf).alias("score"))
