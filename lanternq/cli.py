@@ -23,6 +23,8 @@ def arguments() -> argparse.ArgumentParser:
     c.add_argument("--max-pages", type=int, default=500_000)
     c.add_argument("--attempts", type=int, default=3)
     c.add_argument("--refresh-hours", type=float)
+    c.add_argument("--retry-failed", action="store_true")
+    c.add_argument("--delay", type=float, default=0.2)
     sub.add_parser("stats", help="documents per host and terms of the index")
     i = sub.add_parser("index", help="index a documents table, again where it changed")
     i.add_argument("documents")
@@ -89,7 +91,7 @@ def main(argv: list[str] | None = None, engine=None) -> int:
     if a.command == "crawl":
         from .sources.fetch import http_fetch
 
-        stats, rows = engine.crawl(a.seeds, http_fetch, max_pages=a.max_pages, attempts=a.attempts, refresh_hours=a.refresh_hours)
+        stats, rows = engine.crawl(a.seeds, http_fetch, max_pages=a.max_pages, attempts=a.attempts, refresh_hours=a.refresh_hours, retry_failed=a.retry_failed, delay=a.delay)
         if rows:
             stamp = time.strftime("%Y-%m-%dT%H:%M:%S+00:00", time.gmtime())
             engine.spark.createDataFrame([r | {"fetched_at": stamp} for r in rows]).write.mode("overwrite").parquet(a.out)

@@ -60,14 +60,17 @@ def evidence_id(url: Column, passage_id: Column, text: Column) -> Column:
     return F.concat(F.lit("ev_"), F.substring(F.sha2(F.concat_ws("\0", url, passage_id, text), 256), 1, 16))
 
 
+#: A date after a label in the text, and a date as a run of digits in a url.
+LABELLED_DATE = r"(?:日期|发布时间|更新时间)\s*[:：]?\s*(20\d{2})[-年/.](\d{1,2})[-月/.](\d{1,2})日?"
+URL_DATE = r"(?<!\d)(20\d{2})(\d{2})(\d{2})"
+
+
 def published_date(text: Column, url: Column) -> Column:
     """`YYYY-MM-DD` after a date label in the text, else from a digit run in the url; empty if absent or no such day.
 
     Once the text matches, the url is not looked at.
     """
-    labelled = r"(?:日期|发布时间|更新时间)\s*[:：]?\s*(20\d{2})[-年/.](\d{1,2})[-月/.](\d{1,2})日?"
-    dated = r"(?<!\d)(20\d{2})(\d{2})(\d{2})"
-    part = lambda k: F.when(F.regexp_like(text, F.lit(labelled)), F.regexp_extract(text, labelled, k)).otherwise(F.regexp_extract(url, dated, k))
+    part = lambda k: F.when(F.regexp_like(text, F.lit(LABELLED_DATE)), F.regexp_extract(text, LABELLED_DATE, k)).otherwise(F.regexp_extract(url, URL_DATE, k))
     day = F.try_to_date(F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")), "yyyy-MM-dd")
     return F.coalesce(F.date_format(day, "yyyy-MM-dd"), F.lit(""))
 

@@ -6,8 +6,9 @@ A task is (url, host, state, attempts, last_error, finished_at, seq); states are
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Callable
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,11 +81,13 @@ def host_schedule(tasks: DataFrame, delay: float) -> DataFrame:
 Fetcher = Callable[[str], tuple[str, str | None] | None]
 
 
-def crawl(seeds: list[str], fetch: Fetcher, max_pages: int = 100, attempts: int = 3, allowed: set[str] | None = None, refresh_hours: float | None = None, tasks: dict[str, dict] | None = None, save: Callable[[str, dict], None] = lambda _u, _p: None) -> tuple[dict[str, int], dict[str, dict]]:
+def crawl(seeds: list[str], fetch: Fetcher, max_pages: int = 100, attempts: int = 3, allowed: set[str] | None = None, refresh_hours: float | None = None, retry_failed: bool = False, delay: float = 0.0, tasks: dict[str, dict] | None = None, save: Callable[[str, dict], None] = lambda _u, _p: None) -> tuple[dict[str, int], dict[str, dict]]:
     """Breadth-first crawl on the driver: counters and the tasks by url.
 
     fetch gives (final url, page), no page for what is no page, or None for an error; a url outside the allowed hosts, before or after redirects, is
     skipped. Errors go to the front of the queue until attempts are used up. Pages are saved under their final url.
+    With refresh_hours, done tasks that ended so long ago (or at an unknown time) are fetched again; with retry_failed,
+    failed ones too. A host is not asked again within `delay` seconds.
     """
     if attempts <= 0:
         raise ValueError("attempts must be positive")
@@ -92,16 +95,24 @@ def crawl(seeds: list[str], fetch: Fetcher, max_pages: int = 100, attempts: int
         raise ValueError("refresh hours must be finite and not negative")
     from urllib.parse import urldefrag, urlsplit
 
-    stats = dict.fromkeys(("scheduled", "processed", "saved", "skipped", "retried", "failed"), 0)
+    stats = dict.fromkeys(("scheduled", "processed", "saved", "skipped", "retried", "failed", "refreshed", "requeued_failed"), 0)
     tasks = {} if tasks is None else tasks
     if max_pages <= 0:
         return stats, tasks
     inside = lambda u: urlsplit(u).scheme in ("http", "https") and (urlsplit(u).hostname or "") in hosts
     seeds = [urldefrag(u)[0] for u in seeds]
     hosts = allowed or {urlsplit(u).hostname or "" for u in seeds}
+    old = None if refresh_hours is None else (datetime.now(UTC) - timedelta(hours=refresh_hours)).isoformat()
     for t in tasks.values():
+        stale = old is not None and t["state"] == "done" and (t["finished_at"] is None or t["finished_at"] <= old)
+        again = retry_failed and t["state"] == "failed"
+        stats["refreshed"] += stale
+        stats["requeued_failed"] += again
+        if stale or again:
+            t |= {"state": "pending", "attempts": 0, "finished_at": None}
         if t["state"] == "processing":
             t["state"] = "pending"
+    free: dict[str, float] = {}
     queue: list[str] = [u for u, t in tasks.items() if t["state"] == "pending"]
 
     def schedule(url: str) -> None:
@@ -117,6 +128,10 @@ def crawl(seeds: list[str], fetch: Fetcher, max_pages: int = 100, attempts: int
         task["state"], task["attempts"] = "processing", task["attempts"] + 1
         stats["scheduled"] += task["attempts"] == 1
         stats["processed"] += 1
+        host = urlsplit(url).hostname or ""
+        if delay > 0:
+            time.sleep(max(0.0, free.get(host, 0.0) - time.monotonic()))
+            free[host] = time.monotonic() + delay
         now = datetime.now(UTC).isoformat()
         got = fetch(url)
         if got is None:

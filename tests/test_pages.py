@@ -75,6 +75,12 @@ def test_retry_skip_and_limits():
         raise AssertionError
 
 
+def test_refresh_and_retry_of_failed():
+    tasks = {u: {"state": s, "attempts": 3, "last_error": None, "finished_at": f} for u, s, f in (("http://a.example/1", "done", "2020"), ("http://a.example/2", "done", "2999"), ("http://a.example/3", "failed", "2020"))}
+    stats, _ = crawl.crawl([], lambda u: (u, "<p>x</p>"), allowed={"a.example"}, refresh_hours=1, retry_failed=True, tasks=tasks)
+    assert (stats["refreshed"], stats["requeued_failed"], stats["saved"]) == (1, 1, 2)
+
+
 def test_queue_transitions(spark):
     cols = "url string, host string, state string, attempts int, last_error string, finished_at string, seq long"
     t = spark.createDataFrame([("a", "h", "pending", 0, None, None, 2), ("b", "h", "processing", 3, None, None, 1), ("c", "h", "done", 1, None, None, 3), ("d", None, "failed", 3, "x", "2020", 4), ("e", "h", "pending", None, None, None, 5)], cols)
