@@ -22,9 +22,9 @@ from ..sources.staging import spread
 from .codes import joined, major_category
 
 #: Labelled pages that the model is fitted on; slots and sizes of its vectors; passes over the sample.
-TRAIN_PAGES = 700
+TRAIN_PAGES = 1500
 WORD_SLOTS, WORD_DIM, PATH_SLOTS, PATH_DIM, HIDDEN, MEASURES = 1 << 14, 16, 1 << 10, 8, 24, 8
-EPOCHS, BATCH, RATE = 10, 24, 0.01
+EPOCHS, BATCH, RATE = 8, 24, 0.01
 #: Lines in one padded batch of labelling; a longer page is a batch of its own.
 BATCH_LINES = 30_000
 
