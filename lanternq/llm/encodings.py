@@ -48,8 +48,6 @@ PAIR_BITS = 19
 #: A line counts from this gain (in nats) on, a field from this sum of the gains of its lines on.
 LINE_GAIN, FIELD_GAIN = 4.0, 9.0
 CYRILLIC = ("cp866", "cp1251")
-#: A page is no candidate for a line if it lacks this share of the odd characters.
-MOST_FOREIGN = 0.6
 #: Nats for a line that is valid UTF-8 by its bytes, which chance hardly makes; fewest Han, kana or Hangul that a two-byte page restores.
 VALID_GAIN, FEWEST = 5.0, 4
 UTF8 = rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf4][\x80-\xbf]{3})"
@@ -87,8 +85,6 @@ def odd_parts(line: str, codes: np.ndarray, odd: np.ndarray, page: str) -> list[
     """(start, end, bytes) of the longest pieces of the line that the page has and that hold an odd character."""
     has, byte = page_bytes(page)
     on = has[codes]
-    if np.count_nonzero(on & odd) <= MOST_FOREIGN * np.count_nonzero(odd):
-        return []
     step = np.flatnonzero(on[1:] != on[:-1]) + 1
     start, end = np.concatenate(([0], step)), np.concatenate((step, [len(codes)]))
     use = on[start] & np.logical_or.reduceat(odd, start)

@@ -44,6 +44,20 @@ def test_wrong_pages_are_found_and_restored(spark):
     assert fixed[2, "text"] == corpus()[2][2]
 
 
+def test_one_wrong_word_beside_clean_cyrillic(spark):
+    rows = corpus()
+    want = {}
+    for k in range(2, 400, 40):
+        i, title, text, s = rows[k]
+        lines = text.split("\n")
+        want[i] = lines[2]
+        words = lines[2].split(" ")
+        words[1] = shown(words[1], "utf-8", "cp1252")
+        rows[k] = (i, title, "\n".join([*lines[:2], " ".join(words), *lines[3:]]), s)
+    got = {(r.doc_id, r.field, r.line_no): r.fixed for r in E.wrong_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(i, "text", 3): line for i, line in want.items()}
+
+
 def test_empty(spark):
     assert E.wrong_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
