@@ -44,6 +44,8 @@ PAIRS = [
 ]
 KEYS = [*(("utf-8", x) for x in [*SINGLE, *DOUBLE]), *PAIRS]
 LOST = len(KEYS)
+PAGES = [*SINGLE, *DOUBLE]
+BY_SHOWN = {page: [(k, true) for k, (true, shown) in enumerate(KEYS) if shown == page] for page in PAGES}
 PAIR_BITS = 19
 #: A line counts from this gain (in nats) on, a field from this sum of the gains of its lines on.
 LINE_GAIN, FIELD_GAIN = 4.0, 9.0
@@ -52,8 +54,8 @@ CYRILLIC = ("cp866", "cp1251")
 VALID_GAIN, FEWEST = 5.0, 4
 UTF8 = rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf4][\x80-\xbf]{3})"
 RUNS = {1: re.compile(UTF8 + rb"+"), 3: re.compile(UTF8 + rb"{3,}")}
-#: Letters that clean text of the common scripts is made of; a line of nothing else but frequent Han is not looked at.
-PLAIN = re.compile("[\\t -~\\u00a0©«\\u00ad®°±·»×฀-๿ऀ-ॿ\\u2000-\\u200d‐-‧\\u202f‰′″\\u205f\\u2060⼀-⿕\\u3000-】぀-ヿ\\ufeff！-～｡-ﾟ]+")
+#: Signs that stand in clean text of every script; a piece of nothing else and ASCII has no letter to judge by.
+SIGNS = "\u00a0©«\u00ad®°±·»×" + "".join(map(chr, [*range(0x2000, 0x200E), *range(0x2010, 0x2028), 0x202F, 0x2030, 0x2032, 0x2033, 0x205F, 0x2060, 0xFEFF]))
 OPENING, CLOSING = "“\"‘「『'（([《", "”\"’」』'）)]》"
 GARBAGE = "锟斤拷"
 
@@ -81,14 +83,41 @@ def page_bytes(page: str) -> tuple[np.ndarray, np.ndarray | None]:
     return has, byte
 
 
-def odd_parts(line: str, codes: np.ndarray, odd: np.ndarray, page: str) -> list[tuple[int, int, bytes]]:
-    """(start, end, bytes) of the longest pieces of the line that the page has and that hold an odd character."""
-    has, byte = page_bytes(page)
-    on = has[codes]
-    step = np.flatnonzero(on[1:] != on[:-1]) + 1
-    start, end = np.concatenate(([0], step)), np.concatenate((step, [len(codes)]))
-    use = on[start] & np.logical_or.reduceat(odd, start)
-    return [(x, y, line[x:y].encode(page) if byte is None else byte[codes[x:y]].tobytes()) for x, y in zip(start[use].tolist(), end[use].tolist(), strict=True)]
+@lru_cache(maxsize=None)
+def holders() -> np.ndarray:
+    """Of each code point, a bit per page of PAGES that has it; none has the line end."""
+    bits = np.zeros(MAX_CP, np.uint32)
+    for i, page in enumerate(PAGES):
+        bits[page_bytes(page)[0]] |= np.uint32(1 << i)
+    bits[10] = 0
+    return bits
+
+
+@lru_cache(maxsize=None)
+def letter_like() -> np.ndarray:
+    odd = np.arange(MAX_CP) > 0x7F
+    odd[codes_of(SIGNS)] = False
+    return odd
+
+
+def odd_parts(lines: list[str]) -> Iterator[tuple[str, int, int, int]]:
+    """(page, line, start, end) of the longest pieces of each line that the page has and that are not all ASCII and SIGNS."""
+    codes = codes_of("\n".join(lines) + "\n")
+    first = np.r_[0, np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)) + 1)]
+    held, odd = holders()[codes], np.r_[0, np.cumsum(letter_like()[codes])]
+    for i, page in enumerate(PAGES):
+        on = np.r_[False, held & np.uint32(1 << i) != 0]
+        step = np.flatnonzero(on[1:] != on[:-1])
+        start, end = step[::2], step[1::2]
+        use = odd[end] > odd[start]
+        start, end = start[use], end[use]
+        of = np.searchsorted(first, start, "right") - 1
+        yield from zip([page] * len(of), of.tolist(), (start - first[of]).tolist(), (end - first[of]).tolist(), strict=True)
+
+
+def bytes_of(piece: str, page: str) -> bytes:
+    byte = page_bytes(page)[1]
+    return piece.encode(page) if byte is None else byte[codes_of(piece)].tobytes()
 
 
 def shown_text(raw: bytes, page: str) -> str:
@@ -118,6 +147,7 @@ class Language:
     def __init__(self, letters: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray) -> None:
         self.letters, self.counts, self.pairs, self.pair_counts = letters, counts, pairs, pair_counts
         self.ready = False
+        self.pieces: dict[tuple[str, ...], list[tuple[int, float, str]]] = {}
 
     def prepare(self) -> Language:
         if not self.ready:
@@ -127,8 +157,6 @@ class Language:
             self.single[0xFFFD] = 1e-9
             self.joint = np.zeros(1 << PAIR_BITS)
             self.joint[self.pairs] = self.pair_counts / total
-            self.rare = np.ones(MAX_CP, bool)
-            self.rare[self.letters[self.counts > 2e-5 * total]] = False
             self.ready = True
         return self
 
@@ -182,60 +210,61 @@ def quoted(line: str, fixed: str) -> bool:
     return 0 < a and 0 < b and len(piece) <= 16 and line[a - 1] in OPENING and line[len(line) - b] in CLOSING
 
 
-def new_letters(line: str, texts: list[str], pieces: list[tuple[int, int, int, float]]) -> int:
+def new_letters(line: str, pieces: list[tuple[int, int, str, float]]) -> int:
     """How many Han, kana or Hangul letters of the restored pieces did not stand there before."""
-    return sum(len(set(re.findall("[\u3040-\u9fff\uac00-\ud7a3]", texts[new])) - set(line[a:b])) for a, b, new, _ in pieces)
+    return sum(len(set(re.findall("[\u3040-\u9fff\uac00-\ud7a3]", new)) - set(line[a:b])) for a, b, new, _ in pieces)
 
 
 LOST_SIGNS = re.compile(f"(?:�|{GARBAGE}|[{GARBAGE}](?=[�{GARBAGE}])|(?<=[�{GARBAGE}])[{GARBAGE}])+")
 
 
-def odd_ones(line: str, lm: Language) -> tuple[np.ndarray, np.ndarray] | None:
-    """Code points of the line and which of them may come from a wrong decoding; None where none may."""
-    if line.isascii() or not (rest := PLAIN.sub("", line)):
-        return None
-    c = codes_of(rest)
-    c = c[lm.rare[c] | (c < 0x3400) | (c > 0x9FFF)]
-    if not len(c):
-        return None
-    codes = codes_of(line)
-    return codes, np.isin(codes, c)
+def explained_pieces(pieces: list[tuple[str, str, str, str]], lm: Language) -> list[list[tuple[int, float, str]]]:
+    """Of each (page, piece, letter before, letter after), (key, gain, restored piece) of every key of the page that reads better there."""
+    number: dict[str, int] = {}
+    news: dict[tuple[str, str], list[tuple[int, str]]] = {}
+    tries = []
+    for i, (page, piece, left, right) in enumerate(pieces):
+        found = news.get((page, piece))
+        if found is None:
+            raw = bytes_of(piece, page)
+            found = news[page, piece] = [(k, new) for k, true in BY_SHOWN[page] if (new := undone(raw, true, page)) is not None and new != piece]
+        if found:
+            old = number.setdefault(left + piece + right, len(number))
+            tries += [(i, k, old, number.setdefault(left + new + right, len(number)), new) for k, new in found]
+    out: list[list[tuple[int, float, str]]] = [[] for _ in pieces]
+    if tries:
+        score = lm.scores(list(number))
+        old, new = np.array([x[2:4] for x in tries], np.int64).T
+        gain = score[new] - score[old]
+        for j in np.flatnonzero(gain > 0).tolist():
+            i, k, _, _, text = tries[j]
+            out[i].append((k, float(gain[j]), text))
+    return out
 
 
 def explained(lines: list[str], lm: Language, twice: bool = True) -> list[list[tuple[int, float, str]]]:
     """Of each line, (key, gain, restored line) of every key that explains the line better than it stands."""
     out: list[list[tuple[int, float, str]]] = [[] for _ in lines]
-    tries: list[tuple[int, int, int, int, int, int]] = []
-    number: dict[str, int] = {}
-    for i, line in enumerate(lines):
-        found = odd_ones(line, lm)
-        if found is None:
-            continue
-        cut: dict[str, list[tuple[int, int, bytes]]] = {}
-        for k, (true, shown) in enumerate(KEYS):
-            if shown not in cut:
-                cut[shown] = odd_parts(line, *found, shown)
-            for a, b, raw in cut[shown]:
-                new = undone(raw, true, shown)
-                if new is not None and new != line[a:b]:
-                    tries.append((i, k, a, b, number.setdefault(line[a:b], len(number)), number.setdefault(new, len(number))))
-    texts = list(number)
-    score = lm.scores(texts)
-    by: dict[tuple[int, int], list[tuple[int, int, int, float]]] = {}
-    for i, k, a, b, old, new in tries:
-        gain = score[new] - score[old]
-        if gain > 0:
+    parts = [(i, a, b, (page, lines[i][a:b], lines[i][max(a - 1, 0) : a], lines[i][b : b + 1])) for page, i, a, b in odd_parts(lines)]
+    if len(lm.pieces) > 200_000:
+        lm.pieces.clear()
+    todo = [x for x in dict.fromkeys(p[3] for p in parts) if x not in lm.pieces]
+    for at in range(0, len(todo), 5000):
+        lm.pieces |= zip(todo[at : at + 5000], explained_pieces(todo[at : at + 5000], lm), strict=True)
+    by: dict[tuple[int, int], list[tuple[int, int, str, float]]] = {}
+    for i, a, b, piece in parts:
+        for k, gain, new in lm.pieces[piece]:
             by.setdefault((i, k), []).append((a, b, new, gain))
     for (i, k), pieces in by.items():
         total = float(sum(x[3] for x in pieces))
         true, shown = KEYS[k]
         if true == "utf-8" and shown in SINGLE and shown not in CYRILLIC:
             total += VALID_GAIN
-        if total < LINE_GAIN or (true not in SINGLE and true != "utf-8" and new_letters(lines[i], texts, pieces) < FEWEST):
+        if total < LINE_GAIN or (true not in SINGLE and true != "utf-8" and new_letters(lines[i], pieces) < FEWEST):
             continue
         line, fixed, at = lines[i], [], 0
         for a, b, new, _ in pieces:
-            fixed += [line[at:a], texts[new]]
+            fixed += [line[at:a], new]
             at = b
         fixed = "".join(fixed) + line[at:]
         if not quoted(line, fixed):

@@ -58,6 +58,12 @@ def test_one_wrong_word_beside_clean_cyrillic(spark):
     assert got == {(i, "text", 3): line for i, line in want.items()}
 
 
+def test_letters_that_are_frequent_by_fault(spark):
+    rows = [(i, shown(title, "utf-8", "gb18030"), text, s) if i % 4 == 0 else (i, title, text, s) for i, title, text, s in corpus()]
+    want = {i for i, title, _, _ in corpus() if i % 4 == 0}
+    assert {r.doc_id for r in E.wrong_lines(spark.createDataFrame(rows, SCHEMA)).filter("field = 'title'").collect()} == want
+
+
 def test_empty(spark):
     assert E.wrong_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
