@@ -50,12 +50,15 @@ PAIR_BITS = 19
 #: A line counts from this gain (in nats) on, a field from this sum of the gains of its lines on.
 LINE_GAIN, FIELD_GAIN = 4.0, 9.0
 CYRILLIC = ("cp866", "cp1251")
-#: Nats for a line that is valid UTF-8 by its bytes, which chance hardly makes; fewest Han, kana or Hangul that a two-byte page restores.
-VALID_GAIN, FEWEST = 5.0, 4
+#: Nats for a line that is valid UTF-8 by its bytes, which chance hardly makes.
+VALID_GAIN = 5.0
+#: Nats that a run of Cyrillic letters alone must gain more, as Russian words in cp866 hold valid UTF-8 by chance.
+CHANCE = 8.0
 UTF8 = rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf4][\x80-\xbf]{3})"
 RUNS = {1: re.compile(UTF8 + rb"+"), 3: re.compile(UTF8 + rb"{3,}")}
 #: Signs that stand in clean text of every script; a piece of nothing else and ASCII has no letter to judge by.
 SIGNS = "\u00a0©«\u00ad®°±·»×" + "".join(map(chr, [*range(0x2000, 0x200E), *range(0x2010, 0x2028), 0x202F, 0x2030, 0x2032, 0x2033, 0x205F, 0x2060, 0xFEFF]))
+WORD = re.compile("[А-Яа-яЁё]+")
 OPENING, CLOSING = "“\"‘「『'（([《", "”\"’」』'）)]》"
 GARBAGE = "锟斤拷"
 
@@ -120,6 +123,17 @@ def bytes_of(piece: str, page: str) -> bytes:
     return piece.encode(page) if byte is None else byte[codes_of(piece)].tobytes()
 
 
+def short_runs(piece: str, raw: bytes, page: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, text): each run of UTF-8 letters of the piece's bytes by itself, with what it reads as."""
+    for m in RUNS[1].finditer(raw):
+        before, after = shown_text(raw[: m.start()], page), shown_text(raw[m.end() :], page)
+        new = m.group().decode("utf-8", "replace")
+        if not piece.endswith(after):  # the last byte was shown together with the letter after it
+            new, after = new + after[:1], after[1:]
+        if piece.startswith(before) and piece.endswith(after):
+            yield len(before), len(piece) - len(after), new
+
+
 def shown_text(raw: bytes, page: str) -> str:
     return "".join(map(single_table(page).__getitem__, raw)) if page in SINGLE else raw.decode(page, "replace")
 
@@ -210,35 +224,43 @@ def quoted(line: str, fixed: str) -> bool:
     return 0 < a and 0 < b and len(piece) <= 16 and line[a - 1] in OPENING and line[len(line) - b] in CLOSING
 
 
-def new_letters(line: str, pieces: list[tuple[int, int, str, float]]) -> int:
-    """How many Han, kana or Hangul letters of the restored pieces did not stand there before."""
-    return sum(len(set(re.findall("[\u3040-\u9fff\uac00-\ud7a3]", new)) - set(line[a:b])) for a, b, new, _ in pieces)
-
-
 LOST_SIGNS = re.compile(f"(?:�|{GARBAGE}|[{GARBAGE}](?=[�{GARBAGE}])|(?<=[�{GARBAGE}])[{GARBAGE}])+")
 
 
 def explained_pieces(pieces: list[tuple[str, str, str, str]], lm: Language) -> list[list[tuple[int, float, str]]]:
     """Of each (page, piece, letter before, letter after), (key, gain, restored piece) of every key of the page that reads better there."""
     number: dict[str, int] = {}
-    news: dict[tuple[str, str], list[tuple[int, str]]] = {}
+    news: dict[tuple[str, str], list[tuple[int, int, int, str]]] = {}
     tries = []
     for i, (page, piece, left, right) in enumerate(pieces):
         found = news.get((page, piece))
         if found is None:
             raw = bytes_of(piece, page)
-            found = news[page, piece] = [(k, new) for k, true in BY_SHOWN[page] if (new := undone(raw, true, page)) is not None and new != piece]
-        if found:
-            old = number.setdefault(left + piece + right, len(number))
-            tries += [(i, k, old, number.setdefault(left + new + right, len(number)), new) for k, new in found]
+            found = news[page, piece] = [(k, 0, len(piece), new) for k, true in BY_SHOWN[page] if (new := undone(raw, true, page)) is not None and new != piece]
+            if page in CYRILLIC or page in DOUBLE:
+                found += [(KEYS.index(("utf-8", page)), *run) for run in short_runs(piece, raw, page)]
+        for k, a, b, new in found:
+            l, r = piece[a - 1 : a] or left, piece[b : b + 1] or right
+            tries.append((i, k, number.setdefault(l + piece[a:b] + r, len(number)), number.setdefault(l + new + r, len(number)), a, b, new))
     out: list[list[tuple[int, float, str]]] = [[] for _ in pieces]
     if tries:
         score = lm.scores(list(number))
         old, new = np.array([x[2:4] for x in tries], np.int64).T
         gain = score[new] - score[old]
+        gain[[j for j, (i, _, _, _, a, b, _) in enumerate(tries) if pieces[i][0] in CYRILLIC and b - a < 9 and WORD.fullmatch(pieces[i][1], a, b)]] -= CHANCE
+        runs: dict[tuple[int, int], list[tuple[float, int, int, str]]] = {}
         for j in np.flatnonzero(gain > 0).tolist():
-            i, k, _, _, text = tries[j]
-            out[i].append((k, float(gain[j]), text))
+            i, k, _, _, a, b, text = tries[j]
+            runs.setdefault((i, k), []).append((float(gain[j]), a, b, text))
+        for (i, k), found in runs.items():
+            piece = pieces[i][1]
+            whole = max(((g, t) for g, a, b, t in found if b - a == len(piece)), default=(0.0, piece))
+            total, at, text = 0.0, 0, []
+            for g, a, b, t in found:
+                if b - a < len(piece):
+                    total, at = total + g, (text.extend((piece[at:a], t)), b)[1]
+            best = max(whole, (total, "".join(text) + piece[at:]))
+            out[i].append((k, *best))
     return out
 
 
@@ -260,7 +282,7 @@ def explained(lines: list[str], lm: Language, twice: bool = True) -> list[list[t
         true, shown = KEYS[k]
         if true == "utf-8" and shown in SINGLE and shown not in CYRILLIC:
             total += VALID_GAIN
-        if total < LINE_GAIN or (true not in SINGLE and true != "utf-8" and new_letters(lines[i], pieces) < FEWEST):
+        if total < LINE_GAIN:
             continue
         line, fixed, at = lines[i], [], 0
         for a, b, new, _ in pieces:

@@ -64,6 +64,21 @@ def test_letters_that_are_frequent_by_fault(spark):
     assert {r.doc_id for r in E.wrong_lines(spark.createDataFrame(rows, SCHEMA)).filter("field = 'title'").collect()} == want
 
 
+def test_single_letters_and_short_lines(spark):
+    rows = corpus()
+    want = {}
+    for n, k in enumerate((3, 43, 83)):
+        i, title, text, s = rows[k]
+        want[i] = "Le café reste signé"
+        rows += [(1000 + 20 * n + m, want[i], text, s) for m in range(20)]
+        rows[k] = (i, shown(want[i], "utf-8", ("gb18030", "cp949", "cp1251")[n % 3]), text, s)
+    rows += [(2000 + n, "名单", ZH[0], "s0") for n in range(20)]
+    rows[0] = (0, shown("名单", "gb18030", "cp1252"), rows[0][2], rows[0][3])
+    want[0] = "名单"
+    got = {(r.doc_id, r.field): r.fixed for r in E.wrong_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(i, "title"): title for i, title in want.items()}
+
+
 def test_empty(spark):
     assert E.wrong_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
