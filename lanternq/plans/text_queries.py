@@ -34,6 +34,12 @@ def normalize_text(spark, d):
     return docs.select("doc_id", T.normalize_text("title").alias("title_norm"))
 
 
+def normalize_text_all(spark, d):
+    """Exact normalisation of title and text of every document; SQL has no twin for it."""
+    docs = table(spark, d, DOCS)
+    return docs.select("doc_id", T.normalize_text("title").alias("title_norm"), T.normalize_text("text").alias("text_norm"))
+
+
 def normalize_native(spark, d):
     return table(spark, d, INDEXED).select("document_id", T.normalize_native(F.col("title_norm")).alias("title_norm"))
 
@@ -150,6 +156,7 @@ SQL = {
     "bm25f_top20": TOP20 + "SELECT CAST(query_id AS INTEGER) AS query_id, rank, document_id, score FROM r WHERE rank <= 20",
     "phrase_search": TOK + f", q(query_id, term, shift, n) AS (VALUES {', '.join(PHRASE_TERMS)}), m AS (SELECT query_id, document_id, field, start - shift AS s, count(DISTINCT shift) AS met, max(n) AS n FROM tok JOIN q USING (term) GROUP BY 1, 2, 3, 4) SELECT DISTINCT query_id, document_id FROM m WHERE met = n",
     "normalize_text": r"SELECT doc_id, trim(regexp_replace(lower(title), ' +', ' ', 'g')) AS title_norm FROM documents WHERE regexp_matches(title, '^[\x20-\x7E]+$')",
+    "normalize_text_all": None,
     "normalize_native": r"SELECT document_id, trim(regexp_replace(replace(lower(title_norm), 'ß', 'ss'), '[ \t\n\x0B\f\r\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), ' ') AS title_norm FROM indexed_documents",
     "tokenize_positions": TOK + "SELECT document_id, field, term, start FROM tok",
     "query_terms": f"WITH {S.term_values(QUERIES)} SELECT query_id, term FROM q",

@@ -53,3 +53,13 @@ def test_passage_windows_cover_everything_with_the_overlap():
         assert all(b0 - a1 == 3 for (_, b0), (a1, _) in zip(w, w[1:], strict=False)) and w[-1][1] == n
     assert passages.cut("", "") == [] and passages.cut("t", "") == [(0, 0, 0)]
     assert passages.cut("", "字" * 1000)[0] == (0, 376, 376)
+
+
+def test_normalize_text_of_every_document(spark, tmp_path):
+    from lanternq.plans import catalog
+
+    rows = [(1, "ＡＢＣ　图书馆", "Straße\n ﬁn"), (2, None, "Обычный  ТЕКСТ"), (3, "plain Title", None), (4, "カﾞイド", "")]
+    spark.createDataFrame(rows, "doc_id long, title string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.title_norm, r.text_norm) for r in catalog.queries()["normalize_text_all"](spark, str(tmp_path)).collect()}
+    assert got.keys() == {1, 2, 3, 4}
+    assert got[1] == ("abc 图书馆", "strasse fin") and got[2][1] == "обычный текст" and got[3][0] == "plain title" and got[4][0] == "ガイド"
