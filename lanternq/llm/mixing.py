@@ -2,7 +2,9 @@
 
 Every document of a source gets its certain whole copies; the rest of the source's target is drawn as a sample of fixed
 size with unequal probabilities: inclusion p grows with the document's size, documents are ranked by random odds over
-inclusion odds, u/(1-u) / (p/(1-p)), and the first n are taken.
+inclusion odds, u/(1-u) / (p/(1-p)), and the first n are taken. The last place of each source is found by counting rank
+classes and sorting only the class that holds it, so a document learns from one row per source whether it is drawn: no
+source is sorted as a whole and no rows are joined to rows.
 """
 
 from __future__ import annotations
@@ -22,17 +24,22 @@ def token_size(text: Column) -> Column:
     return F.coalesce(F.length(text) - narrow + F.floor((narrow + 3) / 4), F.lit(0)).cast("long")
 
 
+def uniform(seed: int, *columns: Column) -> Column:
+    """A number inside 0..1 that depends on the columns only, so that a lost executor draws the same again."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *(c.cast("string") for c in columns)))
+    return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+
+
 def allocation(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, total, tokens, documents, wanted, used, copies, rest, short): a row per target.
 
-    sizes has (source, tokens) per document. total is the tokens of all documents of listed sources, wanted the target
-    share of it, used what can be given, copies the certain whole copies of every document, rest the tokens still to be
-    drawn, and short tells that tokens * max_repeats < wanted. A source without documents has 0 tokens; a null source
-    matches nothing; a negative or null repeat cap counts as 0.
+    sizes has (source, tokens, documents), once per source. total is the tokens of all documents of listed sources, wanted
+    the target share of it, used what can be given, copies the certain whole copies of every document, rest the tokens
+    still to be drawn, and short tells that tokens * max_repeats < wanted. A source without documents has 0 tokens; a null
+    source matches nothing; a negative or null repeat cap counts as 0.
     """
     t = targets.select("source", "target_share", F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("max_repeats"))
-    per = sizes.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
-    a = t.join(per, "source", "left").fillna(0, ["tokens", "documents"])
+    a = t.join(sizes, "source", "left").fillna(0, ["tokens", "documents"])
     total = a.select("source", "tokens").distinct().agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
     a = a.crossJoin(F.broadcast(total))  # one row
     a = a.withColumn("wanted", F.coalesce(F.col("target_share"), F.lit(0.0)) * F.col("total"))
@@ -42,50 +49,65 @@ def allocation(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return a.withColumn("rest", F.col("used") - F.col("copies") * F.col("tokens"))
 
 
+def inclusion(hist: DataFrame, plan: DataFrame) -> DataFrame:
+    """(source, c, largest_open, n): p = min(1, c * tokens) with sum(p * tokens) = rest, and the number of documents to draw.
+
+    hist has (source, tokens, docs). The largest documents are certain until c fits the others.
+    """
+    hist = hist.filter("tokens > 0").join(plan.filter("rest > 0").select("source", "rest"), "source")
+    down = Window.partitionBy("source").orderBy(F.desc("tokens"))
+    above = down.rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.withColumn("held", F.coalesce(F.sum(F.col("docs") * F.col("tokens")).over(above), F.lit(0)))
+    hist = hist.withColumn("squares", F.sum(F.col("docs") * F.col("tokens").cast("double") * F.col("tokens")).over(down.rowsBetween(0, Window.unboundedFollowing)))
+    hist = hist.withColumn("c", (F.col("rest") - F.col("held")) / F.col("squares"))
+    own = Window.partitionBy("source")
+    fits = F.when((F.col("rest") > F.col("held")) & (F.col("c") * F.col("tokens") <= 1), F.col("tokens"))
+    hist = hist.withColumn("largest_open", F.coalesce(F.max(fits).over(own), F.lit(0)))
+    hist = hist.withColumn("c", F.max(F.when(F.col("tokens") == F.col("largest_open"), F.col("c"))).over(own))
+    p = F.when(F.col("tokens") > F.col("largest_open"), 1.0).otherwise(F.least(F.lit(1.0), F.col("c") * F.col("tokens")))
+    return hist.groupBy("source").agg(F.coalesce(F.max("c"), F.lit(0.0)).alias("c"), F.max("largest_open").alias("largest_open"), F.round(F.sum(F.col("docs") * p)).cast("long").alias("n"))
+
+
 def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """The mixture and its report.
 
     The mixture is (key, source, tokens, copies) with a row for each document used at least once; copies never exceeds
     max_repeats. The report is the allocation with `reached` tokens and `reached_share` of the whole mixture. Documents of
-    unlisted or null sources are left out; a document of 0 tokens only gets certain copies. Ties in rank are set by key.
+    unlisted or null sources are left out; a document of 0 tokens only gets certain copies. Sources of targets are taken as
+    unique. Ties in rank are set by key, then by the place of the row in the staged table. What is sent to every task is a
+    row per target.
     """
     base = documents.select(F.col(key).alias("_key"), "source", token_size(F.col(text)).alias("tokens"))
-    base = stage(base.join(targets.select("source").distinct(), "source", "left_semi").select("_key", "source", "tokens"), "token-sizes")
-    plan = stage(allocation(base, targets), "allocation")
-
-    # p = min(1, c * tokens) with sum(p * tokens) = rest: the largest documents are certain until c fits the others.
-    hist = base.filter("tokens > 0").groupBy("source", "tokens").agg(F.count(F.lit(1)).alias("docs")).join(plan.select("source", "rest"), "source").filter("rest > 0")
-    down = Window.partitionBy("source").orderBy(F.desc("tokens"))
-    above = down.rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("held", F.coalesce(F.sum(F.col("docs") * F.col("tokens")).over(above), F.lit(0)))
-    hist = hist.withColumn("squares", F.sum(F.col("docs") * F.pow("tokens", F.lit(2))).over(down.rowsBetween(0, Window.unboundedFollowing)))
-    hist = hist.withColumn("c", (F.col("rest") - F.col("held")) / F.col("squares"))
-    fits = hist.filter("rest > held and c * tokens <= 1").groupBy("source").agg(F.max_by("c", "tokens").alias("c"), F.max("tokens").alias("largest_open"))
-    everything = hist.groupBy("source").agg(F.max("rest").alias("rest"))
-    c = everything.join(fits, "source", "left").select("source", F.coalesce("c", F.lit(float("inf"))).alias("c"), F.coalesce("largest_open", F.lit(0)).alias("largest_open"))
-
-    # The random numbers come from the key, so a lost executor draws the same again.
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("_key")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    drawn = base.filter("tokens > 0").join(c, "source")
-    drawn = drawn.withColumn("p", F.when(F.col("tokens") > F.col("largest_open"), 1.0).otherwise(F.least(F.lit(1.0), F.col("c") * F.col("tokens"))))
+    listed = F.broadcast(targets.select("source").distinct())  # a row per target
+    base = stage(base.join(listed, "source", "left_semi").select("_key", "source", "tokens", F.monotonically_increasing_id().alias("_row")), "token-sizes")
+    hist = stage(base.groupBy("source", "tokens").agg(F.count(F.lit(1)).alias("docs")), "sizes")
+    per = hist.groupBy("source").agg(F.sum(F.col("docs") * F.col("tokens")).alias("tokens"), F.sum("docs").alias("documents"))
+    plan = stage(allocation(per, targets), "allocation")
+    open_ = stage(inclusion(hist, plan), "inclusion")
+
+    u = uniform(seed, F.col("_key"))
+    p = F.when(F.col("tokens") > F.col("largest_open"), 1.0).otherwise(F.least(F.lit(1.0), F.col("c") * F.col("tokens")))
     odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
-    drawn = drawn.withColumn("q", F.when(F.col("p") >= 1, 0.0).otherwise(odds / (1 + odds)))
-    drawn = stage(drawn.withColumn("bin", F.floor(F.col("q") * RANK_CLASSES)).select("_key", "source", "p", "q", "bin"), "ranks")
+    drawn = base.join(F.broadcast(plan.select("source", F.col("copies").alias("_whole"))), "source").join(F.broadcast(open_), "source", "left")  # a row per target
+    drawn = drawn.withColumn("p", F.when((F.col("tokens") > 0) & F.col("n").isNotNull(), p))
+    drawn = drawn.withColumn("q", F.when(F.col("p") >= 1, 0.0).otherwise(odds / (1 + odds))).withColumn("bin", F.when(F.col("p") >= 1, -1).otherwise(F.floor(F.col("q") * RANK_CLASSES)))
 
-    size = drawn.groupBy("source").agg(F.round(F.sum("p")).cast("long").alias("n"))
-    bins = drawn.groupBy("source", "bin").agg(F.count(F.lit(1)).alias("docs"))
+    bins = drawn.filter("q is not null").groupBy("source", "bin", "n").agg(F.count(F.lit(1)).alias("docs"))
     order = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("before", F.coalesce(F.sum("docs").over(order), F.lit(0))).join(size, "source").filter("before < n")
-    near = drawn.join(bins.select("source", "bin", "docs", "before", "n"), ["source", "bin"])
-    sure = near.filter("before + docs <= n").select("_key", "source")
-    edge = near.filter("before + docs > n").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("source", "bin").orderBy("q", "_key")))
-    picked = sure.unionByName(edge.filter("place <= n").select("_key", "source")).withColumn("more", F.lit(1))
-
-    # A key may stand twice in a source: then each of its rows was drawn by itself.
-    picked = picked.groupBy("_key", "source").agg(F.count(F.lit(1)).cast("int").alias("more"))
-    turn = F.row_number().over(Window.partitionBy("_key", "source").orderBy("tokens"))
-    out = base.join(plan.select("source", "copies"), "source").join(picked, ["_key", "source"], "left")
-    out = out.withColumn("copies", F.col("copies") + F.when(turn <= F.coalesce("more", F.lit(0)), 1).otherwise(0))
+    bins = bins.withColumn("before", F.coalesce(F.sum("docs").over(order), F.lit(0)))
+    ends = bins.withColumn("after", F.col("before") + F.col("docs")).filter("before < n").groupBy("source").agg(
+        F.max(F.when(F.col("after") <= F.col("n"), F.col("bin"))).alias("full"),
+        F.max(F.when(F.col("after") > F.col("n"), F.struct("bin", (F.col("n") - F.col("before")).alias("more")))).alias("edge"),
+    )
+    ends = stage(ends, "edges")
+    inside = drawn.join(F.broadcast(ends.filter("edge is not null")), "source").filter("bin = edge.bin")  # a row per target
+    place = F.row_number().over(Window.partitionBy("source").orderBy("q", "_key", "_row"))
+    last = inside.withColumn("place", place).filter("place = edge.more").select("source", F.struct("q", "_key", "_row").alias("last"))
+    ends = stage(ends.join(last, "source", "left"), "last-places")
+
+    flagged = drawn.join(F.broadcast(ends), "source", "left")  # a row per target
+    taken = (F.col("bin") <= F.col("full")) | ((F.col("bin") == F.col("edge.bin")) & (F.struct("q", "_key", "_row") <= F.col("last")))
+    out = flagged.withColumn("copies", F.col("_whole") + F.when(F.coalesce(taken, F.lit(False)), 1).otherwise(0))
     mixture = stage(out.filter("copies > 0").select(F.col("_key").alias(key), "source", "tokens", "copies"), "mixture")
     reached = mixture.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("reached"))
     report = plan.join(reached, "source", "left").fillna(0, ["reached"])

@@ -99,13 +99,14 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return p9_shares(spark, d).filter("short").select("source")
+    """Sources of which the mixture holds all that the cap allows, and still less than the target."""
+    return p9_shares(spark, d).filter("reached = tokens * max_repeats and reached < target_share * total").select("source")
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """The report: what each source was to give and gave."""
     _, report = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
-    return report.select("source", "target_share", "max_repeats", "tokens", "documents", "copies", "short", "reached", F.round("reached_share", 6).alias("reached_share"))
+    return report.select("source", "target_share", "max_repeats", "total", "tokens", "documents", "copies", "short", "reached", F.round("reached_share", 6).alias("reached_share"))
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -151,6 +152,26 @@ many AS (SELECT site, form FROM f JOIN base USING (site) GROUP BY site, form, n_
 found AS (SELECT row, doc_id, line_no FROM f JOIN many USING (site, form)) """
 SIZES = r"""WITH s AS (SELECT source, CASE WHEN text IS NULL THEN 0 ELSE length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) + (length(text) - length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) + 3) // 4 END AS tokens FROM documents),
 p AS (SELECT m.source, target_share, max_repeats, coalesce(sum(tokens), 0) AS tokens FROM mix_targets m LEFT JOIN s USING (source) GROUP BY 1, 2, 3) """
+#: The whole draw a second time, by plain windows: sizes, plan, inclusion, ranks.
+DRAW = (
+    SIZES.replace("SELECT source, CASE", "SELECT doc_id, source, CASE")
+    + """, t AS (SELECT sum(tokens) AS total FROM (SELECT DISTINCT source, tokens FROM p)),
+a AS (SELECT source, target_share, max_repeats, CAST(total AS BIGINT) AS total, CAST(tokens AS BIGINT) AS tokens, least(target_share * total, CAST(tokens * max_repeats AS DOUBLE)) AS used, tokens * max_repeats < target_share * total AS short FROM p CROSS JOIN t),
+b AS (SELECT *, CASE WHEN tokens > 0 THEN CAST(floor(used / tokens) AS INTEGER) ELSE 0 END AS whole FROM a),
+r AS (SELECT *, used - whole * tokens AS rest FROM b),
+h AS (SELECT s.source, s.tokens, count(*) AS docs, any_value(rest) AS rest FROM s JOIN r USING (source) WHERE s.tokens > 0 AND rest > 0 GROUP BY 1, 2),
+h2 AS (SELECT *, coalesce(sum(docs * tokens) OVER (PARTITION BY source ORDER BY tokens DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held, sum(docs * CAST(tokens AS DOUBLE) * tokens) OVER (PARTITION BY source ORDER BY tokens DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS squares FROM h),
+h3 AS (SELECT *, (rest - held) / squares AS c FROM h2),
+o AS (SELECT source, coalesce(max(CASE WHEN rest > held AND c * tokens <= 1 THEN tokens END), 0) AS largest FROM h3 GROUP BY 1),
+oc AS (SELECT h3.source, largest, coalesce(max(CASE WHEN h3.tokens = largest THEN c END), 0) AS c FROM h3 JOIN o USING (source) GROUP BY 1, 2),
+sz AS (SELECT oc.source, largest, oc.c, CAST(round(sum(docs * CASE WHEN tokens > largest THEN 1e0 ELSE least(1e0, oc.c * tokens) END)) AS BIGINT) AS n FROM h3 JOIN oc USING (source) GROUP BY 1, 2, 3),
+u AS (SELECT doc_id, s.source, s.tokens, n, CASE WHEN s.tokens > largest THEN 1e0 ELSE least(1e0, c * s.tokens) END AS pr, (CAST('0x' || substr(md5('1:' || doc_id), 1, 12) AS BIGINT) + 0.5e0) / 281474976710656e0 AS x FROM s JOIN sz USING (source) WHERE s.tokens > 0),
+q AS (SELECT *, CASE WHEN pr >= 1 THEN 0e0 ELSE (x / (1 - x)) / (pr / (1 - pr)) / (1 + (x / (1 - x)) / (pr / (1 - pr))) END AS q FROM u),
+drawn AS (SELECT doc_id, source FROM q QUALIFY row_number() OVER (PARTITION BY source ORDER BY q, doc_id) <= n),
+mixed AS (SELECT s.doc_id, s.source, CAST(s.tokens AS BIGINT) AS tokens, whole + CASE WHEN d.doc_id IS NULL THEN 0 ELSE 1 END AS copies FROM s JOIN r USING (source) LEFT JOIN drawn d ON d.doc_id = s.doc_id),
+mixture AS (SELECT * FROM mixed WHERE copies > 0),
+got AS (SELECT source, CAST(sum(tokens * copies) AS BIGINT) AS reached FROM mixture GROUP BY 1) """
+)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -162,5 +183,7 @@ def oracle_sql() -> dict[str, str]:
         "p5_term_frequencies": TERMS + "SELECT term, total, records, mark FROM freq",
         "p6_found": TERMS + "SELECT document_id, term FROM sc WHERE n >= 3 AND records BETWEEN 2 AND 20 AND n / CAST(length AS DOUBLE) * ln(rows / CAST(records AS DOUBLE)) >= 0.05e0",
         "p6_term_scores": TERMS + "SELECT document_id, term, n, records, round(score, 6) AS score FROM sc",
+        "p9_mixture": DRAW + "SELECT doc_id, source, tokens, copies FROM mixture",
+        "p9_shares": DRAW + "SELECT r.source, target_share, max_repeats, total, r.tokens, (SELECT count(*) FROM documents d WHERE d.source = r.source) AS documents, whole AS copies, short, coalesce(reached, 0) AS reached, round(coalesce(reached, 0) / CAST((SELECT sum(reached) FROM got) AS DOUBLE), 6) AS reached_share FROM r LEFT JOIN got USING (source)",
         "p9_found": SIZES + "SELECT source FROM p WHERE tokens * max_repeats < target_share * (SELECT sum(tokens) FROM (SELECT DISTINCT source, tokens FROM p))",
     }
