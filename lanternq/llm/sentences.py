@@ -3,23 +3,19 @@
 Marks that end nothing (in numbers, addresses, initials, abbreviations, item numbers, brackets and quotes) are masked one
 character for one character with private-use placeholders, so that positions stay; what then ends a sentence in its
 script is marked, the text is cut there and at line ends, and every piece is restored by its position from the text as it
-stands. Quotes and brackets are looked through for REACH characters at most.
+stands. All of it happens inside the row: nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import spread, stage
-
-REACH = 1000
-#: Tables of at most so many ids are sent to every task instead of shuffling the texts.
-HELD_IDS = 1_000_000
+from ..sources.staging import spread
 
 #: Abbreviations before a name, number or noun, and month names after an ordinal.
 ABBREVIATIONS = (
-    "Dr|Mr|Mrs|Ms|Messrs|Prof|Rev|Hon|Gen|Capt|Sgt|Lt|Col|St|Mt|N[oо]|Nos|[Vv]ol|[Vv]ols|vs|Figs?|[Ff]іg|[Ee]ds?|[Cc]h|[Ss]ec|[Pp]p|cf|viz|approx|"
+    "Dr|Mr|Mrs|Ms|Messrs|Prof|Rev|Inc|Ltd|Co|Corp|Jr|Sr|al|Hon|Gen|Capt|Sgt|Lt|Col|St|Mt|N[oо]|Nos|[Vv]ol|[Vv]ols|vs|Figs?|[Ff]іg|[Ee]ds?|[Cc]h|[Ss]ec|[Pp]p|cf|viz|approx|"
     "Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept?|Oct|Nov|Dec|Mon|Tue|Wed|Thu|Fri|Sat|Sun|"
     "Nr|Hr|Fr|ca|bzw|evtl|ggf|inkl|vgl|Abb|Tab|Bd|Abs|Art|Kap|Str|Tel|Dipl|Ing|Mme|Mlle|MM|éd|chap|fig|env|art|"
     "[Пп]роф|[Дд]оц|[Аа]кад|[Ии]м|[Уу]л|[Сс]тр|[Рр]ис|[Тт]абл|тел|гл|ст|пр|обл|[Сс]м|[Нн]апр|тыс|млн|млрд|डॉ|प्रो|श्री|सुश्री|पं|सं|क्र"
@@ -41,25 +37,25 @@ MASKS = [
     (rf"(?<![\p{{L}}\p{{M}}.{DOT}])(?!г\.{BLANK}+\p{{Lu}})([\p{{Lu}}\p{{Ll}}])\.(?={HIDDEN}*{BLANK})", f"$1{DOT}"),
     (rf"(?<=[0-9])\.(?={BLANK}+(?:{MONTHS})\b)", DOT),
     (rf"(?m)^({BLANK}*\p{{IsHan}}{{0,4}}{BLANK}?[0-9０-９]{{1,3}})[.．]", f"$1{DOT}"),
-    (rf"„([^„“”\n]{{0,{REACH}}})“", f"{OPEN}$1{CLOSE}"),
-    (rf"“([^“”\n]{{0,{REACH}}})”", f"{OPEN}$1{CLOSE}"),
-    (rf"«([^«»\n]{{0,{REACH}}})»", f"{OPEN}$1{CLOSE}"),
-    (rf"「([^「」\n]{{0,{REACH}}})」", f"{OPEN}$1{CLOSE}"),
-    (rf"『([^『』\n]{{0,{REACH}}})』", f"{OPEN}$1{CLOSE}"),
-    (rf"（([^（）\n]{{0,{REACH}}})）", f"{BRACKET}$1{UNBRACKET}"),
-    (rf"\(([^()\n]{{0,{REACH}}})\)", f"{BRACKET}$1{UNBRACKET}"),
-    (rf"\[([^\[\]\n]{{0,{REACH}}})\]", f"{BRACKET}$1{UNBRACKET}"),
-    (rf"【([^【】\n]{{0,{REACH}}})】", f"{BRACKET}$1{UNBRACKET}"),
-    (rf"《([^《》\n]{{0,{REACH}}})》", f"{BRACKET}$1{UNBRACKET}"),
-    (rf"{END}(?=[^{OPEN}{CLOSE}\n]{{0,{REACH}}}{CLOSE})", DOT),
-    (rf"{END}(?=[^{BRACKET}{UNBRACKET}\n]{{0,{REACH}}}{UNBRACKET})", DOT),
+    (rf"„([^„“”\n]*+)“", f"{OPEN}$1{CLOSE}"),
+    (rf"“([^“”\n]*+)”", f"{OPEN}$1{CLOSE}"),
+    (rf"«([^«»\n]*+)»", f"{OPEN}$1{CLOSE}"),
+    (rf"「([^「」\n]*+)」", f"{OPEN}$1{CLOSE}"),
+    (rf"『([^『』\n]*+)』", f"{OPEN}$1{CLOSE}"),
+    (rf"（([^（）\n]*+)）", f"{BRACKET}$1{UNBRACKET}"),
+    (rf"\(([^()\n]*+)\)", f"{BRACKET}$1{UNBRACKET}"),
+    (rf"\[([^\[\]\n]*+)\]", f"{BRACKET}$1{UNBRACKET}"),
+    (rf"【([^【】\n]*+)】", f"{BRACKET}$1{UNBRACKET}"),
+    (rf"《([^《》\n]*+)》", f"{BRACKET}$1{UNBRACKET}"),
 ]
+#: The same on the reversed text: end marks before a closing mark, reached from it without another mark between.
+BACK_MASKS = [(rf"((?:{close}|\G(?!\A))[^{END[1:-1]}{open_}{close}\n]*+){END}", f"$1{DOT}") for open_, close in ((OPEN, CLOSE), (BRACKET, UNBRACKET))]
 #: A following small letter goes on with the sentence, but not one before a capital (as in product names).
 GOES_ON = rf"(?!{HIDDEN}*\p{{Ll}}(?!\p{{Lu}}))"
 #: (pattern, replacement): where a cut is added.
 CUTS = [
     # a quote that follows a colon or comma and ends with an end mark ends the sentence that carries it
-    (rf"([：:,，]{BLANK}*{OPEN}[^{OPEN}{CLOSE}\n]{{0,{REACH}}}{DOT}{HIDDEN}*{BLANK}?{CLOSE})(?!{BLANK}*[,，、；;。！？!?.…—–-])(?!{BLANK}*\p{{Ll}}(?!\p{{Lu}}))", f"$1{CUT}"),
+    (rf"([：:,，]{BLANK}*{OPEN}[^{OPEN}{CLOSE}\n]*{DOT}{HIDDEN}*{BLANK}?{CLOSE})(?!{BLANK}*[,，、；;。！？!?.…—–-])(?!{BLANK}*\p{{Ll}}(?!\p{{Lu}}))", f"$1{CUT}"),
     # marks of East Asian and Devanagari text
     (rf"([!?.…]*[。！？｡।॥][。！？｡।॥!?.…]*{CLOSERS})(?![,，、；：])", f"$1{CUT}"),
     # an ellipsis or Western mark before East Asian text
@@ -74,36 +70,45 @@ CUTS = [
 
 def pieces(text: Column) -> Column:
     """The text cut into pieces; together they have the characters of the text in number and place."""
-    for pattern, new in [*MASKS, *CUTS]:
+    for pattern, new in MASKS:
+        text = F.regexp_replace(text, pattern, new)
+    text = F.reverse(text)
+    for pattern, new in BACK_MASKS:
+        text = F.regexp_replace(text, pattern, new)
+    text = F.reverse(text)
+    for pattern, new in CUTS:
         text = F.regexp_replace(text, pattern, new)
     return F.split(text, rf"{CUT}|(?<=\n)")
 
 
+#: Pieces in blocks of about the root of their number, so that adding up positions costs n^1.5 at most; (size, head, body)
+#: of a piece are its characters, those before its sentence, and those of the sentence.
+BLOCK = "cast(ceil(sqrt(size(_parts))) as int)"
+FIRSTS = """aggregate(sequence(1, cast(ceil(size(_parts) / _block) as int)), array(0L),
+    (a, k) -> array_append(a, element_at(a, -1) + aggregate(slice(_parts, (k - 1) * _block + 1, _block), 0L, (s, x) -> s + x.size)))"""
+UNITS = """flatten(transform(sequence(1, size(_firsts) - 1), k -> aggregate(slice(_parts, (k - 1) * _block + 1, _block),
+    named_struct('at', 0L, 'out', cast(array() as array<struct<start:bigint,body:int>>)),
+    (a, x) -> named_struct('at', a.at + x.size, 'out', if(x.body > 0, array_append(a.out, named_struct('start', a.at + x.head, 'body', x.body)), a.out)),
+    a -> transform(a.out, u -> named_struct('start_pos', _firsts[k - 1] + u.start, 'end_pos', _firsts[k - 1] + u.start + u.body{sentence})))))"""
+SENTENCE = ", 'sentence', substring(substring(_text, cast(_firsts[k - 1] as int) + 1, cast(_firsts[k] - _firsts[k - 1] as int)), cast(u.start as int) + 1, u.body)"
+
+
 def sentences(df: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """(key, sentence_no, start_pos, end_pos, sentence): the sentences of each text, end exclusive, in code points.
 
     A sentence runs from its first to its last non-blank character and never over a line end. Null, empty and blank texts
     have none. Rows with equal keys are cut each by itself. Other columns are ignored.
     """
-    base = df.select(F.col(key).alias("_id"), F.col(text).alias("_text")).filter("_text is not null and _text <> ''")
-    base = spread(base).withColumn("_row", F.monotonically_increasing_id())
-    if with_text:  # row numbers must be the same in both reads
-        base = stage(base, "numbered")
-    cut = base.select("_row", "_id", *(["_text"] if with_text else []), F.posexplode(pieces(F.col("_text"))).alias("_no", "_piece"))
+    base = spread(df.select(F.col(key).alias("_id"), F.col(text).alias("_text")).filter("_text is not null and _text <> ''"))
     edge = rf"[\n{BLANK[1:-1]}]+"
-    head = F.length("_piece") - F.length(F.regexp_replace("_piece", f"^{edge}", ""))
-    body = F.length(F.regexp_replace(F.regexp_replace("_piece", f"^{edge}", ""), f"{edge}$", ""))
-    cut = cut.select("_row", "_id", "_no", F.length("_piece").alias("_size"), head.alias("_head"), body.alias("_body"))
-    own = Window.partitionBy("_row").orderBy("_no")
-    before = F.coalesce(F.sum("_size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = cut.withColumn("start_pos", before + F.col("_head")).filter("_body > 0").withColumn("end_pos", F.col("start_pos") + F.col("_body"))
-    out = out.select("_row", F.col("_id").alias(key), F.row_number().over(own).alias("sentence_no"), "start_pos", "end_pos")
-    if with_text:
-        out = out.join(base.select("_row", "_text"), "_row").withColumn("sentence", F.substring("_text", F.col("start_pos").cast("int") + 1, (F.col("end_pos") - F.col("start_pos")).cast("int")))
-    return out.select(key, "sentence_no", "start_pos", "end_pos", *(["sentence"] if with_text else []))
+    bare = lambda x: F.regexp_replace(x, f"^{edge}", "")
+    part = lambda x: F.struct(F.length(x).alias("size"), (F.length(x) - F.length(bare(x))).alias("head"), F.length(F.regexp_replace(bare(x), f"{edge}$", "")).alias("body"))
+    cut = base.withColumn("_pieces", pieces(F.col("_text"))).withColumn("_parts", F.transform("_pieces", part)).drop("_pieces")
+    cut = cut.withColumn("_block", F.expr(BLOCK)).withColumn("_firsts", F.expr(FIRSTS))
+    cut = cut.select("_id", F.posexplode(F.expr(UNITS.format(sentence=SENTENCE if with_text else ""))).alias("_no", "_unit"))
+    return cut.select(F.col("_id").alias(key), (F.col("_no") + 1).alias("sentence_no"), "_unit.*")
 
 
 def of_chosen(documents: DataFrame, chosen: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents whose key stands in chosen; few keys are sent to the documents, many are joined by shuffle."""
-    ids = chosen.select(key).distinct()
-    return documents.join(F.broadcast(ids) if chosen.count() <= HELD_IDS else ids, key, "left_semi")
+    """The documents whose key stands in chosen."""
+    return documents.join(chosen.select(key).distinct(), key, "left_semi")

@@ -38,3 +38,16 @@ def test_positions_hold_beyond_the_basic_plane_and_at_the_edges(spark):
     one = sorted((r.start_pos, r.end_pos) for r in got if r.doc_id == 1)
     assert one == [(0, 3), (0, 3), (3, 6), (3, 6), (10, 11), (10, 11)]
     assert sum(r.doc_id is None for r in got) == 5000 and {r.doc_id for r in got} == {1, None}
+
+
+def test_quotes_and_brackets_of_any_length_hold_together(spark):
+    long = "一二三。" * 2000
+    text = f"他说：“{long}”\n（{long}）之后。再来。\n“a「{long}」b。”c"
+    got = [(r.start_pos, r.sentence) for r in S.sentences(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("sentence_no").collect()]
+    assert [x for _, x in got] == [f"他说：“{long}”", f"（{long}）之后。", "再来。", f"“a「{long}」b。”c"]
+    assert all(text[a : a + len(x)] == x for a, x in got)
+
+
+def test_nothing_is_shuffled(spark):
+    plan = S.sentences(spark.range(4).selectExpr("id as doc_id", "'a. B.' as text"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
