@@ -1,10 +1,14 @@
 """Problem 2: records that are edited copies of each other, by a chosen-path join.
 
 A record is the set of its shingles, embedded as SLOTS minimum hashes. A run puts it into a bucket by one sampled slot and
-the value there; a bucket with too many records is split again by further slots that its own path samples, so the records
-of a pair stay together as long as they share what is sampled. Small buckets are compared by brute force on two-bit
-sketches; runs are repeated until the target recall; pairs that may reach the threshold are verified on the exact sets.
-Equal texts form a class that takes part once.
+the value there; a bucket of more than SMALL records is split again by further slots that its own path samples, so the
+records of a pair stay together as long as they share what is sampled. Small buckets are compared by brute force on
+sketches of four bits a slot; runs are repeated until the target recall; pairs that may reach the threshold are verified on
+the exact sets. Equal texts form a class that takes part once.
+
+A bucket is split by the task that reads it, as its records pass by, so no list of buckets is held anywhere and SMALL is the
+same at every size. Only paths that hold a large part of a sample of the records are split before they are shuffled, so
+that none of them meets in one task; the tree of buckets is the same either way.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +29,15 @@ from .codes import chunks, codes_of
 SLOTS = 128
 #: Slots sampled at the root (the runs), slots sampled by a bucket that is split, and the depth at which splitting ends.
 RUNS, CHILDREN, DEPTH = 12, 2, 10
-#: Records that are compared by brute force, and the most buckets of one depth that are split. If there are more records,
-#: the first number grows so that the second one holds, as no more than
-#: rows / n buckets can hold over n rows.
-SMALL, SPLIT = 64, 500_000
+#: Records that are compared by brute force.
+SMALL = 64
+#: Records of a bucket that is not to be split any more are compared block by block, with so many records in a block.
+BLOCK = 2048
+#: About so many records are looked at for hot paths, which hold more than one in HOT of them. They choose where a bucket is
+#: split, before or after the shuffle, never whether.
+HOT_SAMPLE, HOT = 200_000, 1000
+#: Members of a class of equal texts in one block of the expansion.
+CLASS_BLOCK = 1000
 BLANKS = (" ", "\n", "\u00a0", "\u3000")
 _RNG = np.random.default_rng(20240229)
 FACTOR = _RNG.integers(1 << 20, 1 << 32, SLOTS, dtype=np.uint32) | np.uint32(1)
@@ -74,8 +84,38 @@ def min_hashes(texts: list[str], width: int) -> np.ndarray:
     return out
 
 
+def roots(sig: np.ndarray) -> np.ndarray:
+    """The RUNS first paths of each record."""
+    slot = (mixed(np.arange(RUNS), 77) % np.uint64(SLOTS)).astype(np.int64)
+    return mixed(np.arange(RUNS)[None, :], slot[None, :], sig[:, slot])
+
+
+def four_bits(sig: np.ndarray) -> np.ndarray:
+    """Four mixed bits of each slot, as SLOTS / 16 words a row."""
+    bits = (mixed(sig, np.arange(SLOTS)[None, :]) & np.uint64(15)).reshape(len(sig), -1, 16)
+    return np.bitwise_or.reduce(bits << (4 * np.arange(16, dtype=np.uint64)), axis=2)
+
+
+def children(path: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, path) of the next depth: each row goes on by the slots that its path samples."""
+    row, parent = np.tile(np.arange(len(path)), CHILDREN), np.tile(path, CHILDREN)
+    turn = np.repeat(np.arange(CHILDREN), len(path))
+    slot = (mixed(parent, turn, 5) % np.uint64(SLOTS)).astype(np.int64)
+    value = sketch[row, slot // 16] >> (4 * (slot % 16)).astype(np.uint64) & np.uint64(15)
+    return row, mixed(parent, slot, value)
+
+
+def words(column: pa.Array, n: int) -> np.ndarray:
+    """Fixed-length binaries as rows of n 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, n)
+
+
+def binary(rows: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes() for x in np.ascontiguousarray(rows)], pa.binary())
+
+
 def signed(columns: list[str], width: int):
-    """mapInArrow function: (key, title, text) -> (_id, class, sig); texts without a shingle are left out."""
+    """mapInArrow function: (key, title, text) -> (_id, class, roots, sketch); texts without a shingle are left out."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,15 +130,38 @@ def signed(columns: list[str], width: int):
                     {
                         "_id": batch.column(0).take(pa.array(rows[part], pa.int64())),
                         "class": pa.array([xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in own], pa.binary()),
-                        "sig": pa.array([x.tobytes() for x in sig], pa.binary()),
+                        "roots": binary(roots(sig)),
+                        "sketch": binary(four_bits(sig)),
                     }
                 )
 
     return run
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SLOTS)
+def walked(hot: list[np.ndarray]):
+    """mapInArrow function: (_id, roots, sketch) -> (depth, path, _id, sketch), with the hot paths split at once.
+
+    hot has the sorted hot paths by depth; a row is given out at the first path that is not hot, or below the last depth.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketch = words(batch.column(2), SLOTS // 16)
+            row = np.repeat(np.arange(len(sketch)), RUNS)
+            path = words(batch.column(1), RUNS).reshape(-1)
+            for depth in range(len(hot) + 1):
+                on = inside(path, hot[depth]) if depth < len(hot) else np.zeros(len(path), bool)
+                out, at = row[~on], path[~on]
+                for k in range(0, len(out), 20_000):
+                    pick = pa.array(out[k : k + 20_000])
+                    yield pa.record_batch({"depth": np.full(len(pick), depth, np.int32), "path": at[k : k + 20_000].view(np.int64), "_id": batch.column(0).take(pick), "sketch": batch.column(2).take(pick)})
+                if not on.any():
+                    break
+                own, old = row[on], path[on]
+                step, path = children(old, sketch[own])
+                row = own[step]
+
+    return run
 
 
 def inside(values: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -108,105 +171,161 @@ def inside(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.searchsorted(of, values).clip(max=len(of) - 1)] == values
 
 
-def walk(sig: np.ndarray, split: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By depth: rows, their paths, and which of those paths are split further."""
-    n = len(sig)
-    row = np.tile(np.arange(n), RUNS)
-    slot = np.repeat(mixed(np.arange(RUNS), 77) % np.uint64(SLOTS), n).astype(np.int64)
-    path = mixed(np.repeat(np.arange(RUNS), n), slot, sig[row, slot])
-    for of in [*split, np.zeros(0, np.uint64)]:
-        on = inside(path, of)
-        yield row, path, on
-        row, parent = np.tile(row[on], CHILDREN), np.tile(path[on], CHILDREN)
-        turn = np.repeat(np.arange(CHILDREN), on.sum())
-        slot = (mixed(parent, turn, 5) % np.uint64(SLOTS)).astype(np.int64)
-        path = mixed(parent, slot, sig[row, slot])
+def hot_paths(sigs: DataFrame) -> list[np.ndarray]:
+    """By depth, the sorted paths that hold more than SMALL and more than one in HOT of a sample of the records.
+
+    The sample is taken by a hash of the key. At most RUNS * HOT paths of a depth are hot whatever the size, and each is
+    larger than SMALL, so that splitting it early changes nothing but the place.
+    """
+    rows = sigs.count()
+    share = min(1.0, HOT_SAMPLE / max(rows, 1))
+    some = sigs.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else sigs
+    least = max(SMALL, int(rows * share / HOT))
+    hot: list[np.ndarray] = []
+    for depth in range(DEPTH - 1):
+        here = some.mapInArrow(walked(hot), "depth int, path long, _id " + dict(sigs.dtypes)["_id"] + ", sketch binary").filter(F.col("depth") == depth)
+        found = here.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least).select("path").toPandas().path.to_numpy(np.int64)
+        if not len(found):
+            break
+        hot.append(np.sort(found.view(np.uint64)))
+    return hot
+
+
+def near_ones(ids: pa.Array, sketch: np.ndarray, bucket: np.ndarray, least: float, mine: np.ndarray | None = None) -> pa.RecordBatch | None:
+    """Pairs of rows of one bucket (rows are sorted by it) whose sketches agree in a share `least` of the slots.
+
+    With `mine`, only rows of different blocks are paired, and those of one block where a bucket has only that block.
+    """
+    left, right = [], []
+    ones = np.uint64(0x1111111111111111)
+    at = np.arange(len(bucket))
+    step = 1
+    while True:
+        at = at[at + step < len(bucket)]
+        at = at[bucket[at] == bucket[at + step]]
+        if not len(at):
+            break
+        use = at if mine is None else at[mine[at] != mine[at + step]]
+        x = sketch[use] ^ sketch[use + step]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        near = use[SLOTS - np.bitwise_count(x & ones).sum(1) >= least * SLOTS]
+        left.append(near)
+        right.append(near + step)
+        step += 1
+    if not left or not len(both := np.concatenate(left)):
+        return None
+    a, b = ids.take(pa.array(both)), ids.take(pa.array(np.concatenate(right)))
+    turned = pc.greater(a, b)
+    pairs = pa.table({"a": pc.if_else(turned, b, a), "b": pc.if_else(turned, a, b)}).filter(pc.not_equal(a, b))
+    return pairs.group_by(["a", "b"]).aggregate([]).combine_chunks() if len(pairs) else None
+
+
+def buckets(least: float, last: bool, small: int):
+    """mapInArrow function over (depth, path, _id, sketch) sorted by path: pairs of small buckets, and the rows of the next depth.
+
+    Gives (a, b) of pairs with a null path, else (path, _id, sketch) of a bucket that is split; at the last depth the rows
+    of large buckets stay under their path. A bucket is held only up to `small` rows, then its rows go on as they come.
+    """
+    n = SLOTS // 16
 
+    def compared(path: np.ndarray, ids: pa.Array, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+        table = near_ones(ids, sketch, path, least)
+        if table is not None:
+            for b in table.to_batches():
+                yield pa.record_batch({"path": pa.nulls(len(b), pa.int64()), "a": b.column(0), "b": b.column(1), "sketch": pa.nulls(len(b), pa.binary())})
 
-def path_counts(split: list[np.ndarray]):
-    """mapInArrow function: how many records of a batch reach each path of the next depth."""
+    def split(path: np.ndarray, ids: pa.Array, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(path), 20_000):
+            own, p = sketch[k : k + 20_000], path[k : k + 20_000]
+            row, p = (np.arange(len(p)), p) if last else children(p, own)
+            pick = ids.slice(k, len(own)).take(pa.array(row))
+            yield pa.record_batch({"path": p.view(np.int64), "a": pick, "b": pa.nulls(len(pick), pick.type), "sketch": binary(own[row])})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        going: int | None = None  # the path whose rows are being split
         for batch in batches:
-            *_, (_, path, _) = walk(matrix(batch.column(batch.schema.get_field_index("sig"))), split)
-            paths, n = np.unique(path, return_counts=True)
-            yield pa.record_batch({"path": paths.view(np.int64), "n": n.astype(np.int64)})
+            path, ids, sketch = batch.column(1).to_numpy().view(np.uint64), batch.column(2), words(batch.column(3), n)
+            if held is not None:
+                path, ids, sketch = np.r_[held[0], path], pa.concat_arrays([held[1], ids]), np.concatenate([held[2], sketch])
+            held = None
+            if not len(path):
+                continue
+            edge = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
+            size = np.diff(np.r_[edge, len(path)])
+            large = size > small
+            if going is not None and path[0] == np.uint64(going):
+                large[0] = True
+            big = np.repeat(large, size)
+            going = int(path[-1]) if large[-1] else None
+            ready = np.ones(len(path), bool)
+            if not large[-1]:  # the last bucket may go on in the next batch
+                ready[edge[-1] :] = False
+                held = (path[edge[-1] :], ids.slice(edge[-1]), sketch[edge[-1] :])
+            few, many = np.flatnonzero(~big & ready), np.flatnonzero(big)
+            if len(few):
+                yield from compared(path[few], ids.take(pa.array(few)), sketch[few])
+            if len(many):
+                yield from split(path[many], ids.take(pa.array(many)), sketch[many])
+        if held is not None:
+            yield from compared(*held)
 
     return run
 
 
-def two_bits(sig: np.ndarray) -> np.ndarray:
-    """Two mixed bits of each slot, as 4 words a row."""
-    bits = (mixed(sig, np.arange(SLOTS)[None, :]) & np.uint64(3)).reshape(-1, 4, SLOTS // 4)
-    return np.bitwise_or.reduce(bits << (2 * np.arange(SLOTS // 4, dtype=np.uint64)), axis=2)
-
+def dealt(block: int):
+    """mapInArrow function: (path, n, _id, sketch) -> (path, mine, _id, sketch): the records of a bucket of n in blocks.
 
-def bucket_rows(split: list[np.ndarray], rest: tuple[np.ndarray, np.ndarray], small: int):
-    """mapInArrow function: (path, _id, sketch) of every bucket that is not split.
-
-    rest are the paths that stay too large at the last depth and their counts. Their records are dealt into blocks, and
-    each pair of blocks becomes a bucket of its own.
+    Each pair of blocks becomes a bucket of its own; a block paired with itself has -1 for mine.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig, ids = matrix(batch.column(batch.schema.get_field_index("sig"))), batch.column(batch.schema.get_field_index("_id"))
-            sketch = two_bits(sig).view(np.int64)
-            for depth, (row, path, on) in enumerate(walk(sig, split)):
-                row, path = row[~on], path[~on]
-                if depth == len(split) and len(rest[0]):
-                    large = inside(path, rest[0])
-                    blocks = -(-rest[1][np.searchsorted(rest[0], path[large])] // small)
-                    r, p = np.repeat(row[large], blocks), np.repeat(path[large], blocks)
-                    of = np.repeat(blocks, blocks)
-                    other = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                    mine = (mixed(r, sketch[r, 0], p) % of.astype(np.uint64)).astype(np.int64)
-                    row = np.r_[row[~large], r]
-                    path = np.r_[path[~large], mixed(p, np.minimum(mine, other), np.maximum(mine, other))]
-                yield pa.record_batch({"path": path.view(np.int64), "_id": ids.take(pa.array(row)), **{f"s{k}": sketch[row, k] for k in range(4)}})
+            path, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            blocks = -(-n // block)
+            row = np.repeat(np.arange(len(path)), blocks)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            own = xxhash64_of(batch.column(2))
+            mine = (mixed(own[row], 3) % blocks[row].astype(np.uint64)).astype(np.int64)
+            to = mixed(path[row], np.minimum(mine, other), np.maximum(mine, other))
+            pick = pa.array(row)
+            yield pa.record_batch({"path": to.view(np.int64), "mine": np.where(mine == other, -1, mine), "_id": batch.column(2).take(pick), "sketch": batch.column(3).take(pick)})
 
     return run
 
 
-def compared(least: float):
-    """mapInArrow function over rows sorted by path: pairs of one bucket whose sketches agree in a share `least` of the slots."""
-    low = np.uint64(0x5555555555555555)
-
-    def pairs(path: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch | None:
-        left, right = [], []
-        at = np.arange(len(path))
-        step = 1
-        while True:
-            at = at[at + step < len(path)]
-            at = at[path[at] == path[at + step]]
-            if not len(at):
-                break
-            x = sketch[at] ^ sketch[at + step]
-            apart = np.bitwise_count((x | (x >> np.uint64(1))) & low).sum(1)
-            near = at[(SLOTS - apart >= least * SLOTS) & (ids[at] != ids[at + step])]
-            left.append(ids[near])
-            right.append(ids[near + step])
-            step += 1
-        if not left:
-            return None
-        a, b = np.concatenate(left), np.concatenate(right)
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.record_batch({"a": both[:, 0].copy(), "b": both[:, 1].copy()})
+def xxhash64_of(ids: pa.Array) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(str(x)) for x in ids.to_pylist()), np.uint64, len(ids))
+
+
+def blockwise(least: float):
+    """mapInArrow function over (path, mine, _id, sketch) sorted by path: pairs of two blocks, or of one with itself."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: pa.Table | None = None
+
+        def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            t = t.combine_chunks()
+            path, mine = t.column(0).to_numpy(), t.column(1).to_numpy()
+            ids, sketch = t.column(2).chunk(0), words(t.column(3).chunk(0), SLOTS // 16)
+            alone = mine < 0
+            for k, part in enumerate((np.flatnonzero(alone), np.flatnonzero(~alone))):
+                if len(part) and (out := near_ones(ids.take(pa.array(part)), sketch[part], path[part], least, mine[part] if k else None)) is not None:
+                    yield from out.to_batches()
+
         for batch in batches:
-            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.stack([batch.column(k).to_numpy().view(np.uint64) for k in range(2, 6)], 1)]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            if not len(now[0]):
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            if not len(held):
                 continue
-            cut = int(np.searchsorted(now[0], now[0][-1]))
-            held = [x[cut:] for x in now]
-            if cut and (out := pairs(*(x[:cut] for x in now))):
-                yield out
-        if held is not None and (out := pairs(*held)):
-            yield out
+            path = held.column(0).to_numpy()
+            cut = int(np.searchsorted(path, path[-1]))
+            if cut:
+                yield from pairs(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and len(held):
+            yield from pairs(held)
 
     return run
 
@@ -215,10 +334,10 @@ def verified(width: int, threshold: float):
     """mapInArrow function: (a, b, text_a, text_b) -> (a, b, jaccard) of the pairs that reach the threshold."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, set[str]] = (None, set())
+        last: tuple[object, set[str]] = (None, set())
         shingles = lambda s: {s[i : i + width] for i in range(len(s) - width + 1)}
         for batch in batches:
-            out: list[tuple[int, int, float]] = []
+            out: list[tuple[object, object, float]] = []
             for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if last[0] != a:
                     last = (a, shingles(x))
@@ -229,7 +348,7 @@ def verified(width: int, threshold: float):
                     out.append((a, b, j))
             if out:
                 a, b, j = zip(*out, strict=True)
-                yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "jaccard": pa.array(j, pa.float64())})
+                yield pa.record_batch({"a": pa.array(a, batch.column(0).type), "b": pa.array(b, batch.column(1).type), "jaccard": pa.array(j, pa.float64())})
 
     return run
 
@@ -239,55 +358,65 @@ def near_copies(df: DataFrame, key: str = "doc_id", title: str = "title", text:
 
     A record's set is every substring of `width` code points of title followed by text without blanks; null counts as
     empty, and records without such a substring or with a null key have no pairs. Records of equal stripped text form a
-    class whose representative is the smallest key; representatives are not listed as members. Keys must be unique.
+    class whose representative is the smallest key; representatives are not listed as members. Keys must be unique and
+    keep their type.
     """
-    base = df.select(F.col(key).cast("long").alias("_id"), F.col(title).alias("_title"), F.col(text).alias("_text")).filter("_id is not null")
-    all_sigs = stage(spread(base).mapInArrow(signed(["_title", "_text"], width), "_id long, class binary, sig binary"), "signatures")
+    kind = dict(df.dtypes)[key]
+    base = df.select(F.col(key).alias("_id"), F.col(title).alias("_title"), F.col(text).alias("_text")).filter("_id is not null")
+    all_sigs = stage(spread(base).mapInArrow(signed(["_title", "_text"], width), f"_id {kind}, class binary, roots binary, sketch binary"), "signatures")
     again = all_sigs.groupBy("class").agg(F.min("_id").alias("representative"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = stage(all_sigs.select("_id", "class").join(again, "class").filter("_id <> representative").select(F.col("_id").alias("member"), "representative"), "members")
-    sigs = all_sigs.select("_id", "sig")
+    sigs = all_sigs.select("_id", "roots", "sketch")
     if not members.isEmpty():
         sigs = stage(sigs.join(members, F.col("_id") == F.col("member"), "left_anti"), "signatures")
 
-    split: list[np.ndarray] = []
-    rest = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    rows = sigs.count() * RUNS
-    small = SMALL
+    agree = 1 / 16 + 15 / 16 * threshold
+    least = agree - 3 * math.sqrt(agree * (1 - agree) / SLOTS)
+    hot = hot_paths(sigs)
+    rows = sigs.mapInArrow(walked(hot), f"depth int, path long, _id {kind}, sketch binary")
+    found = []
     for depth in range(DEPTH):
-        small = max(small, math.ceil(rows / SPLIT))  # so at most SPLIT paths can be larger
-        counts = sigs.mapInArrow(path_counts(split), "path long, n long").groupBy("path").agg(F.sum("n").alias("n")).filter(F.col("n") > small)
-        large = counts.toPandas()
-        if not len(large):
+        here = rows.filter(F.col("depth") == depth) if depth else rows.filter(F.col("depth") == 0)
+        out = here.repartition("path").sortWithinPartitions("path").mapInArrow(buckets(least, depth == DEPTH - 1, SMALL), f"path long, a {kind}, b {kind}, sketch binary")
+        out = stage(out, "buckets")
+        found.append(out.filter("path is null").select("a", "b"))
+        left = out.filter("path is not null").select(F.lit(depth + 1).alias("depth"), "path", F.col("a").alias("_id"), "sketch")
+        if depth == DEPTH - 1 or (depth >= len(hot) and left.isEmpty()):
             break
-        order = np.argsort(large.path.to_numpy().view(np.uint64))
-        paths, n = large.path.to_numpy().view(np.uint64)[order], large.n.to_numpy()[order]
-        if depth == DEPTH - 1:
-            rest = (paths, n)
-        else:
-            split.append(paths)
-            rows = int(n.sum()) * CHILDREN
-
-    agree = 0.25 + 0.75 * threshold
-    least = agree - 3 * math.sqrt(agree * (1 - agree) / SLOTS)
-    buckets = sigs.mapInArrow(bucket_rows(split, rest, small), "path long, _id long, s0 long, s1 long, s2 long, s3 long")
-    candidates = buckets.repartition("path").sortWithinPartitions("path").mapInArrow(compared(least), "a long, b long").distinct()
-    candidates = stage(candidates, "candidates")
+        rows = left.unionByName(rows.filter(F.col("depth") > depth)) if depth < len(hot) else left
+    if not left.isEmpty():
+        sizes = left.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+        blocks = left.join(sizes, "path").select("path", "n", "_id", "sketch").mapInArrow(dealt(BLOCK), f"path long, mine long, _id {kind}, sketch binary")
+        found.append(blocks.repartition("path").sortWithinPartitions("path").mapInArrow(blockwise(least), f"a {kind}, b {kind}"))
+    candidates = found[0]
+    for more in found[1:]:
+        candidates = candidates.unionByName(more)
+    candidates = stage(candidates.distinct(), "candidates")
     blanks = "[" + "".join(BLANKS) + "]"
     texts = base.select("_id", F.regexp_replace(F.concat(F.coalesce("_title", F.lit("")), F.coalesce("_text", F.lit(""))), blanks, "").alias("t"))
     ids = candidates.select(F.col("a").alias("_id")).union(candidates.select("b")).distinct()
     texts = stage(texts.join(ids, "_id", "left_semi"), "texts")
     both = candidates.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-    pairs = both.sortWithinPartitions("a").mapInArrow(verified(width, threshold), "a long, b long, jaccard double")
+    pairs = both.sortWithinPartitions("a").mapInArrow(verified(width, threshold), f"a {kind}, b {kind}, jaccard double")
     return stage(pairs, "pairs"), members
 
 
 def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs of records that the pairs of representatives and the classes stand for."""
+    """(a, b), a < b: all pairs of records that the pairs of representatives and the classes stand for.
+
+    A class of m records gives m * (m - 1) / 2 pairs, as asked for by whoever calls this; `groups`, or the pairs and members
+    themselves, say the same in one row a record. The members of a class are paired in blocks of CLASS_BLOCK.
+    """
     if members.isEmpty():
         return pairs.select("a", "b")
     whole = members.union(members.select(F.col("representative").alias("member"), "representative").distinct())
+    sizes = members.groupBy("representative").agg(F.ceil((F.count(F.lit(1)) + 1) / CLASS_BLOCK).cast("int").alias("_blocks"))
+    own = F.pmod(F.xxhash64("member"), F.col("_blocks")).cast("int")
+    dealt_ = whole.join(sizes, "representative").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    left = dealt_.select(F.col("member").alias("a"), "representative", F.col("_own").alias("i"), F.col("_other").alias("j"))
+    right = dealt_.select(F.col("member").alias("b"), "representative", F.col("_other").alias("i"), F.col("_own").alias("j"))
+    within = left.join(right, ["representative", "i", "j"]).filter("a < b").select("a", "b")
     left, right = whole.toDF("ma", "ra"), whole.toDF("mb", "rb")
-    within = left.join(right, (F.col("ra") == F.col("rb")) & (F.col("ma") < F.col("mb"))).select(F.col("ma").alias("a"), F.col("mb").alias("b"))
     across = pairs.join(left, F.col("a") == F.col("ra"), "left").join(right, F.col("b") == F.col("rb"), "left").select(F.coalesce("ma", "a").alias("a"), F.coalesce("mb", "b").alias("b"))
     return within.union(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 

@@ -32,6 +32,18 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_copies.groups(*near_copies.near_copies(table(spark, d, "documents"))).toDF("doc_id", "class_id", "links")
 
 
+def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Similar pairs between the representatives of equal texts; p2_members says whom they stand for."""
+    pairs, _ = near_copies.near_copies(table(spark, d, "documents"))
+    return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), F.round("jaccard", 6).alias("jaccard"))
+
+
+def p2_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every document of equal text with another, and the one that stands for it."""
+    _, members = near_copies.near_copies(table(spark, d, "documents"))
+    return members.toDF("doc_id", "representative")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return main_text.outside_lines(table(spark, d, "documents"))
 

@@ -66,3 +66,48 @@ def test_groups_and_empty(spark):
     assert N.expanded(*N.near_copies(spark.createDataFrame([], SCHEMA))).count() == 0
     wide = spark.createDataFrame([(1, "t", "abcdefgh", 5, b"x"), (2, "t", "abcdefgh", 6, b"y")], SCHEMA + ", a int, sig binary")
     assert N.expanded(*N.near_copies(wide)).collect()[0][:] == (1, 2)
+
+
+def test_string_keys_are_kept(spark):
+    rows = [("b-2", "", "abcdefghij klmnop"), ("a-1", "", "abcdefghij klmnoq"), ("c", "", "abcdefghij klmnop"), (None, "", "abcdefghij klmnop")]
+    pairs, members = N.near_copies(spark.createDataFrame(rows, SCHEMA.replace("long", "string")))
+    assert {tuple(r) for r in N.expanded(pairs, members).collect()} == {("a-1", "b-2"), ("a-1", "c"), ("b-2", "c")}
+
+
+def test_hot_paths_change_nothing_and_classes_are_paired_in_blocks(spark, monkeypatch):
+    """The same pairs whether a bucket is split before or after the shuffle, and a class larger than a block."""
+    r = random.Random(4)
+    base = [f"word{i}" for i in range(60)]
+    rows = [(k, "", " ".join(f"own{k}" if r.random() < 0.05 else w for w in base)) for k in range(60)] + [(1000 + k, "", "the very same text") for k in range(7)]
+    monkeypatch.setattr(N, "SMALL", 4)
+    monkeypatch.setattr(N, "DEPTH", 3)
+    monkeypatch.setattr(N, "BLOCK", 5)
+    monkeypatch.setattr(N, "CLASS_BLOCK", 3)
+    early = found(spark, rows)
+    monkeypatch.setattr(N, "HOT", 1e-9)
+    assert found(spark, rows) == early == brute(rows)
+
+
+def test_comparisons_grow_with_the_records(monkeypatch):
+    """Sixteen times the records (a split parts a bucket in sixteen), a third in one bucket: about sixteen times the comparisons."""
+    import numpy as np
+    import pyarrow as pa
+
+    def compared(n):
+        rng = np.random.default_rng(1)
+        sig = rng.integers(0, 1 << 32, (n, N.SLOTS), dtype=np.uint32)
+        sig[: n // 3, :40] = 7
+        ids, sketch, done = pa.array(range(n)), N.binary(N.four_bits(sig)), 0
+        monkeypatch.setattr(N, "near_ones", lambda ids, sketch, bucket, *_: counts.append(sum(k * (k - 1) // 2 for k in np.unique(bucket, return_counts=True)[1])))
+        counts = []
+        rows = pa.Table.from_batches(list(N.walked([])(iter([pa.record_batch({"_id": ids, "roots": N.binary(N.roots(sig)), "sketch": sketch})]))))
+        for depth in range(N.DEPTH):
+            rows = rows.sort_by("path")
+            out = pa.Table.from_batches(list(N.buckets(0.5, False, N.SMALL)(iter(rows.to_batches(max_chunksize=1000)))) or [pa.record_batch({"path": pa.array([], pa.int64()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "sketch": pa.array([], pa.binary())})])
+            if not len(out):
+                break
+            rows = pa.table({"depth": pa.nulls(len(out), pa.int32()), "path": out.column("path"), "_id": out.column("a"), "sketch": out.column("sketch")})
+        return sum(counts)
+
+    few, many = compared(2000), compared(32000)
+    assert 0 < many <= 1.5 * 16 * few, (few, many)
