@@ -89,7 +89,11 @@ def test_hot_paths_change_nothing_and_classes_are_paired_in_blocks(spark, monkey
 
 
 def test_comparisons_grow_with_the_records(monkeypatch):
-    """Sixteen times the records (a split parts a bucket in sixteen), a third in one bucket: about sixteen times the comparisons."""
+    """Sixteen times the records (a split parts a bucket in sixteen), a third in one bucket: far below their square.
+
+    A bucket is parted in 16 by each split and copied CHILDREN times; a third of the slots of these records part nothing.
+    That gives about n^1.46 here, and n^1.25 where every slot parts a bucket. Buckets bounded by a share of n give n^2.
+    """
     import numpy as np
     import pyarrow as pa
 
@@ -110,4 +114,4 @@ def test_comparisons_grow_with_the_records(monkeypatch):
         return sum(counts)
 
     few, many = compared(2000), compared(32000)
-    assert 0 < many <= 1.5 * 16 * few, (few, many)
+    assert 0 < many <= 16**1.5 * few
