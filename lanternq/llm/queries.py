@@ -99,15 +99,23 @@ def p7_forms(spark: SparkSession, d: str, with_form: bool = True) -> DataFrame:
     return one.unionByName(two).join(wrong, "doc_id", "left_anti")
 
 
+#: Edits within which a passage counts as found; p8_found then keeps the unbroken runs.
+EDITS = 1
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "benchmark"), edits=EDITS)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "benchmark")).select("doc_id", "item_id")
+    return _leaks(spark, d).filter("run * 2 >= item_length").select("doc_id", "item_id")
 
 
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
-    """Every item with the number of documents that hold it and the longest part found."""
-    items = table(spark, d, "benchmark")
-    found = leaks.leaked_items(table(spark, d, "documents"), items).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("run").alias("longest_run"))
-    return items.select("item_id").join(found, "item_id", "left").fillna(0, ["documents", "longest_run"])
+    """Every item with the number of documents that hold half of it, within an edit and unbroken, and the longest parts."""
+    whole = F.when(F.col("run") * 2 >= F.col("item_length"), F.col("doc_id"))
+    found = _leaks(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents_within_edits"), F.countDistinct(whole).alias("documents"), F.max("run").alias("longest_run"), F.max("part").alias("longest_part"))
+    return table(spark, d, "benchmark").select("item_id").join(found, "item_id", "left").fillna(0, ["documents_within_edits", "documents", "longest_run", "longest_part"])
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -57,3 +57,25 @@ def test_runs_with_edits(edits):
         assert [r[0] for r in L.matches(items, *L.kept_codes(["zz" + text + "zz"]))] == [0]
     items = L.Items([1], [word], (1, 1), edits)
     assert not list(L.matches(items, *L.kept_codes([word[:5] + "XXXX" + word[9:20] + "XXXX" + word[24:]])))
+
+
+def test_q_of_an_item_is_its_own():
+    long = "thequickbrownfoxjumpsoverthelazydog"
+    alone, both = L.Items([1], [long], (1, 2), 1), L.Items([1, 2], [long, "ab"], (1, 2), 1)
+    assert set(alone.grams) == {8} and set(both.grams) == {1, 8}
+    assert len(both.grams[8].hash) == len(alone.grams[8].hash)
+
+
+def test_planted_edits_are_found_through_the_bands(spark):
+    docs, items = data(5)
+    r = random.Random(8)
+    planted = []
+    for k in range(60):
+        item = kept(items[k % 30][1])
+        at = r.randrange(5, len(item) - 5)
+        planted.append((5000 + k, "zzzz" + (item[:at] + "Q" + item[at + k % 2 :] if k % 3 else item[:at] + item[at + 1 :]) + "yyyy"))
+    d, i = spark.createDataFrame(docs + planted, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x for x in L.leaked_items(d, i, share=(1, 1), edits=1).collect()}
+    assert {(5000 + k, k % 30) for k in range(60)} <= got.keys()
+    exact = L.leaked_items(d, i, edits=1).filter("run * 2 >= item_length").collect()
+    assert {(x.doc_id, x.item_id) for x in exact} == brute(docs + planted, items)
