@@ -6,9 +6,10 @@ records of a pair stay together as long as they share what is sampled. Small buc
 sketches of four bits a slot; runs are repeated until the target recall; pairs that may reach the threshold are verified on
 the exact sets. Equal texts form a class that takes part once.
 
-A bucket is split by the task that reads it, as its records pass by, so no list of buckets is held anywhere and SMALL is the
-same at every size. Only paths that hold a large part of a sample of the records are split before they are shuffled, so
-that none of them meets in one task; the tree of buckets is the same either way.
+A bucket is split by the task that reads it: all at once if it has at most HELD records, else its records go on to the next
+shuffle as they pass by. So no list of buckets is held anywhere, and SMALL is the same at every size. Only paths that hold
+a large part of a sample of the records are split before they are shuffled, so that none of them meets in one task; the
+tree of buckets is the same wherever it is split.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ SLOTS = 128
 RUNS, CHILDREN, DEPTH = 12, 2, 10
 #: Records that are compared by brute force.
 SMALL = 64
+#: Records of a bucket that a task holds to split it by itself.
+HELD = 50_000
 #: Records of a bucket that is not to be split any more are compared block by block, with so many records in a block.
 BLOCK = 2048
 #: About so many records are looked at for hot paths, which hold more than one in HOT of them. They choose where a bucket is
 #: split, before or after the shuffle, never whether.
-HOT_SAMPLE, HOT = 200_000, 1000
+HOT_SAMPLE, HOT = 100_000, 200
 #: Members of a class of equal texts in one block of the expansion.
 CLASS_BLOCK = 1000
 BLANKS = (" ", "\n", "\u00a0", "\u3000")
@@ -221,55 +224,73 @@ def near_ones(ids: pa.Array, sketch: np.ndarray, bucket: np.ndarray, least: floa
     return pairs.group_by(["a", "b"]).aggregate([]).combine_chunks() if len(pairs) else None
 
 
-def buckets(least: float, last: bool, small: int):
-    """mapInArrow function over (depth, path, _id, sketch) sorted by path: pairs of small buckets, and the rows of the next depth.
+def buckets(least: float, small: int, deepest: int, held_rows: int):
+    """mapInArrow function over (depth, path, _id, sketch) sorted by path: pairs of small buckets, and rows to go on with.
 
-    Gives (a, b) of pairs with a null path, else (path, _id, sketch) of a bucket that is split; at the last depth the rows
-    of large buckets stay under their path. A bucket is held only up to `small` rows, then its rows go on as they come.
+    Gives (a, b) of pairs with a null path, else (depth, path, a, sketch): rows of the next depth of a bucket of more than
+    held_rows, or rows of a bucket that is still larger than small at the depth `deepest`, where nothing is split any more.
     """
     n = SLOTS // 16
+    Rows = tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]
 
-    def compared(path: np.ndarray, ids: pa.Array, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
-        table = near_ones(ids, sketch, path, least)
-        if table is not None:
-            for b in table.to_batches():
-                yield pa.record_batch({"path": pa.nulls(len(b), pa.int64()), "a": b.column(0), "b": b.column(1), "sketch": pa.nulls(len(b), pa.binary())})
+    def going_on(depth: np.ndarray, path: np.ndarray, ids: pa.Array, sketch: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch({"depth": depth.astype(np.int32), "path": path.view(np.int64), "a": ids, "b": pa.nulls(len(ids), ids.type), "sketch": binary(sketch)})
 
-    def split(path: np.ndarray, ids: pa.Array, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def taken(rows: Rows, at: np.ndarray) -> Rows:
+        return rows[0][at], rows[1][at], rows[2].take(pa.array(at)), rows[3][at]
+
+    def whole(rows: Rows) -> Iterator[pa.RecordBatch]:
+        """Complete buckets, sorted by path: compared, or split here until they can be."""
+        while len(rows[1]):
+            depth, path, ids, sketch = rows
+            edge = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
+            size = np.diff(np.r_[edge, len(path)])
+            large = np.repeat(size > small, size)
+            few = np.flatnonzero(~large)
+            if len(few) and (out := near_ones(ids.take(pa.array(few)), sketch[few], path[few], least)) is not None:
+                for b in out.to_batches():
+                    yield pa.record_batch({"depth": pa.nulls(len(b), pa.int32()), "path": pa.nulls(len(b), pa.int64()), "a": b.column(0), "b": b.column(1), "sketch": pa.nulls(len(b), pa.binary())})
+            stuck = np.flatnonzero(large & (depth >= deepest))
+            if len(stuck):
+                yield going_on(*taken(rows, stuck))
+            depth, path, ids, sketch = taken(rows, np.flatnonzero(large & (depth < deepest)))
+            row, path = children(path, sketch)
+            order = np.argsort(path, kind="stable")
+            row = row[order]
+            rows = depth[row] + 1, path[order], ids.take(pa.array(row)), sketch[row]
+
+    def passing(rows: Rows) -> Iterator[pa.RecordBatch]:
+        """Rows of a bucket that is too large to be held."""
+        depth, path, ids, sketch = rows
         for k in range(0, len(path), 20_000):
-            own, p = sketch[k : k + 20_000], path[k : k + 20_000]
-            row, p = (np.arange(len(p)), p) if last else children(p, own)
-            pick = ids.slice(k, len(own)).take(pa.array(row))
-            yield pa.record_batch({"path": p.view(np.int64), "a": pick, "b": pa.nulls(len(pick), pick.type), "sketch": binary(own[row])})
+            d, p, own = depth[k : k + 20_000], path[k : k + 20_000], sketch[k : k + 20_000]
+            row, p = children(p, own) if d[0] < deepest else (np.arange(len(p)), p)
+            yield going_on(np.minimum(d[row] + 1, deepest) if d[0] < deepest else d, p, ids.slice(k, len(own)).take(pa.array(row)), own[row])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
-        going: int | None = None  # the path whose rows are being split
+        held: Rows | None = None
+        going: int | None = None  # the path whose rows are passing
         for batch in batches:
-            path, ids, sketch = batch.column(1).to_numpy().view(np.uint64), batch.column(2), words(batch.column(3), n)
+            rows = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2), words(batch.column(3), n)
+            if going is not None:
+                same = int(np.searchsorted(rows[1] != np.uint64(going), True))
+                yield from passing((rows[0][:same], rows[1][:same], rows[2].slice(0, same), rows[3][:same]))
+                if same == len(rows[1]):
+                    continue
+                going, rows = None, (rows[0][same:], rows[1][same:], rows[2].slice(same), rows[3][same:])
             if held is not None:
-                path, ids, sketch = np.r_[held[0], path], pa.concat_arrays([held[1], ids]), np.concatenate([held[2], sketch])
-            held = None
-            if not len(path):
+                rows = np.r_[held[0], rows[0]], np.r_[held[1], rows[1]], pa.concat_arrays([held[2], rows[2]]), np.concatenate([held[3], rows[3]])
+                held = None
+            if not len(rows[1]):
                 continue
-            edge = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
-            size = np.diff(np.r_[edge, len(path)])
-            large = size > small
-            if going is not None and path[0] == np.uint64(going):
-                large[0] = True
-            big = np.repeat(large, size)
-            going = int(path[-1]) if large[-1] else None
-            ready = np.ones(len(path), bool)
-            if not large[-1]:  # the last bucket may go on in the next batch
-                ready[edge[-1] :] = False
-                held = (path[edge[-1] :], ids.slice(edge[-1]), sketch[edge[-1] :])
-            few, many = np.flatnonzero(~big & ready), np.flatnonzero(big)
-            if len(few):
-                yield from compared(path[few], ids.take(pa.array(few)), sketch[few])
-            if len(many):
-                yield from split(path[many], ids.take(pa.array(many)), sketch[many])
+            cut = len(rows[1]) - int(np.searchsorted(rows[1][::-1] != rows[1][-1], True))
+            yield from whole((rows[0][:cut], rows[1][:cut], rows[2].slice(0, cut), rows[3][:cut]))
+            held = rows[0][cut:], rows[1][cut:], rows[2].slice(cut), rows[3][cut:]
+            if len(held[1]) > held_rows:
+                yield from passing(held)
+                going, held = int(held[1][0]), None
         if held is not None:
-            yield from compared(*held)
+            yield from whole(held)
 
     return run
 
@@ -375,15 +396,14 @@ def near_copies(df: DataFrame, key: str = "doc_id", title: str = "title", text:
     hot = hot_paths(sigs)
     rows = sigs.mapInArrow(walked(hot), f"depth int, path long, _id {kind}, sketch binary")
     found = []
-    for depth in range(DEPTH):
-        here = rows.filter(F.col("depth") == depth) if depth else rows.filter(F.col("depth") == 0)
-        out = here.repartition("path").sortWithinPartitions("path").mapInArrow(buckets(least, depth == DEPTH - 1, SMALL), f"path long, a {kind}, b {kind}, sketch binary")
+    while True:  # once, but for buckets of more than HELD records that are not hot
+        out = rows.repartition("path").sortWithinPartitions("path").mapInArrow(buckets(least, SMALL, DEPTH - 1, HELD), f"depth int, path long, a {kind}, b {kind}, sketch binary")
         out = stage(out, "buckets")
         found.append(out.filter("path is null").select("a", "b"))
-        left = out.filter("path is not null").select(F.lit(depth + 1).alias("depth"), "path", F.col("a").alias("_id"), "sketch")
-        if depth == DEPTH - 1 or (depth >= len(hot) and left.isEmpty()):
+        left = out.filter("path is not null").select("depth", "path", F.col("a").alias("_id"), "sketch")
+        if left.filter(F.col("depth") < DEPTH - 1).isEmpty():
             break
-        rows = left.unionByName(rows.filter(F.col("depth") > depth)) if depth < len(hot) else left
+        rows = left
     if not left.isEmpty():
         sizes = left.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
         blocks = left.join(sizes, "path").select("path", "n", "_id", "sketch").mapInArrow(dealt(BLOCK), f"path long, mine long, _id {kind}, sketch binary")
