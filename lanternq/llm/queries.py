@@ -63,8 +63,8 @@ def p4_clean_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_templates(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return site_lines.templates(site_lines.repeated_lines(docs), docs)
+    """Templates that stand in many documents of a site, lines with changing names among them."""
+    return site_lines.templates(table(spark, d, "documents"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -43,8 +43,7 @@ def test_lines_equal_brute_force(spark):
     assert got == brute(rows()) and got
 
 
-def test_many_leaves_are_joined_instead(spark, monkeypatch):
-    monkeypatch.setattr(L, "HELD_LEAVES", 0)
+def test_small_trees_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(L, "TREE_NODES", 3)
     got = sorted(((r.doc_id, r.line_no) for r in L.repeated_lines(spark.createDataFrame(rows(), SCHEMA)).collect()), key=str)
     assert got == brute(rows())
@@ -55,5 +54,18 @@ def test_clean_text_templates_and_empty(spark):
     found = L.repeated_lines(df)
     clean = {r.doc_id: r.text for r in L.without_lines(df, found).collect()}
     assert clean[3] == "\nowndz" and clean[9] is None
-    assert {r.template for r in L.templates(found, df).collect()} == {"a", "share #"}
+    assert {(r.template, r.documents) for r in L.templates(df).collect()} == {("a", 8), ("share #", 8)}
     assert L.repeated_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_name_in_the_middle_is_a_wildcard(spark):
+    """Planted lines with changing names, against the same by hand; article lines stay."""
+    names = ["Anna Ho", "Ben Li", "Cy Ma", "Di Wu", "Ed Xu", "Flo Yi", "Gus Zu", "Hal Ke"]
+    rows = [(k, "http://b.example/", f"Edited by {n} for the campus paper\n作者：{n.split()[0]}作\nword{'abcdefgh'[k]} and nothing like it{'?' * k}\nsame") for k, n in enumerate(names)]
+    rows += [(100 + k, "http://c.example/", f"Edited by {n} for the campus paper") for k, n in enumerate(names[:5])]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    lines, found = L.template_lines(df)
+    assert sorted((r.doc_id, r.line_no) for r in lines.collect()) == sorted((k, n) for k in range(8) for n in (1, 2, 4))
+    got = {(r.site, r.template, r.documents, r.lines) for r in L.templates(df).collect()}
+    assert got == {("b.example", "Edited by <*> <*> for the campus paper", 8, 8), ("b.example", "作者 ： <*>", 8, 8), ("b.example", "same", 8, 8)}
+    assert {r.line_no for r in L.repeated_lines(df).collect()} == {4}
