@@ -111,34 +111,37 @@ def consistent(text: str) -> str:
     return BLANK.sub(" ", text).replace(KEEP, "\u200d")
 
 
-def checked(with_form: bool):
-    """mapInArrow function: (key, text) -> (_id, bits[, form]) of the rows that hold a fault; each distinct value once."""
+def checked(every: bool):
+    """mapInArrow function: (key, text) -> (_id, bits, form) of the rows that hold a fault, or of all; each distinct value once.
+
+    The form of every value is made; a value has a fault if it differs from its form and holds what a fault is made of.
+    Accents without a composed letter stay in the form, so they count without a difference.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             coded = batch.column(1).dictionary_encode()
             values = coded.dictionary.to_pylist()
+            forms = [consistent(v) for v in values]
             bits = faults(values)
+            differs = np.fromiter((f != v for f, v in zip(forms, values, strict=True)), bool, len(values))
+            bits[~differs & (bits & ACCENT == 0)] = 0
             of = coded.indices.to_numpy(zero_copy_only=False)
-            rows = np.flatnonzero(bits[of]) if len(values) else np.zeros(0, np.int64)
-            out = {"_id": batch.column(0).take(pa.array(rows)), "bits": bits[of[rows]].astype(np.int32)}
-            if with_form:
-                forms = {k: consistent(values[k]) for k in np.flatnonzero(bits).tolist()}
-                out["form"] = pa.array([forms[k] for k in of[rows].tolist()], pa.string())
-            yield pa.record_batch(out)
+            rows = (np.arange(len(of)) if every else np.flatnonzero(bits[of])) if len(values) else np.zeros(0, np.int64)
+            yield pa.record_batch({"_id": batch.column(0).take(pa.array(rows)), "bits": bits[of[rows]].astype(np.int32), "form": pa.array([forms[k] for k in of[rows].tolist()], pa.string())})
 
     return run
 
 
-def inconsistent(df: DataFrame, key: str, text: str, with_form: bool = True) -> DataFrame:
-    """(key, faults, form): rows whose text holds look-alike characters, which kinds, and the consistent form.
+def inconsistent(df: DataFrame, key: str, text: str, every: bool = False) -> DataFrame:
+    """(key, faults, form): rows whose text differs from its consistent form by look-alike characters, and that form.
 
     Faults are full-width letters and digits, half-width kana, Latin letters with a separate accent, invisible characters
     (not joiners between emoji), unusual spaces, radicals and compatibility forms of Han characters, and Greek or Cyrillic
-    letters directly beside Latin ones. Null and empty texts have none. Rows with equal keys are reported each by itself.
+    letters directly beside Latin ones. With `every`, all rows with a text come out, those without a fault with no faults.
+    Null and empty texts have none and no row. Rows with equal keys are reported each by itself.
     """
     base = df.select(F.col(key).alias("_id"), F.col(text).alias("_text")).filter("_text is not null and _text <> ''")
-    schema = f"_id {dict(df.dtypes)[key]}, bits int" + ", form string" * with_form
-    out = spread(base).mapInArrow(checked(with_form), schema)
+    out = spread(base).mapInArrow(checked(every), f"_id {dict(df.dtypes)[key]}, bits int, form string")
     names = F.array_compact(F.array(*[F.when(F.col("bits").bitwiseAND(F.lit(b)) > 0, n) for b, n in FAULTS.items()]))
-    return out.select(F.col("_id").alias(key), names.alias("faults"), *(["form"] if with_form else []))
+    return out.select(F.col("_id").alias(key), names.alias("faults"), "form")

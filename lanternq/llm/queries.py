@@ -76,9 +76,10 @@ def p5_term_frequencies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of positive relevance weight that reach the bound of the problem's own rule."""
     scored = terms.distinctive_terms(table(spark, d, "indexed_documents"), "document_id", NORM, least=3, records_between=(2, 20))
     weight = F.col("n") / F.col("length") * F.log(F.col("rows") / F.col("records"))
-    return scored.filter(weight >= 0.05).select("document_id", "term")
+    return scored.filter((F.col("score") > 0) & (weight >= 0.05)).select("document_id", "term")
 
 
 def p6_term_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -86,17 +87,21 @@ def p6_term_scores(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("document_id", "term", "n", "records", F.round("score", 6).alias("score"))
 
 
+def _forms(spark: SparkSession, d: str, every: bool) -> DataFrame:
+    one = lookalikes.inconsistent(table(spark, d, "documents"), "doc_id", "text", every).withColumn("field", F.lit("text"))
+    two = lookalikes.inconsistent(table(spark, d, "indexed_documents"), "document_id", "text_norm", every).withColumnRenamed("document_id", "doc_id").withColumn("field", F.lit("text_norm"))
+    return one.unionByName(two)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_forms(spark, d, False).select("doc_id", "field")
+    """Values that differ from their form by one of the faults; documents decoded wrongly are left to problem 1."""
+    wrong = encodings.wrong_lines(table(spark, d, "documents")).filter("field = 'text'").select("doc_id").distinct()
+    return _forms(spark, d, False).join(wrong, "doc_id", "left_anti").select("doc_id", "field")
 
 
-def p7_forms(spark: SparkSession, d: str, with_form: bool = True) -> DataFrame:
-    """Affected values with their faults and consistent form; documents decoded wrongly (problem 1) are left to that problem."""
-    docs = table(spark, d, "documents")
-    one = lookalikes.inconsistent(docs, "doc_id", "text", with_form).withColumn("field", F.lit("text"))
-    two = lookalikes.inconsistent(table(spark, d, "indexed_documents"), "document_id", "text_norm", with_form).withColumnRenamed("document_id", "doc_id").withColumn("field", F.lit("text_norm"))
-    wrong = encodings.wrong_lines(docs).filter("field = 'text'").select("doc_id").distinct()
-    return one.unionByName(two).join(wrong, "doc_id", "left_anti")
+def p7_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent form of every value, with or without a fault, so that equal looks compare equal."""
+    return _forms(spark, d, True)
 
 
 #: Edits within which a passage counts as found; p8_found then keeps the unbroken runs.
