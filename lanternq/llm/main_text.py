@@ -18,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import spread
+from ..sources.staging import spread, stage
 from .codes import joined, major_category
 
-#: Labelled pages that the model is fitted on; slots and sizes of its vectors; passes over the sample.
+#: Labelled pages that the model is fitted on, and the longest page that it may be fitted on; both bound the fit only, every
+#: page is labelled.
 TRAIN_PAGES = 1500
+LONGEST_LESSON = 200_000
+#: Slots and sizes of its vectors; passes over the sample.
 WORD_SLOTS, WORD_DIM, PATH_SLOTS, PATH_DIM, HIDDEN, MEASURES = 1 << 14, 16, 1 << 10, 8, 24, 8
 EPOCHS, BATCH, RATE = 8, 24, 0.01
 #: Lines in one padded batch of labelling; a longer page is a batch of its own.
@@ -106,6 +109,12 @@ def lines_with_paths(text: str, page: str | None) -> tuple[list[int], list[str],
     return numbers, lines, paths, links
 
 
+def container(path: tuple[str, ...]) -> str:
+    """The outermost element around a block, none for a block at the top. A table cell is a container of its own, as pages
+    laid out by tables put their columns into cells."""
+    return path[0] if len(path) > 1 or path[:1] == ("td",) else ""
+
+
 def taught(text: str, page: str) -> list[int] | None:
     """Labels (1 outside the article) of the non-blank lines of a page whose containers tell; None where they do not."""
     of = blocks(page)
@@ -114,7 +123,7 @@ def taught(text: str, page: str) -> list[int] | None:
     _, _, paths, _ = lines_with_paths(text, page)
     if not paths or sum(p is None for p in paths) > 0.2 * len(paths):
         return None
-    top = ["" if len(p) <= 1 and p[:1] != ("td",) else p[0] for p, _, _ in of]
+    top = [container(p) for p, _, _ in of]
     if len(set(top)) == 1:  # an article saved alone
         return [0] * len(paths)
     groups: dict[str, float] = {}
@@ -123,7 +132,7 @@ def taught(text: str, page: str) -> list[int] | None:
     main = max(groups, key=lambda g: groups[g])
     if groups[main] < 0.6 * sum(groups.values()):
         return None
-    return [-1 if p is None else int(("" if len(p) <= 1 and p[:1] != ("td",) else p[0]) != main) for p in paths]
+    return [-1 if p is None else int(container(p) != main) for p in paths]
 
 
 def hash_of(token: str, slots: int) -> int:
@@ -172,6 +181,17 @@ def measures(lines: list[str], linked: list[float]) -> np.ndarray:
     return out
 
 
+def added(like: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Zeros like `like` with each of the rows added at its place."""
+    out = np.zeros_like(like)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        place = at[order]
+        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        out[place[first]] = np.add.reduceat(rows[order], first)
+    return out
+
+
 class Labeller:
     """The network. Parameters are plain arrays, so it travels to the tasks as it is."""
 
@@ -256,10 +276,8 @@ class Labeller:
             g["x" + d], g["b" + d], g["h" + d] = x.T @ dz, dz.sum(0), dw
             dx += dz @ self.p["x" + d].T
         ids, first, n, line, slot = self.seen
-        g["word"] = np.zeros_like(self.p["word"])
-        np.add.at(g["word"], ids, np.repeat(dx[:, :WORD_DIM] / n, n[:, 0], axis=0))
-        g["path"] = np.zeros_like(self.p["path"])
-        np.add.at(g["path"], slot, dx[line, WORD_DIM : WORD_DIM + PATH_DIM])
+        g["word"] = added(self.p["word"], ids, (dx[:, :WORD_DIM] / n)[np.repeat(np.arange(len(n)), n[:, 0])])
+        g["path"] = added(self.p["path"], slot, dx[line, WORD_DIM : WORD_DIM + PATH_DIM])
         return g
 
     def fit(self, pages: list[dict], seed: int = 5) -> Labeller:
@@ -284,7 +302,6 @@ class Labeller:
                     v[k] = 0.99 * v[k] + 0.01 * g * g
                     self.p[k] = self.p[k] - (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
         self.seen = self.tape = self.last = self.index = None
-        self.fitted = bool(pages)
         return self
 
 
@@ -303,19 +320,40 @@ def page_of(text: str, page: str | None, known: dict, label: list[int] | None =
     return out | ({"label": np.array(label, np.float32)} if label is not None else {})
 
 
-def trained(df: DataFrame, text: str, page: str, pages: int = TRAIN_PAGES) -> Labeller:
-    """A labeller fitted on at most `pages` pages that tell their article, the same ones on every run."""
-    share = min(1.0, 4 * pages / max(1, df.count()))
-    some = F.pmod(F.xxhash64(text, page), F.lit(1 << 30)) < int(share * (1 << 30))  # so few rows of each task reach the driver
-    rows = df.select(text, page).filter(f"length(`{page}`) > 0 and length(`{text}`) > 0 and length(`{page}`) < 200000").filter(some)
-    rows = rows.orderBy(F.xxhash64(text, page)).limit(2 * pages).collect()
+def lessons(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function over the sampled (text, html) rows in order -> (name, shape, data) of the fitted parameters."""
     known: dict = {}
-    out = []
-    for t, h in rows:
-        label = taught(t, h)
-        if label is not None and (p := page_of(t, h, known, label)):
-            out.append(p)
-    return Labeller().fit(out[:pages])
+    pages = []
+    for batch in batches:
+        for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if len(pages) < TRAIN_PAGES and (label := taught(t, h)) is not None and (p := page_of(t, h, known, label)):
+                pages.append(p)
+    if pages:
+        net = Labeller().fit(pages)
+        yield pa.record_batch({"name": list(net.p), "shape": pa.array([list(x.shape) for x in net.p.values()], pa.list_(pa.int32())), "data": [x.tobytes() for x in net.p.values()]})
+
+
+def trained(df: DataFrame, text: str = "text", page: str = "content_html") -> DataFrame:
+    """(name, shape, data): a labeller fitted on at most TRAIN_PAGES pages that tell their article, the same on every run.
+
+    The pages are drawn by a hash among those that have a text and kept blocks, and fitted in one task; the result is a
+    staged table of about a megabyte that can be kept and given to outside_lines. It is empty if no page tells its article.
+    """
+    rows = df.select(text, page).filter(f"length(`{page}`) > 0 and length(`{text}`) > 0 and length(`{page}`) < {LONGEST_LESSON}")
+    share = min(1.0, 4 * TRAIN_PAGES / max(1, rows.count()))
+    some = rows.filter(F.pmod(F.xxhash64(text, page), F.lit(1 << 30)) < int(share * (1 << 30)))
+    some = some.orderBy(F.xxhash64(text, page)).limit(2 * TRAIN_PAGES)
+    return stage(some.coalesce(1).mapInArrow(lessons, "name string, shape array<int>, data binary"), "labeller")
+
+
+def loaded(fitted: DataFrame) -> Labeller | None:
+    """The labeller of a table that `trained` made; None if it is empty."""
+    rows = fitted.collect()  # a row per parameter
+    if not rows:
+        return None
+    net = Labeller()
+    net.p = {r.name: np.frombuffer(r.data, np.float32).reshape(r.shape) for r in rows}
+    return net
 
 
 def labelled(model, share: float):
@@ -363,17 +401,18 @@ def labelled(model, share: float):
     return run
 
 
-def outside_lines(df: DataFrame, key: str = "doc_id", text: str = "text", page: str = "content_html", share: float = 0.5) -> DataFrame:
+def outside_lines(df: DataFrame, key: str = "doc_id", text: str = "text", page: str = "content_html", share: float = 0.5, fitted: DataFrame | None = None) -> DataFrame:
     """(key, line_no): the non-blank lines of each text that the labeller puts outside the article.
 
-    Lines count from 1, blank ones included. Where the page's blocks are null or empty, lines are judged by themselves and
-    their neighbours. Null, empty and blank texts have no lines. If no page tells its article, the labeller stays untrained
-    and nothing is reported. Rows with equal keys are reported each by itself. Other columns are ignored.
+    `fitted` is a labeller that `trained` made; without one it is fitted on df. Lines count from 1, blank ones included.
+    Where the page's blocks are null or empty, lines are judged by themselves and their neighbours. Null, empty and blank
+    texts have no lines. If no page tells its article, nothing is reported. Rows with equal keys are reported each by
+    itself. Other columns are ignored.
     """
     spark = df.sparkSession
-    net = trained(df, text, page)
+    net = loaded(trained(df, text, page) if fitted is None else fitted)
     schema = f"_id {dict(df.dtypes)[key]}, line_no long"
     base = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"), F.col(page).alias("_page"))
-    if not net.fitted:
+    if net is None:
         return spark.createDataFrame([], schema).withColumnRenamed("_id", key)
     return spread(base).mapInArrow(labelled(spark.sparkContext.broadcast(net), share), schema).withColumnRenamed("_id", key)

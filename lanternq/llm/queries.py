@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,13 +45,27 @@ def p2_members(spark: SparkSession, d: str) -> DataFrame:
     return members.toDF("doc_id", "representative")
 
 
+_fitted: dict[tuple[str, str], str] = {}
+
+
+def _labeller(spark: SparkSession, d: str) -> DataFrame:
+    """The labeller of a directory's pages, fitted once an application and kept in the shared folder as long as that is."""
+    at = spark.sparkContext.applicationId, d
+    try:
+        return spark.read.parquet(_fitted[at])
+    except (KeyError, AnalysisException):
+        fitted = main_text.trained(table(spark, d, "documents"))
+        _fitted[at] = fitted.inputFiles()[0].rpartition("/")[0]
+        return fitted
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return main_text.outside_lines(table(spark, d, "documents"))
+    return main_text.outside_lines(table(spark, d, "documents"), fitted=_labeller(spark, d))
 
 
 def p3_main_text(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return site_lines.without_lines(docs, main_text.outside_lines(docs))
+    return site_lines.without_lines(docs, main_text.outside_lines(docs, fitted=_labeller(spark, d)))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

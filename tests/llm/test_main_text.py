@@ -55,3 +55,28 @@ def test_blocks_and_no_teacher(spark):
     assert [b[1] for b in M.blocks("<div class=a>x <a href=1>y</a><br>z</div><!-- n --><p>&lt;w")] == ["x y", "z", "<w"]
     assert M.outside_lines(spark.createDataFrame([(1, "a\nb", None)], SCHEMA)).count() == 0
     assert M.outside_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_fitted_labeller_is_kept_and_given(spark):
+    r = random.Random(2)
+    rows = [page(r, k)[0] for k in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    fitted = M.trained(df)
+    a, b = M.loaded(fitted), M.loaded(spark.read.parquet(fitted.inputFiles()[0]))
+    assert all((a.p[k] == b.p[k]).all() for k in a.p)
+    bare = spark.createDataFrame([(k, t, None) for k, t, _ in rows], SCHEMA)
+    want = {(x.doc_id, x.line_no) for x in M.outside_lines(df).collect()}
+    got = {(x.doc_id, x.line_no) for x in M.outside_lines(bare, fitted=fitted).collect()}
+    assert len(got ^ want) <= 0.03 * len(want)
+
+
+def test_rows_without_blocks_do_not_thin_the_lessons(spark):
+    """The share of drawn pages is taken over the pages that can teach, not over all rows."""
+    r = random.Random(3)
+    rows = [page(r, k, k < 60)[0] for k in range(3000)]
+    assert M.loaded(M.trained(spark.createDataFrame(rows, SCHEMA))) is not None
+
+
+def test_added():
+    like, at, rows = np.zeros((5, 2)), np.array([3, 0, 3]), np.array([[1.0, 2], [3, 4], [5, 6]])
+    assert (M.added(like, at, rows) == [[3, 4], [0, 0], [0, 0], [6, 8], [0, 0]]).all()
