@@ -9,7 +9,6 @@ source). The keys with the highest share give the byte-to-letter mapping that re
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import spread, stage
-from .codes import MAX_CP, codes_of
+from .codes import MAX_CP, codes_of, text_of
 
 #: Code pages that a text may be shown in by mistake, and that it may truly be in.
 SINGLE = ["cp1252", "mac_roman", "cp1251", "koi8_r", "cp437", "cp1250", "cp850", "cp866", "iso8859_5", "cp874", "cp1253", "cp1254"]
@@ -47,8 +46,9 @@ LOST = len(KEYS)
 PAGES = [*SINGLE, *DOUBLE]
 BY_SHOWN = {page: [(k, true) for k, (true, shown) in enumerate(KEYS) if shown == page] for page in PAGES}
 PAIR_BITS = 19
-#: A line counts from this gain (in nats) on, a field from this sum of the gains of its lines on.
-LINE_GAIN, FIELD_GAIN = 4.0, 9.0
+#: A line counts from this gain (in nats) on, a field from this sum of the gains of its lines on, or from SURE nats above
+#: what its source has learned about the key.
+LINE_GAIN, FIELD_GAIN, SURE = 4.0, 9.0, 3.0
 CYRILLIC = ("cp866", "cp1251")
 #: Nats for a line that is valid UTF-8 by its bytes, which chance hardly makes.
 VALID_GAIN = 5.0
@@ -123,17 +123,6 @@ def bytes_of(piece: str, page: str) -> bytes:
     return piece.encode(page) if byte is None else byte[codes_of(piece)].tobytes()
 
 
-def short_runs(piece: str, raw: bytes, page: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, text): each run of UTF-8 letters of the piece's bytes by itself, with what it reads as."""
-    for m in RUNS[1].finditer(raw):
-        before, after = shown_text(raw[: m.start()], page), shown_text(raw[m.end() :], page)
-        new = m.group().decode("utf-8", "replace")
-        if not piece.endswith(after):  # the last byte was shown together with the letter after it
-            new, after = new + after[:1], after[1:]
-        if piece.startswith(before) and piece.endswith(after):
-            yield len(before), len(piece) - len(after), new
-
-
 def shown_text(raw: bytes, page: str) -> str:
     return "".join(map(single_table(page).__getitem__, raw)) if page in SINGLE else raw.decode(page, "replace")
 
@@ -161,7 +150,6 @@ class Language:
     def __init__(self, letters: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray) -> None:
         self.letters, self.counts, self.pairs, self.pair_counts = letters, counts, pairs, pair_counts
         self.ready = False
-        self.pieces: dict[tuple[str, ...], list[tuple[int, float, str]]] = {}
 
     def prepare(self) -> Language:
         if not self.ready:
@@ -169,20 +157,41 @@ class Language:
             self.single = np.full(MAX_CP, 0.02 / total)
             self.single[self.letters] = (self.counts + 0.02) / total
             self.single[0xFFFD] = 1e-9
+            self.half = 0.5 * np.log(self.single)
             self.joint = np.zeros(1 << PAIR_BITS)
             self.joint[self.pairs] = self.pair_counts / total
             self.ready = True
         return self
 
+    def pair_scores(self, c: np.ndarray) -> np.ndarray:
+        """Half the joint log probability of each letter with the next one.
+
+        A pair is never more probable than its rarer letter, whatever else shares its slot.
+        """
+        c = c.astype(np.int64)
+        p = self.single[c]
+        low = np.minimum(p[:-1], p[1:])
+        joint = 0.9 * np.minimum(self.joint[pair_slot(c[:-1], c[1:])], low) * (p[:-1] > 1e-8) + 0.1 * p[:-1] * p[1:]
+        return 0.5 * np.log(joint)
+
+    def bounds(self, c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The most that each piece of c can score with unknown neighbours: its inner pairs, and its first and last letter."""
+        total = np.r_[0.0, np.cumsum(self.pair_scores(np.r_[c, 10]))]
+        out = np.zeros(len(start))
+        some = end > start
+        a, b = start[some], end[some]
+        out[some] = total[b - 1] - total[a] + self.half[c[a]] + self.half[c[b - 1]]
+        return out
+
     def scores(self, texts: list[str]) -> np.ndarray:
-        """Of each text, half the sum of the joint log probabilities of its letter pairs, the ends included."""
+        """Of each text, the sum of the pair scores from its first to its last letter."""
         if not texts:
             return np.zeros(0)
-        c = codes_of("\n" + "\n".join(texts) + "\n").astype(np.int64)
-        p = self.single[c]
-        joint = 0.9 * self.joint[pair_slot(c[:-1], c[1:])] * (p[:-1] > 1e-8) + 0.1 * p[:-1] * p[1:]
-        size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        return 0.5 * np.add.reduceat(np.log(joint), np.r_[0, np.cumsum(size)[:-1]])
+        score = self.pair_scores(codes_of("".join(texts) + "\n"))
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        end = np.cumsum(size)
+        total = np.r_[0.0, np.cumsum(score)]
+        return total[end - 1] - total[end - size]
 
 
 def pair_slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -227,91 +236,178 @@ def quoted(line: str, fixed: str) -> bool:
 LOST_SIGNS = re.compile(f"(?:�|{GARBAGE}|[{GARBAGE}](?=[�{GARBAGE}])|(?<=[�{GARBAGE}])[{GARBAGE}])+")
 
 
-def explained_pieces(pieces: list[tuple[str, str, str, str]], lm: Language) -> list[list[tuple[int, float, str]]]:
-    """Of each (page, piece, letter before, letter after), (key, gain, restored piece) of every key of the page that reads better there."""
-    number: dict[str, int] = {}
-    news: dict[tuple[str, str], list[tuple[int, int, int, str]]] = {}
-    tries = []
-    for i, (page, piece, left, right) in enumerate(pieces):
-        found = news.get((page, piece))
-        if found is None:
-            raw = bytes_of(piece, page)
-            found = news[page, piece] = [(k, 0, len(piece), new) for k, true in BY_SHOWN[page] if (new := undone(raw, true, page)) is not None and new != piece]
-            if page in CYRILLIC or page in DOUBLE:
-                found += [(KEYS.index(("utf-8", page)), *run) for run in short_runs(piece, raw, page)]
-        for k, a, b, new in found:
-            l, r = piece[a - 1 : a] or left, piece[b : b + 1] or right
-            tries.append((i, k, number.setdefault(l + piece[a:b] + r, len(number)), number.setdefault(l + new + r, len(number)), a, b, new))
-    out: list[list[tuple[int, float, str]]] = [[] for _ in pieces]
-    if tries:
-        score = lm.scores(list(number))
-        old, new = np.array([x[2:4] for x in tries], np.int64).T
-        gain = score[new] - score[old]
-        gain[[j for j, (i, _, _, _, a, b, _) in enumerate(tries) if pieces[i][0] in CYRILLIC and b - a < 9 and WORD.fullmatch(pieces[i][1], a, b)]] -= CHANCE
-        runs: dict[tuple[int, int], list[tuple[float, int, int, str]]] = {}
-        for j in np.flatnonzero(gain > 0).tolist():
-            i, k, _, _, a, b, text = tries[j]
-            runs.setdefault((i, k), []).append((float(gain[j]), a, b, text))
-        for (i, k), found in runs.items():
-            piece = pieces[i][1]
-            whole = max(((g, t) for g, a, b, t in found if b - a == len(piece)), default=(0.0, piece))
-            total, at, text = 0.0, 0, []
-            for g, a, b, t in found:
-                if b - a < len(piece):
-                    total, at = total + g, (text.extend((piece[at:a], t)), b)[1]
-            best = max(whole, (total, "".join(text) + piece[at:]))
-            out[i].append((k, *best))
-    return out
+Found = tuple[int, int, int, str, float]
+
+
+def decoded(raw: bytes, n: int, true: str) -> np.ndarray | None:
+    """Code points of n pieces, ended by line ends, read in a one- or two-byte page; None where the ends do not stay n."""
+    if true in SINGLE:
+        return codes_of(single_table(true))[np.frombuffer(raw, np.uint8)]
+    codes = codes_of(raw.decode(true, "replace"))
+    return codes if int((codes == 10).sum()) == n else None
+
+
+def whole_pieces(k: int, true: str, raw: bytes, pieces: list[str], old: np.ndarray, lm: Language) -> Iterator[tuple[int, str]]:
+    """(piece, text): the pieces that may read better as a whole in a one- or two-byte page."""
+    codes = decoded(raw, len(pieces), true)
+    if codes is None:  # a broken letter took a line end with it
+        texts = [undone(x, true, KEYS[k][1]) for x in raw.split(b"\n")[:-1]] if raw.count(b"\n") == len(pieces) else []
+        yield from ((i, t) for i, t in enumerate(texts) if t is not None)
+        return
+    end = np.flatnonzero(codes == 10)
+    start = np.r_[0, end[:-1] + 1]
+    bad = np.r_[0, np.cumsum(codes == 0xFFFD)]
+    bad = bad[end] - bad[start]
+    for i in np.flatnonzero((lm.bounds(codes, start, end) > old) & (bad * 8 <= end - start) & (end > start)).tolist():
+        yield i, text_of(codes[start[i] : end[i]])
+
+
+def utf8_pieces(raw: bytes, page: str, pieces: list[str]) -> Iterator[tuple[int, str]]:
+    """(piece, text): the pieces whose bytes hold runs of UTF-8, with all runs read as such."""
+    run = RUNS[1 if page in SINGLE and page not in CYRILLIC else 3]  # Russian words are valid UTF-8 too often
+    if not run.search(raw):
+        return
+    ends = np.cumsum([len(x) + 1 for x in raw.split(b"\n")])
+    for i in sorted({int(np.searchsorted(ends, m.start(), "right")) for m in run.finditer(raw)}):
+        text = undone(raw[ends[i - 1] if i else 0 : ends[i] - 1], "utf-8", page)
+        if text is not None:
+            yield i, text
+
+
+@lru_cache(maxsize=None)
+def byte_lengths(page: str) -> np.ndarray:
+    """Bytes of every code point that a two-byte page has."""
+    size = np.ones(MAX_CP, np.int8)
+    for c in np.flatnonzero(page_bytes(page)[0]).tolist():
+        if c > 0x7F:
+            size[c] = len(chr(c).encode(page, "ignore")) or 1
+    return size
+
 
+def short_runs(raw: bytes, page: str, codes: np.ndarray, score: np.ndarray, lm: Language) -> Iterator[tuple[int, int, str]]:
+    """(start, end, text): each run of UTF-8 letters among the bytes by itself that may read better, as places in codes.
 
-def explained(lines: list[str], lm: Language, twice: bool = True) -> list[list[tuple[int, float, str]]]:
-    """Of each line, (key, gain, restored line) of every key that explains the line better than it stands."""
-    out: list[list[tuple[int, float, str]]] = [[] for _ in lines]
-    parts = [(i, a, b, (page, lines[i][a:b], lines[i][max(a - 1, 0) : a], lines[i][b : b + 1])) for page, i, a, b in odd_parts(lines)]
-    if len(lm.pieces) > 200_000:
-        lm.pieces.clear()
-    todo = [x for x in dict.fromkeys(p[3] for p in parts) if x not in lm.pieces]
-    for at in range(0, len(todo), 5000):
-        lm.pieces |= zip(todo[at : at + 5000], explained_pieces(todo[at : at + 5000], lm), strict=True)
-    by: dict[tuple[int, int], list[tuple[int, int, str, float]]] = {}
-    for i, a, b, piece in parts:
-        for k, gain, new in lm.pieces[piece]:
-            by.setdefault((i, k), []).append((a, b, new, gain))
-    for (i, k), pieces in by.items():
-        total = float(sum(x[3] for x in pieces))
+    score has the pair scores of codes with their neighbours in the line, one more than the codes.
+    """
+    at = np.array([m.span() for m in RUNS[1].finditer(raw)], np.int64).reshape(-1, 2)
+    if not len(at):
+        return
+    first = np.r_[0, np.cumsum(np.ones(len(codes), np.int64) if page in SINGLE else byte_lengths(page)[codes].astype(np.int64))]
+    if first[-1] != len(raw):
+        return
+    a = np.searchsorted(first, at[:, 0])
+    at, a = at[first[a] == at[:, 0]], a[first[a] == at[:, 0]]
+    b = np.searchsorted(first, at[:, 1])  # the last byte may be shown together with the letter after it
+    if not len(at):
+        return
+    total = np.r_[0.0, np.cumsum(score)]
+    old = total[b + 1] - total[a]
+    new = codes_of(b"\n".join([raw[x:y] for x, y in at.tolist()] + [b""]).decode("utf-8", "replace"))
+    end = np.flatnonzero(new == 10)
+    bound = lm.bounds(new, np.r_[0, end[:-1] + 1], end) if len(end) == len(at) else np.zeros(len(at))
+    for j in np.flatnonzero(bound > old).tolist():
+        x, y = at[j].tolist()
+        yield int(a[j]), int(b[j]), raw[x:y].decode("utf-8", "replace") + shown_text(raw[y : first[b[j]]], page)
+
+
+def explained_parts(page: str, parts: list[tuple[int, int, int]], lines: list[str], lm: Language) -> Iterator[tuple[int, Found]]:
+    """(line, (key, start, end, text, gain)) of what reads better under a key of the page; parts are its pieces of the lines."""
+    pieces = [lines[i][a:b] for i, a, b in parts]
+    flat = "\n".join(pieces) + "\n"
+    codes = codes_of(flat)
+    left = [lines[i][a - 1] if a else "\n" for i, a, _ in parts]
+    right = [lines[i][b : b + 1] or "\n" for i, _, b in parts]
+    end = np.flatnonzero(codes == 10)
+    start = np.r_[0, end[:-1] + 1]
+    # pair scores of each letter with the one before it in its line, and after each piece with the one that follows it
+    around = codes_of("".join(x for l, p, r in zip(left, pieces, right, strict=True) for x in (l, p, r)))
+    # Piece j has its letters at start[j] .. end[j], its neighbours included at start[j] + j .. end[j] + j + 1: a pair more
+    # than letters, as many as letters and line end.
+    score = lm.pair_scores(around)[np.arange(len(codes)) + np.repeat(np.arange(len(parts)), end - start + 1)]
+    total = np.r_[0.0, np.cumsum(score)]
+    old = total[end + 1] - total[start]
+    byte = page_bytes(page)[1]
+    raw = flat.encode(page) if byte is None else byte[codes].tobytes()
+
+    tries: list[tuple[int, int, int, int, str]] = []
+    for k, true in BY_SHOWN[page]:
+        found = utf8_pieces(raw, page, pieces) if true == "utf-8" else whole_pieces(k, true, raw, pieces, old, lm)
+        tries += [(k, j, 0, len(pieces[j]), text) for j, text in found if text != pieces[j]]
+    if page in CYRILLIC or page in DOUBLE:
+        k = KEYS.index(("utf-8", page))
+        for a, b, text in short_runs(raw, page, codes, score, lm):
+            j = int(np.searchsorted(end, a))
+            tries.append((k, j, a - int(start[j]), b - int(start[j]), text))
+    if not tries:
+        return
+    new, was = [], []
+    for _, j, a, b, text in tries:
+        p = pieces[j]
+        l, r = p[a - 1] if a else left[j], p[b] if b < len(p) else right[j]
+        new.append(l + text + r)
+        was.append(l + p[a:b] + r)
+    gain = lm.scores(new) - lm.scores(was)
+    runs: dict[tuple[int, int], list[tuple[float, int, int, str]]] = {}
+    for g, (k, j, a, b, text) in zip(gain.tolist(), tries, strict=True):
+        if page in CYRILLIC and b - a < 9 and WORD.fullmatch(pieces[j], a, b):
+            g -= CHANCE
+        if g > 0:
+            runs.setdefault((j, k), []).append((g, a, b, text))
+    for (j, k), found in runs.items():
+        piece = pieces[j]
+        whole = max(((g, t) for g, a, b, t in found if b - a == len(piece)), default=(0.0, piece))
+        sum_, at, text = 0.0, 0, []
+        for g, a, b, t in sorted(found, key=lambda x: x[1:3]):
+            if b - a < len(piece) and a >= at:
+                sum_, at = sum_ + g, (text.extend((piece[at:a], t)), b)[1]
+        g, t = max(whole, (sum_, "".join(text) + piece[at:]))
+        i, a, b = parts[j]
+        yield i, (k, a, b, t, g)
+
+
+def explained(lines: list[str], lm: Language, twice: bool = True) -> list[list[tuple[int, float, str, bool]]]:
+    """Of each line, (key, gain, restored line, whether it is but a quoted piece) of every key that explains it better."""
+    out: list[list[tuple[int, float, str, bool]]] = [[] for _ in lines]
+    by_page: dict[str, list[tuple[int, int, int]]] = {}
+    for page, i, a, b in odd_parts(lines):
+        by_page.setdefault(page, []).append((i, a, b))
+    by: dict[tuple[int, int], list[Found]] = {}
+    for page, parts in by_page.items():
+        for i, found in explained_parts(page, parts, lines, lm):
+            by.setdefault((i, found[0]), []).append(found)
+    for (i, k), found in by.items():
+        total = float(sum(x[4] for x in found))
         true, shown = KEYS[k]
         if true == "utf-8" and shown in SINGLE and shown not in CYRILLIC:
             total += VALID_GAIN
         if total < LINE_GAIN:
             continue
         line, fixed, at = lines[i], [], 0
-        for a, b, new, _ in pieces:
+        for _, a, b, new, _ in sorted(found, key=lambda x: x[1]):
             fixed += [line[at:a], new]
             at = b
         fixed = "".join(fixed) + line[at:]
-        if not quoted(line, fixed):
-            out[i].append((k, total, fixed))
+        out[i].append((k, total, fixed, quoted(line, fixed)))
     for x in out:
         x.sort(key=lambda y: -y[1])
-        del x[4:]
     if twice:
         again = [i for i, x in enumerate(out) if x]
-        for i, more in zip(again, explained([out[i][0][2] for i in again], lm, False), strict=True):
+        for i, more in zip(again, explained([out[i][0][2] for i in again], lm, False) if again else [], strict=True):
             if more and more[0][0] != LOST:
-                k, gain, _ = out[i][0]
-                out[i][0] = (k, gain + more[0][1], more[0][2])
+                k, gain, _, q = out[i][0]
+                out[i][0] = (k, gain + more[0][1], more[0][2], q)
     for i, line in enumerate(lines):
-        if ("�" in line or GARBAGE in line) and not quoted(line, LOST_SIGNS.sub("", line)):
-            out[i].append((LOST, 30.0, line))
+        if "�" in line or GARBAGE in line:
+            out[i].append((LOST, 30.0, line, quoted(line, LOST_SIGNS.sub("", line))))
     return out
 
 
 def suspects(lm):
-    """mapInArrow function: (key, source, title, text) -> (_id, source, field, line_no, key, gain, fixed)."""
+    """mapInArrow function: (key, source, title, text) -> (_id, source, field, line_no, key, gain, fixed, quoted)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lm.value.prepare()
-        known: dict[str, list[tuple[int, float, str]]] = {}
+        known: dict[str, list[tuple[int, float, str, bool]]] = {}
         for batch in batches:
             where: list[tuple[int, str, int, str]] = []
             for field in ("title", "text"):
@@ -321,49 +417,63 @@ def suspects(lm):
             if len(known) > 200_000:
                 known.clear()
             new = list(dict.fromkeys(x[3] for x in where if x[3] not in known))
-            for at in range(0, len(new), 500):
-                known |= zip(new[at : at + 500], explained(new[at : at + 500], model), strict=True)
+            for at in range(0, len(new), 4000):
+                known |= zip(new[at : at + 4000], explained(new[at : at + 4000], model), strict=True)
             rows = [(i, field, n, *found) for i, field, n, line in where for found in known[line]]
             if rows:
-                i, field, n, k, g, f = zip(*rows, strict=True)
+                i, field, n, k, g, f, q = zip(*rows, strict=True)
                 pick = pa.array(i, pa.int64())
                 yield pa.record_batch(
-                    {"_id": batch.column(0).take(pick), "source": batch.column(1).take(pick), "field": pa.array(field, pa.string()), "line_no": pa.array(n, pa.int64()), "key": pa.array(k, pa.int32()), "gain": pa.array(g, pa.float64()), "fixed": pa.array(f, pa.string())}
+                    {"_id": batch.column(0).take(pick), "source": batch.column(1).take(pick), "field": pa.array(field, pa.string()), "line_no": pa.array(n, pa.int64()), "key": pa.array(k, pa.int32()), "gain": pa.array(g, pa.float64()), "fixed": pa.array(f, pa.string()), "quoted": pa.array(q, pa.bool_())}
                 )
 
     return run
 
 
+def learned_shares(pooled: DataFrame, fields: DataFrame, rounds: int) -> DataFrame:
+    """(of, k, weight): how much more often than clean a field of the source `of` is wrong by key k, as a log.
+
+    Expectation: the part of each key in each field, clean (with gain 0) being one of them. Maximisation: the share of each
+    key in the fields of the source. pooled has (field.., source, key, gain), fields (o, all).
+    """
+    own = Window.partitionBy("_id", "field", "source")
+    share = None
+    for _ in range(rounds):
+        seen = pooled.withColumn("weight", F.lit(-FIELD_GAIN)) if share is None else pooled.join(share, pooled.source.eqNullSafe(share.of) & (pooled.key == share.k)).drop("of", "k")
+        log = F.col("gain") + F.col("weight")
+        top = F.greatest(F.max(log).over(own), F.lit(0.0))
+        seen = seen.withColumn("part", F.exp(log - top)).withColumn("part", F.col("part") / (F.sum("part").over(own) + F.exp(-top)))
+        used = seen.groupBy(F.col("source").alias("of"), F.col("key").alias("k")).agg(F.sum("part").alias("n"))
+        per = used.groupBy(F.col("of").alias("w")).agg(F.sum("n").alias("wrong"))
+        used = used.join(per, used.of.eqNullSafe(per.w)).join(fields, F.col("of").eqNullSafe(F.col("o")))
+        share = stage(used.select("of", "k", F.log((F.col("n") + 0.01) / (F.greatest(F.col("all") - F.col("wrong"), F.lit(0.0)) + 1)).alias("weight")), "shares")
+    return share
+
+
 def wrong_lines(df: DataFrame, key: str = "doc_id", title: str = "title", text: str = "text", source: str = "source", rounds: int = 2) -> DataFrame:
     """(key, field, line_no, true_page, shown_page, gain, fixed): lines decoded wrongly, with the line restored.
 
-    true_page is null where the bytes are lost (replacement characters); the line then stays as it is. A field counts if
-    its lines gain at least FIELD_GAIN under one key. Null and empty texts have no such lines; rows of a null source share
-    one source; short pieces inside quotes are examples and no fault. Keys of rows are taken as unique.
+    true_page is null where the bytes are lost (replacement characters); the line then stays as it is. A field is wrong if
+    its lines gain at least FIELD_GAIN under one key together, or less where the key is frequent in its source. A short
+    piece inside quotes is an example: it proves nothing by itself, but is restored where the rest of its field is wrong by
+    the same key. Null and empty texts have no such lines; rows of a null source share one source. Keys of rows are taken as
+    unique.
     """
     spark = df.sparkSession
     base = spread(df.select(F.col(key).alias("_id"), F.col(source).alias("source"), F.col(title).alias("_title"), F.col(text).alias("_text")))
     lm = spark.sparkContext.broadcast(language(base, "_title", "_text"))
-    schema = f"_id {dict(df.dtypes)[key]}, source string, field string, line_no long, key int, gain double, fixed string"
+    schema = f"_id {dict(df.dtypes)[key]}, source string, field string, line_no long, key int, gain double, fixed string, quoted boolean"
     lines = stage(base.mapInArrow(suspects(lm), schema), "suspects")
 
-    # Evidence of a field is pooled by key, so that one odd letter in a field does not count.
     field = ["_id", "field", "source"]
-    pooled = stage(lines.groupBy(*field, "key").agg(F.sum(F.least("gain", F.lit(60.0))).alias("gain")).filter(F.col("gain") >= FIELD_GAIN), "evidence")
-    share = None
-    for _ in range(rounds):
-        seen = pooled.withColumn("weight", F.lit(0.0)) if share is None else pooled.join(share, (pooled.source.eqNullSafe(share.of)) & (pooled.key == share.k), "left").drop("of", "k").fillna(math.log(1e-3), ["weight"])
-        log = F.col("gain") + F.col("weight")
-        per = Window.partitionBy(*field)
-        seen = seen.withColumn("part", F.exp(log - F.max(log).over(per)))
-        seen = seen.withColumn("part", F.col("part") / F.sum("part").over(per))
-        used = seen.groupBy(F.col("source").alias("of"), F.col("key").alias("k")).agg(F.sum("part").alias("n"))
-        whole = used.groupBy(F.col("of").alias("o")).agg(F.sum("n").alias("all"))
-        share = stage(used.join(whole, used.of.eqNullSafe(whole.o)).select("of", "k", F.log((F.col("n") + 0.01) / (F.col("all") + 1)).alias("weight")), "shares")
-    keep = pooled.select(*field, "key")
-    lines = lines.join(keep, (lines._id == keep._id) & (lines.field == keep.field) & (lines.key == keep.key), "left_semi")
-    lines = lines.join(share, lines.source.eqNullSafe(share.of) & (lines.key == share.k), "left")
-    best = F.max_by(F.struct("key", "gain", "fixed"), F.struct(F.col("key") != LOST, F.col("gain") + F.coalesce("weight", F.lit(-7.0))))
+    pooled = stage(lines.filter("not quoted").groupBy(*field, "key").agg(F.sum("gain").alias("gain")), "evidence")
+    fields = base.groupBy(F.col("source").alias("o")).agg((2 * F.count(F.lit(1))).alias("all"))
+    share = learned_shares(pooled, fields, rounds)
+    pooled = pooled.join(share, pooled.source.eqNullSafe(share.of) & (pooled.key == share.k))
+    keep = pooled.filter((F.col("gain") >= FIELD_GAIN) | (F.col("gain") + F.least("weight", F.lit(0.0)) >= SURE)).select(*field, "key", "weight")
+    kept = keep.select(F.col("_id").alias("_i"), F.col("field").alias("_f"), F.col("key").alias("_k"), "weight")
+    lines = lines.join(kept, (F.col("_id") == F.col("_i")) & (F.col("field") == F.col("_f")) & (F.col("key") == F.col("_k")))
+    best = F.max_by(F.struct("key", "gain", "fixed"), F.struct(F.col("key") != LOST, F.col("gain") + F.col("weight")))
     out = lines.groupBy("_id", "field", "line_no").agg(best.alias("x"))
     pages = F.create_map(*[F.lit(v) for k, p in enumerate(KEYS) for v in (k, ":".join(p))])
     pair = F.split(pages[F.col("x.key")], ":")
