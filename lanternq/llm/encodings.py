@@ -103,24 +103,15 @@ def letter_like() -> np.ndarray:
     return odd
 
 
-def odd_parts(lines: list[str]) -> Iterator[tuple[str, int, int, int]]:
-    """(page, line, start, end) of the longest pieces of each line that the page has and that are not all ASCII and SIGNS."""
-    codes = codes_of("\n".join(lines) + "\n")
-    first = np.r_[0, np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)) + 1)]
+def odd_parts(codes: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(page, starts, ends) of the longest pieces of the lines that the page has and that are not all ASCII and SIGNS."""
     held, odd = holders()[codes], np.r_[0, np.cumsum(letter_like()[codes])]
     for i, page in enumerate(PAGES):
-        on = np.r_[False, held & np.uint32(1 << i) != 0]
-        step = np.flatnonzero(on[1:] != on[:-1])
+        step = np.flatnonzero(np.diff(np.r_[False, held & np.uint32(1 << i) != 0, False]))
         start, end = step[::2], step[1::2]
         use = odd[end] > odd[start]
-        start, end = start[use], end[use]
-        of = np.searchsorted(first, start, "right") - 1
-        yield from zip([page] * len(of), of.tolist(), (start - first[of]).tolist(), (end - first[of]).tolist(), strict=True)
-
-
-def bytes_of(piece: str, page: str) -> bytes:
-    byte = page_bytes(page)[1]
-    return piece.encode(page) if byte is None else byte[codes_of(piece)].tobytes()
+        if use.any():
+            yield page, start[use], end[use]
 
 
 def shown_text(raw: bytes, page: str) -> str:
@@ -237,41 +228,73 @@ LOST_SIGNS = re.compile(f"(?:�|{GARBAGE}|[{GARBAGE}](?=[�{GARBAGE}])|(?<=[
 
 
 Found = tuple[int, int, int, str, float]
-
-
-def decoded(raw: bytes, n: int, true: str) -> np.ndarray | None:
-    """Code points of n pieces, ended by line ends, read in a one- or two-byte page; None where the ends do not stay n."""
-    if true in SINGLE:
-        return codes_of(single_table(true))[np.frombuffer(raw, np.uint8)]
-    codes = codes_of(raw.decode(true, "replace"))
-    return codes if int((codes == 10).sum()) == n else None
-
-
-def whole_pieces(k: int, true: str, raw: bytes, pieces: list[str], old: np.ndarray, lm: Language) -> Iterator[tuple[int, str]]:
-    """(piece, text): the pieces that may read better as a whole in a one- or two-byte page."""
-    codes = decoded(raw, len(pieces), true)
-    if codes is None:  # a broken letter took a line end with it
-        texts = [undone(x, true, KEYS[k][1]) for x in raw.split(b"\n")[:-1]] if raw.count(b"\n") == len(pieces) else []
-        yield from ((i, t) for i, t in enumerate(texts) if t is not None)
-        return
-    end = np.flatnonzero(codes == 10)
-    start = np.r_[0, end[:-1] + 1]
-    bad = np.r_[0, np.cumsum(codes == 0xFFFD)]
-    bad = bad[end] - bad[start]
-    for i in np.flatnonzero((lm.bounds(codes, start, end) > old) & (bad * 8 <= end - start) & (end > start)).tolist():
-        yield i, text_of(codes[start[i] : end[i]])
-
-
-def utf8_pieces(raw: bytes, page: str, pieces: list[str]) -> Iterator[tuple[int, str]]:
-    """(piece, text): the pieces whose bytes hold runs of UTF-8, with all runs read as such."""
-    run = RUNS[1 if page in SINGLE and page not in CYRILLIC else 3]  # Russian words are valid UTF-8 too often
-    if not run.search(raw):
-        return
-    ends = np.cumsum([len(x) + 1 for x in raw.split(b"\n")])
-    for i in sorted({int(np.searchsorted(ends, m.start(), "right")) for m in run.finditer(raw)}):
-        text = undone(raw[ends[i - 1] if i else 0 : ends[i] - 1], "utf-8", page)
-        if text is not None:
-            yield i, text
+Try = tuple[int, int, int, int, str]
+
+
+class Pieces:
+    """The pieces of some lines that a page has, as code points and as the bytes of the page, each ended by a line end."""
+
+    def __init__(self, page: str, codes: np.ndarray, start: np.ndarray, end: np.ndarray, total: np.ndarray, lm: Language) -> None:
+        """total has the sums of the pair scores of codes: total[i] of all pairs before the letter i."""
+        self.page, self.from_, self.total, self.lm = page, start, total, lm
+        size = end - start + 1
+        self.end = np.cumsum(size) - 1
+        self.start = self.end - size + 1
+        self.at = np.arange(int(size.sum())) + np.repeat(start - self.start, size)  # places in codes
+        self.codes = codes[self.at]
+        self.codes[self.end] = 10
+        byte = page_bytes(page)[1]
+        self.raw = text_of(self.codes).encode(page) if byte is None else byte[self.codes].tobytes()
+        self.old = total[end] - total[start - 1]  # with the neighbours in the line
+
+    def whole(self) -> Iterator[Try]:
+        """Tries of whole pieces in the one- and two-byte pages that may have been shown as this one."""
+        return (t for k, true in BY_SHOWN[self.page] if true != "utf-8" for t in self.whole_in(k, true))
+
+    def whole_in(self, k: int, true: str) -> Iterator[Try]:
+        n = len(self.end)
+        codes = codes_of(single_table(true))[np.frombuffer(self.raw, np.uint8)] if true in SINGLE else codes_of(self.raw.decode(true, "replace"))
+        end = np.flatnonzero(codes == 10)
+        if len(end) != n:  # a broken letter took a line end with it
+            for j, x in enumerate(self.raw.split(b"\n")[:n]):
+                text = x.decode(true, "replace")
+                if text.count("�") * 8 <= len(text):
+                    yield k, j, int(self.start[j]), int(self.end[j]), text
+            return
+        start = np.r_[0, end[:-1] + 1]
+        bad = np.r_[0, np.cumsum(codes == 0xFFFD)]
+        fits = (self.lm.bounds(codes, start, end) > self.old) & ((bad[end] - bad[start]) * 8 <= end - start) & (end > start)
+        for j in np.flatnonzero(fits).tolist():
+            yield k, j, int(self.start[j]), int(self.end[j]), text_of(codes[start[j] : end[j]])
+
+    def utf8(self) -> Iterator[Try]:
+        """Tries of UTF-8: all runs of a piece together, and where letters make such runs by chance, each run by itself."""
+        k = KEYS.index(("utf-8", self.page))
+        byte = np.frombuffer(self.raw, np.uint8)
+        begin, after, letters, code = utf8_runs(byte)
+        if not len(begin):
+            return
+        chancy = self.page in DOUBLE or self.page in CYRILLIC
+        long = begin[letters >= (3 if chancy else 1)]
+        ends = np.flatnonzero(byte == 10)
+        for j in np.unique(np.searchsorted(ends, long)).tolist():
+            text = undone(self.raw[ends[j - 1] + 1 if j else 0 : ends[j]], "utf-8", self.page)
+            if text is not None:
+                yield k, j, int(self.start[j]), int(self.end[j]), text
+        if not chancy:
+            return
+        first = np.r_[0, np.cumsum(np.ones(len(self.codes), np.int64) if self.page in SINGLE else byte_lengths(self.page)[self.codes].astype(np.int64))]
+        if first[-1] != len(byte):
+            return
+        a = np.searchsorted(first, begin)
+        b = np.searchsorted(first, after)  # the last byte may be shown together with the letter after it
+        stop = np.cumsum(letters)
+        bound = self.lm.bounds(code, stop - letters, stop)
+        old = self.total[self.at[b - 1] + 1] - self.total[self.at[a] - 1]
+        for i in np.flatnonzero((first[a] == begin) & (bound > old)).tolist():
+            x, y = int(begin[i]), int(after[i])
+            text = self.raw[x:y].decode("utf-8", "replace") + shown_text(self.raw[y : first[b[i]]], self.page)
+            yield k, int(np.searchsorted(self.end, a[i])), int(a[i]), int(b[i]), text
 
 
 @lru_cache(maxsize=None)
@@ -284,97 +307,62 @@ def byte_lengths(page: str) -> np.ndarray:
     return size
 
 
-def short_runs(raw: bytes, page: str, codes: np.ndarray, score: np.ndarray, lm: Language) -> Iterator[tuple[int, int, str]]:
-    """(start, end, text): each run of UTF-8 letters among the bytes by itself that may read better, as places in codes.
-
-    score has the pair scores of codes with their neighbours in the line, one more than the codes.
-    """
-    at = np.array([m.span() for m in RUNS[1].finditer(raw)], np.int64).reshape(-1, 2)
-    if not len(at):
-        return
-    first = np.r_[0, np.cumsum(np.ones(len(codes), np.int64) if page in SINGLE else byte_lengths(page)[codes].astype(np.int64))]
-    if first[-1] != len(raw):
-        return
-    a = np.searchsorted(first, at[:, 0])
-    at, a = at[first[a] == at[:, 0]], a[first[a] == at[:, 0]]
-    b = np.searchsorted(first, at[:, 1])  # the last byte may be shown together with the letter after it
-    if not len(at):
-        return
-    total = np.r_[0.0, np.cumsum(score)]
-    old = total[b + 1] - total[a]
-    new = codes_of(b"\n".join([raw[x:y] for x, y in at.tolist()] + [b""]).decode("utf-8", "replace"))
-    end = np.flatnonzero(new == 10)
-    bound = lm.bounds(new, np.r_[0, end[:-1] + 1], end) if len(end) == len(at) else np.zeros(len(at))
-    for j in np.flatnonzero(bound > old).tolist():
-        x, y = at[j].tolist()
-        yield int(a[j]), int(b[j]), raw[x:y].decode("utf-8", "replace") + shown_text(raw[y : first[b[j]]], page)
-
-
-def explained_parts(page: str, parts: list[tuple[int, int, int]], lines: list[str], lm: Language) -> Iterator[tuple[int, Found]]:
-    """(line, (key, start, end, text, gain)) of what reads better under a key of the page; parts are its pieces of the lines."""
-    pieces = [lines[i][a:b] for i, a, b in parts]
-    flat = "\n".join(pieces) + "\n"
-    codes = codes_of(flat)
-    left = [lines[i][a - 1] if a else "\n" for i, a, _ in parts]
-    right = [lines[i][b : b + 1] or "\n" for i, _, b in parts]
-    end = np.flatnonzero(codes == 10)
-    start = np.r_[0, end[:-1] + 1]
-    # pair scores of each letter with the one before it in its line, and after each piece with the one that follows it
-    around = codes_of("".join(x for l, p, r in zip(left, pieces, right, strict=True) for x in (l, p, r)))
-    # Piece j has its letters at start[j] .. end[j], its neighbours included at start[j] + j .. end[j] + j + 1: a pair more
-    # than letters, as many as letters and line end.
-    score = lm.pair_scores(around)[np.arange(len(codes)) + np.repeat(np.arange(len(parts)), end - start + 1)]
-    total = np.r_[0.0, np.cumsum(score)]
-    old = total[end + 1] - total[start]
-    byte = page_bytes(page)[1]
-    raw = flat.encode(page) if byte is None else byte[codes].tobytes()
-
-    tries: list[tuple[int, int, int, int, str]] = []
-    for k, true in BY_SHOWN[page]:
-        found = utf8_pieces(raw, page, pieces) if true == "utf-8" else whole_pieces(k, true, raw, pieces, old, lm)
-        tries += [(k, j, 0, len(pieces[j]), text) for j, text in found if text != pieces[j]]
-    if page in CYRILLIC or page in DOUBLE:
-        k = KEYS.index(("utf-8", page))
-        for a, b, text in short_runs(raw, page, codes, score, lm):
-            j = int(np.searchsorted(end, a))
-            tries.append((k, j, a - int(start[j]), b - int(start[j]), text))
+def utf8_runs(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and number of letters of the longest runs of valid UTF-8 beyond ASCII, and the code points of all letters."""
+    x = np.r_[byte, np.zeros(3, np.uint8)].astype(np.int32)
+    n = len(byte)
+    b0, b1, b2, b3 = (x[i : i + n] for i in range(4))
+    more = [(b & 0xC0) == 0x80 for b in (b1, b2, b3)]
+    two = (b0 >= 0xC2) & (b0 <= 0xDF) & more[0]
+    three = (b0 >= 0xE0) & (b0 <= 0xEF) & more[0] & more[1] & ((b0 > 0xE0) | (b1 >= 0xA0))
+    four = (b0 >= 0xF0) & (b0 <= 0xF4) & more[0] & more[1] & more[2] & ((b0 > 0xF0) | (b1 >= 0x90))
+    at = np.flatnonzero(two | three | four)
+    size = np.where(two[at], 2, np.where(three[at], 3, 4))
+    b0, b1, b2, b3 = b0[at], b1[at] & 0x3F, b2[at] & 0x3F, b3[at] & 0x3F
+    code = np.where(size == 2, (b0 & 0x1F) << 6 | b1, np.where(size == 3, (b0 & 0xF) << 12 | b1 << 6 | b2, np.minimum((b0 & 7) << 18 | b1 << 12 | b2 << 6 | b3, MAX_CP - 1)))
+    first = np.flatnonzero(np.r_[True, at[1:] != (at + size)[:-1]]) if len(at) else np.zeros(0, np.int64)
+    last = np.r_[first[1:], len(at)] - 1 if len(at) else first
+    return at[first], (at + size)[last], last - first + 1, code
+
+
+def explained_pieces(pieces: Pieces, codes: np.ndarray, lm: Language) -> Iterator[Found]:
+    """(key, start, end, text, gain) of what reads better under a key of the page, by places in codes."""
+    tries = [*pieces.whole(), *pieces.utf8()]
     if not tries:
         return
-    new, was = [], []
-    for _, j, a, b, text in tries:
-        p = pieces[j]
-        l, r = p[a - 1] if a else left[j], p[b] if b < len(p) else right[j]
-        new.append(l + text + r)
-        was.append(l + p[a:b] + r)
-    gain = lm.scores(new) - lm.scores(was)
+    page = pieces.page
+    where = [(int(pieces.at[a]), int(pieces.at[a]) + b - a) for _, _, a, b, _ in tries]
+    was = [text_of(codes[a - 1 : b + 1]) for a, b in where]
+    tries = [(t, a, b, w) for t, (a, b), w in zip(tries, where, was, strict=True) if t[4] != w[1:-1]]
+    gain = lm.scores([w[0] + t[4] + w[-1] for t, _, _, w in tries]) - lm.scores([w for _, _, _, w in tries])
     runs: dict[tuple[int, int], list[tuple[float, int, int, str]]] = {}
-    for g, (k, j, a, b, text) in zip(gain.tolist(), tries, strict=True):
-        if page in CYRILLIC and b - a < 9 and WORD.fullmatch(pieces[j], a, b):
+    for g, ((k, j, _, _, text), a, b, w) in zip(gain.tolist(), tries, strict=True):
+        if page in CYRILLIC and b - a < 9 and WORD.fullmatch(w[1:-1]):
             g -= CHANCE
         if g > 0:
             runs.setdefault((j, k), []).append((g, a, b, text))
     for (j, k), found in runs.items():
-        piece = pieces[j]
-        whole = max(((g, t) for g, a, b, t in found if b - a == len(piece)), default=(0.0, piece))
-        sum_, at, text = 0.0, 0, []
-        for g, a, b, t in sorted(found, key=lambda x: x[1:3]):
-            if b - a < len(piece) and a >= at:
-                sum_, at = sum_ + g, (text.extend((piece[at:a], t)), b)[1]
-        g, t = max(whole, (sum_, "".join(text) + piece[at:]))
-        i, a, b = parts[j]
-        yield i, (k, a, b, t, g)
+        a = int(pieces.from_[j])
+        b = a + int(pieces.end[j] - pieces.start[j])
+        whole = max(((g, t) for g, x, y, t in found if (x, y) == (a, b)), default=(0.0, ""))
+        parts = sorted((x, y, t, g) for g, x, y, t in found if (x, y) != (a, b))
+        if sum(p[3] for p in parts) > whole[0]:
+            yield from ((k, x, y, t, g) for x, y, t, g in parts)
+        else:
+            yield k, a, b, whole[1], whole[0]
 
 
 def explained(lines: list[str], lm: Language, twice: bool = True) -> list[list[tuple[int, float, str, bool]]]:
     """Of each line, (key, gain, restored line, whether it is but a quoted piece) of every key that explains it better."""
     out: list[list[tuple[int, float, str, bool]]] = [[] for _ in lines]
-    by_page: dict[str, list[tuple[int, int, int]]] = {}
-    for page, i, a, b in odd_parts(lines):
-        by_page.setdefault(page, []).append((i, a, b))
+    codes = codes_of("\n" + "\n".join(lines) + "\n")
+    first = np.r_[1, 1 + np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)) + 1)]
+    total = np.r_[0.0, np.cumsum(lm.pair_scores(codes))]
     by: dict[tuple[int, int], list[Found]] = {}
-    for page, parts in by_page.items():
-        for i, found in explained_parts(page, parts, lines, lm):
-            by.setdefault((i, found[0]), []).append(found)
+    for page, start, end in odd_parts(codes):
+        for k, a, b, text, gain in explained_pieces(Pieces(page, codes, start, end, total, lm), codes, lm):
+            i = int(np.searchsorted(first, a, "right")) - 1
+            by.setdefault((i, k), []).append((k, a - int(first[i]), b - int(first[i]), text, gain))
     for (i, k), found in by.items():
         total = float(sum(x[4] for x in found))
         true, shown = KEYS[k]
