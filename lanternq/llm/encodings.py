@@ -46,6 +46,8 @@ LOST = len(KEYS)
 PAGES = [*SINGLE, *DOUBLE]
 BY_SHOWN = {page: [(k, true) for k, (true, shown) in enumerate(KEYS) if shown == page] for page in PAGES}
 PAIR_BITS = 19
+#: A letter at or below this probability is none of the collection, whatever its pairs.
+LEAST = np.float32(1e-8)
 #: A line counts from this gain (in nats) on, a field from this sum of the gains of its lines on, or from SURE nats above
 #: what its source has learned about the key.
 LINE_GAIN, FIELD_GAIN, SURE = 4.0, 9.0, 3.0
@@ -148,30 +150,56 @@ class Language:
             self.single = np.full(MAX_CP, 0.02 / total)
             self.single[self.letters] = (self.counts + 0.02) / total
             self.single[0xFFFD] = 1e-9
-            self.half = 0.5 * np.log(self.single)
-            self.joint = np.zeros(1 << PAIR_BITS)
-            self.joint[self.pairs] = self.pair_counts / total
+            self.joint = np.zeros(1 << PAIR_BITS, np.float32)  # half the size: the tables are read at random
+            self.joint[self.pairs] = 0.9 * self.pair_counts / total
+            self.half = (0.5 * np.log(self.single)).astype(np.float32)
+            self.single = self.single.astype(np.float32)
             self.ready = True
         return self
 
-    def pair_scores(self, c: np.ndarray) -> np.ndarray:
-        """Half the joint log probability of each letter with the next one.
+    def pairs_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Half the joint log probability of each letter of a with that of b.
 
         A pair is never more probable than its rarer letter, whatever else shares its slot.
         """
-        c = c.astype(np.int64)
-        p = self.single[c]
-        low = np.minimum(p[:-1], p[1:])
-        joint = 0.9 * np.minimum(self.joint[pair_slot(c[:-1], c[1:])], low) * (p[:-1] > 1e-8) + 0.1 * p[:-1] * p[1:]
-        return 0.5 * np.log(joint)
-
-    def bounds(self, c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The most that each piece of c can score with unknown neighbours: its inner pairs, and its first and last letter."""
-        total = np.r_[0.0, np.cumsum(self.pair_scores(np.r_[c, 10]))]
+        p, q = self.single[a], self.single[b]
+        joint = np.minimum(self.joint[pair_slot(a, b)], np.minimum(p, q))
+        joint[p <= LEAST] = 0
+        joint += np.float32(0.1) * p * q
+        return np.float32(0.5) * np.log(joint)
+
+    def pair_scores(self, c: np.ndarray) -> np.ndarray:
+        """The pairs of each letter with the next one."""
+        c = c.astype(np.uint64)
+        return self.pairs_of(c[:-1], c[1:])
+
+    def between(self, c: np.ndarray, start: np.ndarray, end: np.ndarray, left: np.ndarray, right: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """The score of each piece of c between a left and a right neighbour, or more, where it stays below `least` anyway.
+
+        A pair is never more probable than its rarer letter, which is the bound that most keys fail.
+        """
+        half = self.half[c]
+        sums = np.r_[0.0, np.cumsum(np.minimum(half, np.r_[half[1:], np.float32(0)]), dtype=np.float64)]
+        some = np.flatnonzero(end > start)
+        a, b = start[some], end[some]
+        bound = np.full(len(start), -np.inf)
+        bound[some] = sums[b - 1] - sums[a] + half[a] + half[b - 1]
+        use = np.flatnonzero(bound > least)
+        size = end[use] - start[use]
+        if 2 * int(size.sum()) < len(c):  # only the pieces that are left
+            at = np.cumsum(size) - size
+            c = c[np.arange(int(size.sum())) + np.repeat(start[use] - at, size)]
+            bound[use] = self._between(c, at, at + size, left[use], right[use])
+        else:
+            bound[use] = self._between(c, start[use], end[use], left[use], right[use])
+        return bound
+
+    def _between(self, c: np.ndarray, start: np.ndarray, end: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        total = np.r_[0.0, np.cumsum(self.pair_scores(np.r_[c, 10]), dtype=np.float64)]
         out = np.zeros(len(start))
         some = end > start
         a, b = start[some], end[some]
-        out[some] = total[b - 1] - total[a] + self.half[c[a]] + self.half[c[b - 1]]
+        out[some] = total[b - 1] - total[a] + self.pairs_of(left[some], c[a]) + self.pairs_of(c[b - 1], right[some])
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -181,14 +209,17 @@ class Language:
         score = self.pair_scores(codes_of("".join(texts) + "\n"))
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         end = np.cumsum(size)
-        total = np.r_[0.0, np.cumsum(score)]
+        total = np.r_[0.0, np.cumsum(score, dtype=np.float64)]
         return total[end - 1] - total[end - size]
 
 
 def pair_slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    h = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = a.astype(np.uint64, copy=False) * np.uint64(0x9E3779B97F4A7C15)
+    h += b.astype(np.uint64, copy=False) * np.uint64(0xC2B2AE3D27D4EB4F)
     h ^= h >> np.uint64(32)
-    return (h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h >>= np.uint64(64 - PAIR_BITS)
+    return h.view(np.int64)
 
 
 def letter_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,8 +265,9 @@ Try = tuple[int, int, int, int, str]
 class Pieces:
     """The pieces of some lines that a page has, as code points and as the bytes of the page, each ended by a line end."""
 
-    def __init__(self, page: str, codes: np.ndarray, start: np.ndarray, end: np.ndarray, total: np.ndarray, lm: Language) -> None:
-        """total has the sums of the pair scores of codes: total[i] of all pairs before the letter i."""
+    def __init__(self, page: str, codes: np.ndarray, start: np.ndarray, end: np.ndarray, line: np.ndarray, total: np.ndarray, lm: Language) -> None:
+        """total has the sums of the pair scores of codes: total[i] of all pairs before the letter i; line, the line of each piece."""
+        self.line = line
         self.page, self.from_, self.total, self.lm = page, start, total, lm
         size = end - start + 1
         self.end = np.cumsum(size) - 1
@@ -246,6 +278,13 @@ class Pieces:
         byte = page_bytes(page)[1]
         self.raw = text_of(self.codes).encode(page) if byte is None else byte[self.codes].tobytes()
         self.old = total[end] - total[start - 1]  # with the neighbours in the line
+        self.left, self.right, self.shown = codes[start - 1], codes[end], codes
+
+    @staticmethod
+    def enough(gain: np.ndarray, line: np.ndarray) -> np.ndarray:
+        """Which tries may gain at all, in lines that may gain LINE_GAIN together."""
+        gain = np.maximum(gain, 0.0)
+        return (gain > 0) & (np.bincount(line, gain)[line] >= LINE_GAIN) if len(line) else gain > 0
 
     def whole(self) -> Iterator[Try]:
         """Tries of whole pieces in the one- and two-byte pages that may have been shown as this one."""
@@ -263,7 +302,8 @@ class Pieces:
             return
         start = np.r_[0, end[:-1] + 1]
         bad = np.r_[0, np.cumsum(codes == 0xFFFD)]
-        fits = (self.lm.bounds(codes, start, end) > self.old) & ((bad[end] - bad[start]) * 8 <= end - start) & (end > start)
+        fits = ((bad[end] - bad[start]) * 8 <= end - start) & (end > start)
+        fits &= self.enough(np.where(fits, self.lm.between(codes, start, end, self.left, self.right, self.old) - self.old, 0.0), self.line)
         for j in np.flatnonzero(fits).tolist():
             yield k, j, int(self.start[j]), int(self.end[j]), text_of(codes[start[j] : end[j]])
 
@@ -277,7 +317,8 @@ class Pieces:
         chancy = self.page in DOUBLE or self.page in CYRILLIC
         long = begin[letters >= (3 if chancy else 1)]
         ends = np.flatnonzero(byte == 10)
-        for j in np.unique(np.searchsorted(ends, long)).tolist():
+        pieces = np.unique(np.searchsorted(ends, long))
+        for j in pieces.tolist():
             text = undone(self.raw[ends[j - 1] + 1 if j else 0 : ends[j]], "utf-8", self.page)
             if text is not None:
                 yield k, j, int(self.start[j]), int(self.end[j]), text
@@ -289,9 +330,11 @@ class Pieces:
         a = np.searchsorted(first, begin)
         b = np.searchsorted(first, after)  # the last byte may be shown together with the letter after it
         stop = np.cumsum(letters)
-        bound = self.lm.bounds(code, stop - letters, stop)
         old = self.total[self.at[b - 1] + 1] - self.total[self.at[a] - 1]
-        for i in np.flatnonzero((first[a] == begin) & (bound > old)).tolist():
+        new = self.lm.between(code, stop - letters, stop, self.shown[self.at[a] - 1], self.shown[self.at[b - 1] + 1], old)
+        new[first[b] != after] = 0.0  # not known without the letter that shares a byte
+        gain, own = np.where(first[a] == begin, new - old, 0.0), self.line[np.searchsorted(self.end, a)]
+        for i in np.flatnonzero(self.enough(gain, own) | ((gain > 0) & np.isin(own, self.line[pieces]))).tolist():
             x, y = int(begin[i]), int(after[i])
             text = self.raw[x:y].decode("utf-8", "replace") + shown_text(self.raw[y : first[b[i]]], self.page)
             yield k, int(np.searchsorted(self.end, a[i])), int(a[i]), int(b[i]), text
@@ -357,10 +400,11 @@ def explained(lines: list[str], lm: Language, twice: bool = True) -> list[list[t
     out: list[list[tuple[int, float, str, bool]]] = [[] for _ in lines]
     codes = codes_of("\n" + "\n".join(lines) + "\n")
     first = np.r_[1, 1 + np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)) + 1)]
-    total = np.r_[0.0, np.cumsum(lm.pair_scores(codes))]
+    total = np.r_[0.0, np.cumsum(lm.pair_scores(codes), dtype=np.float64)]
     by: dict[tuple[int, int], list[Found]] = {}
     for page, start, end in odd_parts(codes):
-        for k, a, b, text, gain in explained_pieces(Pieces(page, codes, start, end, total, lm), codes, lm):
+        line = np.searchsorted(first, start, "right") - 1
+        for k, a, b, text, gain in explained_pieces(Pieces(page, codes, start, end, line, total, lm), codes, lm):
             i = int(np.searchsorted(first, a, "right")) - 1
             by.setdefault((i, k), []).append((k, a - int(first[i]), b - int(first[i]), text, gain))
     for (i, k), found in by.items():
