@@ -61,8 +61,6 @@ def checked(a: argparse.Namespace) -> argparse.Namespace:
     hours = getattr(a, "refresh_hours", None)
     if hours is not None and (not math.isfinite(hours) or hours < 0):
         raise SystemExit("refresh hours must be finite and not negative")
-    if a.command in ("stats", "search", "rag", "serve") and not Path(a.index, "manifest.json").exists():
-        raise SystemExit(f"no index in {a.index}")
     for name in ("documents", "runs", "qrels"):
         if getattr(a, name, None) and not Path(getattr(a, name)).exists():
             raise SystemExit(f"{getattr(a, name)} does not exist")
@@ -88,6 +86,10 @@ def main(argv: list[str] | None = None, engine=None) -> int:
         from .engine import Engine
 
         engine = Engine(SparkSession.builder.appName("lanternq").getOrCreate(), a.index)
+    from .sources import generation
+
+    if a.command in ("stats", "search", "rag", "serve") and not generation.manifest(a.index):
+        raise SystemExit(f"no index in {a.index}")
     if a.command == "crawl":
         from .sources.fetch import http_fetch
 

@@ -6,41 +6,57 @@ import hashlib
 from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dom
 from .functions import text as T
 from .functions.tokens import query_terms, spans
-from .operators import crawl, dense, fusion, index, passages, ranking, rerank
+from .operators import build, crawl, dense, fusion, index, passages, ranking, rerank
 from .rag.engine import answer_question
 from .sources import generation
+from .sources.staging import stage
 from .sources.tables import ship
 
 RANKINGS = ("dense", "phrase", "bm25f", "hybrid", "rerank")
 DIMENSION = 64
+#: Takes a list of texts and gives a unit vector for each.
+Encoder = Callable[[list[str]], list[list[float]]]
 VERSIONS = {"tokenizer_mode": "search", "stopwords_version": T.STOPWORDS_VERSION, "text_normalizer_version": T.NORMALIZER_VERSION}
 
 
-def hashed_vector(text: str, dimension: int = DIMENSION) -> list[float]:
-    """Unit vector of hashed search tokens. A stand-in for a text encoder, which is not shipped."""
-    v = np.zeros(dimension)
-    _, a, b, flat = spans([text], "search")
-    for s, e in zip(a.tolist(), b.tolist(), strict=True):
-        h = int.from_bytes(hashlib.blake2b(flat[s:e].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        v[h % dimension] += 1 if h >> 63 else -1
-    n = float(np.linalg.norm(v))
-    return (v / n).tolist() if n else [1.0, *[0.0] * (dimension - 1)]
+def hashed_vectors(texts: list[str], dimension: int = DIMENSION) -> list[list[float]]:
+    """Unit vectors of hashed search tokens. A stand-in for a text encoder, which is not shipped."""
+    v = np.zeros((len(texts), dimension))
+    of, a, b, flat = spans(texts, "search")
+    known: dict[str, int] = {}
+    for i, s, e in zip(of.tolist(), a.tolist(), b.tolist(), strict=True):
+        t = flat[s:e]
+        h = known.get(t)
+        if h is None:
+            h = known[t] = int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        v[i, h % dimension] += 1 if h >> 63 else -1
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    v = np.where(n > 0, v / np.maximum(n, 1e-300), np.eye(1, dimension))
+    return v.tolist()
 
 
-Encoder = Callable[[str], list[float]]
+def loaded_encoder(load: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 256) -> Encoder:
+    """An encoder whose model is loaded once per Python worker, and called for at most `batch` texts at a time."""
+    held: list = []
+
+    def encode(texts: list[str]) -> list[list[float]]:
+        if not held:
+            held.append(load())
+        return [v for at in range(0, len(texts), batch) for v in held[0](texts[at : at + batch])]
+
+    return encode
 
 
 class Engine:
     """All operations of one index folder. Rankings take a limit; document rankings give cards in rank order."""
 
-    def __init__(self, spark: SparkSession, directory: str, encoder: Encoder = hashed_vector, scorer: Callable[[str, str], float] = rerank.lexical_scorer) -> None:
+    def __init__(self, spark: SparkSession, directory: str, encoder: Encoder = hashed_vectors, scorer: Callable[[str, str], float] = rerank.lexical_scorer) -> None:
         ship(spark)
         self.spark, self.directory, self.encoder, self.scorer = spark, directory, encoder, scorer
         self._loaded: tuple[str, dict[str, DataFrame]] | None = None
@@ -58,33 +74,43 @@ class Engine:
             old_manifest, old = generation.load(self.spark, self.directory)
         except ValueError:
             old_manifest, old = {}, {}
-        seen = docs.count()
         todo = index.changed(docs, old["documents"], old_manifest, VERSIONS) if old else docs
-        fresh = todo.withColumns({"title_norm": T.normalize_text("title"), "text_norm": T.normalize_text("text")})
-        encode, dimension = self.encoder, len(self.encoder("x"))
-
-        def vectors(batches):
-            for b in batches:
-                yield pa.record_batch({"document_id": b.column(0), "chunk_index": b.column(1), "embedding": pa.array([encode(t) for t in b.column(2).to_pylist()], pa.list_(pa.float32()))})
-
-        cut = passages.passages(fresh)
-        titled = cut.join(fresh.select("document_id", "title_norm"), "document_id").select("document_id", "chunk_index", F.concat_ws("\n", "title_norm", "text").alias("t"))
-        built = index.indexed(fresh)
-        tables = {"documents": fresh, "lengths": index.lengths(built), "postings": index.postings(built), "passages": cut, "vectors": titled.mapInArrow(vectors, "document_id long, chunk_index int, embedding array<float>")}
-        if old:
-            tables = {k: index.replaced(old[k], v.join(fresh.select("document_id"), "document_id", "left_semi")) if k == "documents" else old[k].join(fresh.select("document_id"), "document_id", "left_anti").unionByName(v) for k, v in tables.items()}
-        n = fresh.count() if old else seen
-        generation.publish(self.directory, tables, dimension=dimension, **VERSIONS)
-        self._loaded = None
+        fresh = stage(todo.withColumns({"title_norm": T.normalize_text("title"), "text_norm": T.normalize_text("text")}), "fresh")
+        seen, n = docs.count(), fresh.count()
+        if n or not old:
+            tables = build.tables(fresh, self.encoder) | {"documents": fresh}
+            same = old and all(old_manifest.get(k) == v for k, v in VERSIONS.items()) and len(old_manifest["segments"]) < generation.MOST_SEGMENTS
+            if old and not same:  # everything as one segment again
+                gone = fresh.select("document_id")
+                tables = {k: old[k].join(gone, "document_id", "left_anti").unionByName(v) if k in old else v for k, v in tables.items()}
+            generation.publish(self.directory, tables, old_manifest if same else None, build.stats, dimension=len(self.encoder(["x"])[0]), **VERSIONS)
+            self._loaded = None
         return {"seen": seen, "indexed": n, "skipped": seen - n}
 
+    @property
+    def manifest(self) -> dict:
+        return self._index()[0]
+
     @property
     def tables(self) -> dict[str, DataFrame]:
+        return self._index()[1]
+
+    def _index(self) -> tuple[dict, dict[str, DataFrame]]:
+        """The manifest and tables in force, loaded again when another build was published."""
         current = generation.manifest(self.directory).get("generation", "")
         if self._loaded is None or self._loaded[0] != current:
-            self._loaded = (current, generation.load(self.spark, self.directory)[1])
+            self._loaded = (current, generation.load(self.spark, self.directory))
         return self._loaded[1]
 
+    def _numbers(self) -> DataFrame:
+        return build.stats_row(self.spark, self.manifest["stats"])
+
+    def warm_up(self) -> None:
+        """Load the index and the encoder and run a search of each kind, so that the first question does not wait for it."""
+        for how in RANKINGS:
+            self.search_documents("a", how, 1)
+        self.search_passages("a", 1)
+
     def stats(self) -> dict[str, object]:
         docs = self.tables["documents"]
         hosts = docs.groupBy(F.regexp_extract(F.lower("url"), r"^[a-z]+://([^/:?#]+)", 1).alias("host")).count()
@@ -94,10 +120,10 @@ class Engine:
     # ---- rankings ----
 
     def _sparse(self, query: str, side: int) -> DataFrame:
-        return ranking.top(ranking.bm25f_of_index(self.tables["lengths"], self.tables["postings"], {1: query}), side)
+        return ranking.top(ranking.bm25f_of_index(self._numbers(), self.tables["postings"], {1: query}), side)
 
     def _vectors(self, query: str, side: int, once: bool = False) -> DataFrame:
-        return dense.scores(self.tables["vectors"], {1: self.encoder(T.normalize(query))}, ["document_id", "chunk_index"], side, once=once)
+        return dense.scores(self.tables["vectors"], {1: self.encoder([T.normalize(query)])[0]}, ["document_id", "chunk_index"], side, once=once)
 
     def _dense(self, query: str, side: int) -> DataFrame:
         return ranking.top(dense.best_per_document(self._vectors(query, side, True)), side)
@@ -149,7 +175,7 @@ class Engine:
         if not terms:
             return []
         side = fusion.candidates(limit)
-        sparse = dense.ranked(passages.passage_bm25(self.tables["documents"], {1: query}), side)
+        sparse = dense.ranked(passages.passage_bm25_of_index(self._numbers(), self.tables["passage_postings"], {1: query}), side)
         both = fusion.fuse(sparse, dense.ranked(self._vectors(query, side), side), max(limit, candidates), alpha, ("document_id", "chunk_index"))
         docs = self.tables["documents"].select("document_id", "url", "title_norm", "content_html", T.published_date(F.coalesce("text", F.lit("")), F.coalesce("url", F.lit(""))).alias("day"))
         rows = self.tables["passages"].join(F.broadcast(both), ["document_id", "chunk_index"]).join(docs, "document_id").toPandas()  # candidates rows

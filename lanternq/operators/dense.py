@@ -39,7 +39,7 @@ def scores(vectors: DataFrame, queries: dict[int, list[float]], keys: list[str],
             own = [batch.column(k).take(pa.array(rows)).to_numpy(zero_copy_only=False) for k in range(len(keys))]
             order = np.lexsort(own[::-1])
             for at in range(0, len(ids), QUERY_BLOCK):
-                s = np.round(x[order] @ matrix[at : at + QUERY_BLOCK].T, 6)
+                s = np.round(x[order] @ matrix[at : at + QUERY_BLOCK].T, 12)
                 best = np.argsort(-s, axis=0, kind="stable")
                 if once:
                     first = own[0][order]
@@ -55,6 +55,30 @@ def scores(vectors: DataFrame, queries: dict[int, list[float]], keys: list[str],
     return vectors.select(*keys, vector).mapInArrow(run, "query_id int, " + ", ".join(f"{k} {kinds[k]}" for k in keys) + ", score double")
 
 
+#: Query vectors of one pass over the vectors.
+PASS_QUERIES = 4096
+
+
+def scores_of(vectors: DataFrame, queries: DataFrame, keys: list[str], limit: int, once: bool = False) -> DataFrame:
+    """`scores` for a table of stated queries (query_id, embedding), in blocks of PASS_QUERIES, each one pass."""
+    out = None
+    block: dict[int, list[float]] = {}
+
+    def passed() -> None:
+        nonlocal out
+        part = scores(vectors, dict(block), keys, limit, once=once)
+        out = part if out is None else out.unionByName(part)
+        block.clear()
+
+    for r in queries.select("query_id", "embedding").toLocalIterator():
+        block[int(r.query_id)] = list(r.embedding)
+        if len(block) >= PASS_QUERIES:
+            passed()
+    if block or out is None:
+        passed()
+    return out
+
+
 def best_per_document(scored: DataFrame) -> DataFrame:
     """(query_id, document_id, chunk_index, score): the first passage of each document in ranked order."""
     best = F.max(F.struct("score", (-F.col("chunk_index")).alias("minus"))).alias("x")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import top
+from .ranking import DIGITS, top
 
 #: Fixed value: weight of the dense side.
 ALPHA = 0.23
@@ -38,5 +38,5 @@ def fuse(sparse: DataFrame, dense: DataFrame, limit: int, alpha: float = ALPHA,
         return top(side.select("query_id", *keys, "score"), limit, *order).select("query_id", "rank", *keys, "score")
     on = ["query_id", *keys]
     both = minmax(sparse).select(*on, F.col("score").alias("s")).join(minmax(dense).select(*on, F.col("score").alias("d")), on, "full_outer")
-    score = F.round((1 - alpha) * F.coalesce("s", F.lit(0.0)) + alpha * F.coalesce("d", F.lit(0.0)), 6)
+    score = F.round((1 - alpha) * F.coalesce("s", F.lit(0.0)) + alpha * F.coalesce("d", F.lit(0.0)), DIGITS)
     return top(both.select(*on, score.alias("score")), limit, *order).select("query_id", "rank", *keys, "score")

@@ -69,6 +69,12 @@ def postings(index: DataFrame) -> DataFrame:
     return index.select("document_id", F.inline("terms")).select("term", "document_id", "field", "positions")
 
 
+def stored_postings(index: DataFrame) -> DataFrame:
+    """(term, document_id, field, tf, title_len, text_len, positions): postings that can be scored without another table."""
+    flat = index.select("document_id", "title_len", "text_len", F.inline("terms"))
+    return flat.select("term", "document_id", "field", F.size("positions").alias("tf"), "title_len", "text_len", "positions")
+
+
 def posting_lookup(index: DataFrame, term: str, field: int) -> DataFrame:
     """(document_id, positions) of one term in one field."""
     return postings(index).filter((F.col("term") == term) & (F.col("field") == field)).select("document_id", "positions")

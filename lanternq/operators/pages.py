@@ -80,3 +80,12 @@ def structured_evidence(hits: DataFrame, terms: list[str]) -> DataFrame:
         return [(i, k, x["scope"], x["content"], x["heading_path"])]
 
     return per_page(hits, ["document_id", "chunk_index", "text", "content_html"], "document_id long, chunk_index int, scope string, content string, heading_path string", make)
+
+
+def resolved(df: DataFrame, references: list[str], key: str = "doc_id", url: str = "url") -> DataFrame:
+    """(key, ref, resolved): each reference as a link on each page; a url that cannot be read gives null."""
+
+    def make(i: int, u: str | None) -> list[tuple]:
+        return [(i, r, dom.resolve(u or "", r)) for r in references]
+
+    return per_page(df, [key, url], f"{key} long, ref string, resolved string", make)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import STOPWORDS
 from ..functions.tokens import spans
 from ..sources.staging import spread, stage
-from .ranking import terms_of
+from .ranking import DIGITS, terms_of, wanted
 
 #: Tokens of a passage, of its title, of the overlap, and those that a model adds.
 MAX_TOKENS, TITLE_TOKENS, OVERLAP, SPECIALS = 384, 64, 64, 2
@@ -58,9 +58,12 @@ def passages(df: DataFrame, key: str = "document_id", title: str = "title_norm",
     return spread(df.select(F.col(key).cast("long").alias("document_id"), title, text)).mapInArrow(run, "document_id long, chunk_index int, start int, end int, tokens int, text string")
 
 
-def passage_terms(df: DataFrame, terms: list[str], key: str = "document_id", title: str = "title_norm", text: str = "text_norm", max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
-    """(document_id, chunk_index, size, hits array<struct<term, tf0, tf1>>): search tokens of each passage with its title."""
-    only = frozenset(terms)
+def passage_terms(df: DataFrame, terms: list[str] | None, key: str = "document_id", title: str = "title_norm", text: str = "text_norm", max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
+    """(document_id, chunk_index, size, hits array<struct<term, tf0, tf1>>): search tokens of each passage with its title.
+
+    With terms None all tokens are kept, else only these; size counts every token.
+    """
+    only = None if terms is None else frozenset(terms)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,10 +82,10 @@ def passage_terms(df: DataFrame, terms: list[str], key: str = "document_id", tit
                     inside = np.flatnonzero((a1 >= s) & (b1 <= e) & keep)
                     hits: dict[str, list[int]] = {}
                     for w in head:
-                        if w in only:
+                        if only is None or w in only:
                             hits.setdefault(w, [0, 0])[0] += 1
                     for j in inside.tolist():
-                        if body[j] in only:
+                        if only is None or body[j] in only:
                             hits.setdefault(body[j], [0, 0])[1] += 1
                     out.append((i, k, len(head) + len(inside), [{"term": w, "tf0": x, "tf1": y} for w, (x, y) in hits.items()]))
             i, k, n, hits = zip(*out, strict=True) if out else ([],) * 4
@@ -93,17 +96,33 @@ def passage_terms(df: DataFrame, terms: list[str], key: str = "document_id", tit
     return spread(df.select(F.col(key).cast("long").alias("document_id"), title, text)).mapInArrow(run, schema)
 
 
+def stored_passage_postings(rows: DataFrame) -> DataFrame:
+    """(term, document_id, chunk_index, size, tf0, tf1): passage postings that can be scored without another table."""
+    return rows.select("document_id", "chunk_index", "size", F.inline("hits")).select("term", "document_id", "chunk_index", "size", "tf0", "tf1")
+
+
+def passage_stats(rows: DataFrame) -> DataFrame:
+    """One row: the number of passages and their mean size."""
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.avg("size").alias("mean"))
+
+
 def passage_bm25(df: DataFrame, queries: dict[int, str], **options) -> DataFrame:
-    """(query_id, document_id, chunk_index, score): passages that hold a query term, by two-field BM25 with a least idf."""
-    spark = df.sparkSession
+    """(query_id, document_id, chunk_index, score) over texts without a stored index."""
+    rows = stage(passage_terms(df, [t for _, t in terms_of(queries)], **options), "passage-terms")  # read for statistics and for hits
+    return passage_bm25_of_index(passage_stats(rows), stored_passage_postings(rows.filter(F.size("hits") > 0)), queries)
+
+
+def passage_bm25_of_index(stats: DataFrame, stored: DataFrame, queries: dict[int, str]) -> DataFrame:
+    """(query_id, document_id, chunk_index, score): passages that hold a query term, by two-field BM25 with a least idf.
+
+    stats is one row (rows, mean); of the stored postings only those of the query terms are read.
+    """
     pairs = terms_of(queries)
-    words = spark.createDataFrame(pairs, "query_id int, term string")
-    rows = stage(passage_terms(df, [t for _, t in pairs], **options), "passage-terms")  # read for statistics and for hits
-    stats = rows.agg(F.count(F.lit(1)).alias("rows"), F.avg("size").alias("mean"))
-    hits = rows.filter(F.size("hits") > 0).select("document_id", "chunk_index", "size", F.inline("hits"))
+    words = stored.sparkSession.createDataFrame(pairs, "query_id int, term string")
+    hits = wanted(stored, words.select("term").distinct(), sorted({t for _, t in pairs}))
     found = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     f = WEIGHTS[0] * F.col("tf0") + WEIGHTS[1] * F.col("tf1")
     part = F.when(idf <= 0, LEAST_IDF).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("size") / F.col("mean")))
     scored = hits.join(F.broadcast(found), "term").crossJoin(F.broadcast(stats)).withColumn("part", part).join(F.broadcast(words), "term")  # a row per query term, and one row
-    return scored.groupBy("query_id", "document_id", "chunk_index").agg(F.round(F.sum("part"), 6).alias("score"))
+    return scored.groupBy("query_id", "document_id", "chunk_index").agg(F.round(F.sum("part"), DIGITS).alias("score"))

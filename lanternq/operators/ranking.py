@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize
 from ..functions.tokens import query_terms, tokenize_with_positions
 from ..sources.staging import stage
-from .index import corpus_stats, indexed, postings
+from .index import corpus_stats, indexed, postings, stored_postings
 
 #: Saturation, and (weight, length share) of title and text.
 K1 = 1.2
 FIELDS = ((2.0, 0.3), (1.0, 0.75))
-DIGITS = 6
+#: Places that scores are ranked by, so that the order of a sum's parts decides nothing; output may round further.
+DIGITS = 12
+#: Query terms up to which the scan itself is filtered by a list of them.
+SCAN_TERMS = 1000
 
 
 def top(scored: DataFrame, limit: int, *order: Column, key: str = "document_id") -> DataFrame:
@@ -32,27 +35,33 @@ def terms_of(queries: dict[int, str]) -> list[tuple[int, str]]:
 def bm25f(df: DataFrame, queries: dict[int, str], mode: str = "search") -> DataFrame:
     """(query_id, document_id, score) of all documents that hold a query term; df has document_id, title_norm, text_norm.
 
-    Only the postings of query terms leave the scan, so what is shuffled is the matches and not the corpus.
+    For texts without a stored index. Only the postings of query terms leave the scan, so what is shuffled is the matches
+    and not the corpus.
     """
     words = [t for _, t in terms_of(queries)]
     index = stage(indexed(df, mode=mode, terms=words), "matches")  # read for lengths and for hits
-    hits = index.filter(F.size("terms") > 0).select("document_id", "title_len", "text_len", F.inline("terms"))
-    return scored_bm25f(index, hits, queries)
+    return scored_bm25f(corpus_stats(index), stored_postings(index.filter(F.size("terms") > 0)), queries)
 
 
-def bm25f_of_index(lengths: DataFrame, stored: DataFrame, queries: dict[int, str]) -> DataFrame:
-    """The same over stored lengths and postings: the filter on term reaches the scan, which is sorted by it."""
-    words = [t for _, t in terms_of(queries)]
-    hits = stored.filter(F.col("term").isin(words)).join(lengths, "document_id")
-    return scored_bm25f(lengths, hits, queries)
+def wanted(stored: DataFrame, words: DataFrame, terms: list[str]) -> DataFrame:
+    """The rows of a table sorted by term that stand under one of the words; a short list of terms reaches the scan."""
+    few = stored.filter(F.col("term").isin(terms)) if len(terms) <= SCAN_TERMS else stored
+    return few.join(F.broadcast(words), "term") if len(terms) <= SCAN_TERMS else few.join(words, "term")
+
+
+def bm25f_of_index(stats: DataFrame, stored: DataFrame, queries: dict[int, str]) -> DataFrame:
+    """The same over a stored index: one row of statistics, and the postings, of which only the query terms are read."""
+    return scored_bm25f(stats, stored, queries)
 
 
-def scored_bm25f(lengths: DataFrame, hits: DataFrame, queries: dict[int, str]) -> DataFrame:
-    """Scores from (document_id, title_len, text_len) of all documents and the hits with their term, field and positions."""
-    words = lengths.sparkSession.createDataFrame(terms_of(queries), "query_id int, term string")
-    stats = corpus_stats(lengths).select("documents", (F.col("title_tokens") / F.col("documents")).alias("avg0"), (F.col("text_tokens") / F.col("documents")).alias("avg1"))
-    hits = hits.select("document_id", "title_len", "text_len", "term", "field", F.size("positions").alias("tf"))
+def scored_bm25f(stats: DataFrame, stored: DataFrame, queries: dict[int, str]) -> DataFrame:
+    """Scores from one row (documents, title_tokens, text_tokens) and stored postings."""
+    pairs = terms_of(queries)
+    words = stored.sparkSession.createDataFrame(pairs, "query_id int, term string")
+    stats = stats.select("documents", (F.col("title_tokens") / F.col("documents")).alias("avg0"), (F.col("text_tokens") / F.col("documents")).alias("avg1"))
+    terms = sorted({t for _, t in pairs})
     count = lambda f: F.sum(F.when(F.col("field") == f, F.col("tf")).otherwise(0))
+    hits = wanted(stored.select("term", "document_id", "field", "tf", "title_len", "text_len"), words.select("term").distinct(), terms)
     per = hits.groupBy("term", "document_id", "title_len", "text_len").agg(count(0).alias("tf0"), count(1).alias("tf1"))
     found = per.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.lit(0.0)
@@ -88,7 +97,7 @@ def phrase_of_postings(stored: DataFrame, phrases: dict[int, str], mode: str = "
     """phrase_search over stored postings; the filter on term reaches the scan."""
     rows = phrase_rows(phrases, mode)
     words = stored.sparkSession.createDataFrame(rows, "query_id int, term string, shift int, n int")
-    found = stored.filter(F.col("term").isin([r[1] for r in rows]))
-    starts = found.join(F.broadcast(words), "term").select("query_id", "document_id", "field", "shift", "n", F.explode("positions").alias("at"))
+    found = wanted(stored.select("term", "document_id", "field", "positions"), words, sorted({r[1] for r in rows}))
+    starts = found.select("query_id", "document_id", "field", "shift", "n", F.explode("positions").alias("at"))
     whole = starts.groupBy("query_id", "document_id", "field", (F.col("at") - F.col("shift")).alias("start")).agg(F.countDistinct("shift").alias("met"), F.max("n").alias("n"))
     return whole.filter("met = n").select("query_id", "document_id").distinct()

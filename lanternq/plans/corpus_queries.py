@@ -11,8 +11,8 @@ from ..functions.tokens import query_terms
 from ..operators import calc, crawl, evidence, pages, passages, ranking
 from ..sources.tables import table
 from . import sqlparts as S
-from .retrieval_queries import BY
-from .text_queries import HOST, INDEXED, QUERIES
+from .retrieval_queries import BY, _passages
+from .text_queries import HOST, INDEXED, QUERIES, bm25f
 
 NOW, CUTOFF = "2026-01-01T00:00:00+00:00", "2025-06-01"
 RULES = [{"label": "small", "lt": 100000}, {"label": "middle", "gte": 100000, "lt": 250000}, {"label": "large", "gte": 250000}]
@@ -62,7 +62,7 @@ def table_sections(spark, d):
 
 
 def structured_evidence(spark, d):
-    hits = ranking.top(passages.passage_bm25(table(spark, d, INDEXED), QUERIES), 50, F.desc("score"), F.asc("document_id"), F.asc("chunk_index"))
+    hits = ranking.top(_passages(spark, d), 50, F.desc("score"), F.asc("document_id"), F.asc("chunk_index"))
     text = passages.passages(table(spark, d, INDEXED)).select("document_id", "chunk_index", "text")
     rows = hits.select("document_id", "chunk_index").distinct().join(text, ["document_id", "chunk_index"]).join(_pages(spark, d).withColumnRenamed("doc_id", "document_id"), "document_id")
     return pages.structured_evidence(rows, query_terms(QUERIES[1]))
@@ -146,7 +146,7 @@ def calc_set_ops(spark, d):
 
 
 def _hits(spark, d):
-    hits = ranking.top(ranking.bm25f(table(spark, d, INDEXED), QUERIES), 20).select("query_id", "rank", "document_id").withColumn("conversation", F.lit(1))
+    hits = ranking.top(bm25f(spark, d), 20).select("query_id", "rank", "document_id").withColumn("conversation", F.lit(1))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "url", F.coalesce("text", F.lit("")).alias("text"))
     return evidence.interleave(hits).join(docs, "document_id")
 

@@ -10,45 +10,64 @@ from ..functions.tokens import query_terms as terms
 from ..operators import dense, evaluate, fusion, passages, ranking, rerank
 from ..sources.tables import table
 from . import sqlparts as S
-from .text_queries import INDEXED, QUERIES, SQL as TEXT_SQL
+from . import stored
+from .text_queries import INDEXED, QUERIES, SQL as TEXT_SQL, bm25f
 
 LIMIT, SIDE = 20, 100
-QUERY_VECTORS = (1, 2, 3, 4, 5)
+#: Vectors whose id is divisible by this are the queries.
+EVERY = 50
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    """(document_id, chunk_index, embedding): the supplied vectors dealt to two passages of each document."""
-    ids = table(spark, d, INDEXED).select("document_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("chunk_index"))
-    emb = table(spark, d, "embeddings").select("vec_id", "embedding").filter("vec_id < 500")
-    return ids.withColumn("vec_id", (F.col("document_id") * 7 + F.col("chunk_index")) % 500).join(emb, "vec_id").select("document_id", "chunk_index", "embedding")
+    """(document_id, chunk_index, embedding): all supplied vectors, dealt to two passages of each document."""
+    emb = table(spark, d, "embeddings").select("vec_id", "embedding")
+    n = emb.agg(F.count(F.lit(1)).alias("n"))
+    ids = table(spark, d, INDEXED).select("document_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("chunk_index")).crossJoin(F.broadcast(n))  # one row
+    return ids.withColumn("vec_id", (F.col("document_id") * 7 + F.col("chunk_index")) % F.col("n")).join(emb, "vec_id").select("document_id", "chunk_index", "embedding")
 
 
-def query_vectors(spark: SparkSession, d: str) -> dict[int, list[float]]:
-    rows = table(spark, d, "embeddings").filter(F.col("vec_id").isin(*QUERY_VECTORS)).select("vec_id", "embedding").collect()
-    return {int(r.vec_id): list(r.embedding) for r in rows}
+def query_vectors(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").filter(F.col("vec_id") % EVERY == 0)
+    return rows.select((F.col("vec_id") / EVERY).cast("int").alias("query_id"), "embedding")
+
+
+def index_build(spark, d):
+    """Build and publish the stored index that the searches read; rows per table."""
+    counts = stored.index_of(spark, d)[0]["counts"]
+    return spark.createDataFrame([(k, counts[k]) for k in ("lengths", "postings", "passages")], "name string, rows long")
 
 
 def passage_chunks(spark, d):
     return passages.passages(table(spark, d, INDEXED)).select("document_id", "chunk_index", "start", F.col("end").alias("stop"), "tokens")
 
 
+def _passages(spark, d):
+    rows = stored.index_of(spark, d)[1]["passage_postings"]
+    return passages.passage_bm25_of_index(stored.stats(spark, d), rows, QUERIES)
+
+
+def _rounded(ranked: DataFrame, *keys: str) -> DataFrame:
+    return ranked.select("query_id", "rank", *keys, F.round("score", 6).alias("score"))
+
+
 def passage_bm25(spark, d):
-    scored = passages.passage_bm25(table(spark, d, INDEXED), QUERIES)
-    return dense.ranked(scored, LIMIT).select("query_id", "rank", "document_id", "chunk_index", "score")
+    return _rounded(dense.ranked(_passages(spark, d), LIMIT), "document_id", "chunk_index")
+
+
+def _dense(spark, d, limit, once=False):
+    return dense.scores_of(vectors(spark, d), query_vectors(spark, d), ["document_id", "chunk_index"], limit, once=once)
 
 
 def dense_passages_topk(spark, d):
-    scored = dense.scores(vectors(spark, d), query_vectors(spark, d), ["document_id", "chunk_index"], LIMIT)
-    return dense.ranked(scored, LIMIT).select("query_id", "rank", "document_id", "chunk_index", "score")
+    return _rounded(dense.ranked(_dense(spark, d, LIMIT), LIMIT), "document_id", "chunk_index")
 
 
 def _dense_documents(spark, d):
-    scored = dense.scores(vectors(spark, d), query_vectors(spark, d), ["document_id", "chunk_index"], SIDE, once=True)
-    return ranking.top(dense.best_per_document(scored), SIDE)
+    return ranking.top(dense.best_per_document(_dense(spark, d, SIDE, True)), SIDE)
 
 
 def dense_documents_topk(spark, d):
-    return _dense_documents(spark, d).filter(F.col("rank") <= LIMIT).select("query_id", "rank", "document_id", "chunk_index", "score")
+    return _rounded(_dense_documents(spark, d).filter(F.col("rank") <= LIMIT), "document_id", "chunk_index")
 
 
 def vector_validation(spark, d):
@@ -62,7 +81,7 @@ def dense_index_stats(spark, d):
 
 
 def _sparse(spark, d):
-    return ranking.top(ranking.bm25f(table(spark, d, INDEXED), QUERIES), SIDE)
+    return ranking.top(bm25f(spark, d), SIDE)
 
 
 def minmax_scores(spark, d):
@@ -70,25 +89,25 @@ def minmax_scores(spark, d):
 
 
 def hybrid_documents(spark, d):
-    return fusion.fuse(_sparse(spark, d), _dense_documents(spark, d), LIMIT)
+    return _rounded(fusion.fuse(_sparse(spark, d), _dense_documents(spark, d), LIMIT), "document_id")
 
 
 def hybrid_alpha0(spark, d):
-    return fusion.fuse(_sparse(spark, d), _dense_documents(spark, d), LIMIT, 0)
+    return _rounded(fusion.fuse(_sparse(spark, d), _dense_documents(spark, d), LIMIT, 0), "document_id")
 
 
 def hybrid_alpha1(spark, d):
-    return fusion.fuse(_sparse(spark, d), _dense_documents(spark, d), LIMIT, 1)
+    return _rounded(fusion.fuse(_sparse(spark, d), _dense_documents(spark, d), LIMIT, 1), "document_id")
 
 
 def hybrid_passages(spark, d):
-    sparse = dense.ranked(passages.passage_bm25(table(spark, d, INDEXED), QUERIES), SIDE)
-    found = dense.ranked(dense.scores(vectors(spark, d), query_vectors(spark, d), ["document_id", "chunk_index"], SIDE), SIDE)
-    return fusion.fuse(sparse, found, LIMIT, keys=("document_id", "chunk_index"))
+    sparse = dense.ranked(_passages(spark, d), SIDE)
+    found = dense.ranked(_dense(spark, d, SIDE), SIDE)
+    return _rounded(fusion.fuse(sparse, found, LIMIT, keys=("document_id", "chunk_index")), "document_id", "chunk_index")
 
 
 def rerank_documents_lexical(spark, d):
-    hits = ranking.top(ranking.bm25f(table(spark, d, INDEXED), QUERIES), 50)
+    hits = ranking.top(bm25f(spark, d), 50)
     return rerank.rerank_documents(hits, table(spark, d, INDEXED), {q: T.normalize(t) for q, t in QUERIES.items()})
 
 
@@ -110,7 +129,7 @@ def rerank_plateau(spark, d):
 
 
 def rerank_passages_capped(spark, d):
-    scored = dense.ranked(passages.passage_bm25(table(spark, d, INDEXED), QUERIES), 50)
+    scored = dense.ranked(_passages(spark, d), 50)
     text = passages.passages(table(spark, d, INDEXED)).select("document_id", "chunk_index", "text")
     rows = scored.withColumnRenamed("rank", "candidate").join(text, ["document_id", "chunk_index"])
     return rerank.rerank_passages(rows.select("query_id", "candidate", "document_id", "chunk_index", "score", "text"), LIMIT)
@@ -131,7 +150,7 @@ def query_snippets(spark, d):
 
 
 def search_cards(spark, d):
-    hits = ranking.top(ranking.bm25f(table(spark, d, INDEXED), QUERIES), LIMIT).select("query_id", "rank", "document_id")
+    hits = ranking.top(bm25f(spark, d), LIMIT).select("query_id", "rank", "document_id")
     docs = table(spark, d, "documents").withColumnRenamed("doc_id", "document_id")
     title = F.when(F.coalesce(F.col("title"), F.lit("")) == "", F.col("url")).otherwise(F.col("title"))
     return hits.join(docs, "document_id").select("query_id", "rank", title.alias("title"), "url", T.published_date(F.coalesce("text", F.lit("")), F.coalesce("url", F.lit(""))).alias("published_at"))
@@ -174,11 +193,11 @@ pl AS (SELECT c.document_id, c.chunk_index, count(p.term) AS size FROM chunk c L
 ps AS (SELECT count(*) AS rows, avg(size) AS mean FROM pl),
 pf AS (SELECT document_id, chunk_index, term, 2e0 * count(*) FILTER (field = 0) + count(*) FILTER (field = 1) AS f FROM pt WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
 pd AS (SELECT term, count(*) AS df FROM pf GROUP BY 1),
-psparse AS (SELECT q.query_id, pf.document_id, pf.chunk_index, round(sum((CASE WHEN ln((rows - df + 0.5e0) / (df + 0.5e0)) <= 0 THEN 1e-6 ELSE ln((rows - df + 0.5e0) / (df + 0.5e0)) END) * f * 2.2e0 / (f + 1.2e0 * (0.25e0 + 0.75e0 * size / mean))), 6) AS score
+psparse AS (SELECT q.query_id, pf.document_id, pf.chunk_index, round(sum((CASE WHEN ln((rows - df + 0.5e0) / (df + 0.5e0)) <= 0 THEN 1e-6 ELSE ln((rows - df + 0.5e0) / (df + 0.5e0)) END) * f * 2.2e0 / (f + 1.2e0 * (0.25e0 + 0.75e0 * size / mean))), 12) AS score
   FROM pf JOIN pd USING (term) JOIN pl ON pl.document_id = pf.document_id AND pl.chunk_index = pf.chunk_index JOIN q USING (term) CROSS JOIN ps GROUP BY 1, 2, 3)"""
-VEC = """pv AS (SELECT document_id, c.chunk_index, CAST(embedding AS DOUBLE[]) AS e FROM indexed_documents CROSS JOIN (VALUES (0), (1)) c(chunk_index) JOIN embeddings ON vec_id = (document_id * 7 + c.chunk_index) % 500 AND vec_id < 500),
-qv AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IN (1, 2, 3, 4, 5)),
-dp AS (SELECT query_id, document_id, chunk_index, round(list_inner_product(e, v), 6) AS score FROM pv CROSS JOIN qv),
+VEC = """pv AS (SELECT document_id, c.chunk_index, CAST(embedding AS DOUBLE[]) AS e FROM indexed_documents CROSS JOIN (VALUES (0), (1)) c(chunk_index) JOIN embeddings ON vec_id = (document_id * 7 + c.chunk_index) % (SELECT count(*) FROM embeddings)),
+qv AS (SELECT CAST(vec_id // 50 AS INTEGER) AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0),
+dp AS (SELECT query_id, document_id, chunk_index, round(list_inner_product(e, v), 12) AS score FROM pv CROSS JOIN qv),
 dd AS (SELECT query_id, document_id, arg_min(chunk_index, (-score, chunk_index)) AS chunk_index, max(score) AS score FROM dp GROUP BY 1, 2)"""
 BY = "PARTITION BY query_id ORDER BY score DESC, document_id"
 BYC = BY + ", chunk_index"
@@ -188,8 +207,8 @@ def _fused(sparse: str, found: str, keys: str, by: str, alpha: float) -> str:
     low = lambda t: f"(CASE WHEN min(score) OVER (PARTITION BY query_id) = max(score) OVER (PARTITION BY query_id) THEN 1e0 ELSE (score - min(score) OVER (PARTITION BY query_id)) / (max(score) OVER (PARTITION BY query_id) - min(score) OVER (PARTITION BY query_id)) END) AS {t}"
     return f"""sa AS (SELECT * FROM {sparse} QUALIFY row_number() OVER ({by}) <= {SIDE}), sn AS (SELECT query_id, {keys}, {low('s')} FROM sa),
 da AS (SELECT * FROM {found} QUALIFY row_number() OVER ({by}) <= {SIDE}), dn AS (SELECT query_id, {keys}, {low('d')} FROM da),
-fu AS (SELECT query_id, {keys}, round({1 - alpha}e0 * coalesce(s, 0e0) + {alpha}e0 * coalesce(d, 0e0), 6) AS score FROM sn FULL JOIN dn USING (query_id, {keys})),
-out AS (SELECT CAST(query_id AS INTEGER) AS query_id, row_number() OVER ({by}) AS rank, {keys}, score FROM fu)"""
+fu AS (SELECT query_id, {keys}, round({1 - alpha}e0 * coalesce(s, 0e0) + {alpha}e0 * coalesce(d, 0e0), 12) AS score FROM sn FULL JOIN dn USING (query_id, {keys})),
+out AS (SELECT CAST(query_id AS INTEGER) AS query_id, row_number() OVER ({by}) AS rank, {keys}, round(score, 6) AS score FROM fu)"""
 
 
 Q1 = ", ".join(S.text(t) for t in terms(QUERIES[1]))
@@ -200,9 +219,10 @@ FIRST = r"""WITH rel AS (SELECT DISTINCT query_id, regexp_replace(url, '#.*$', '
 h AS (SELECT query_id, min(rank) AS first FROM (SELECT query_id, rank, regexp_replace(url, '#.*$', '') AS url FROM eval_runs WHERE rank BETWEEN 1 AND 20) JOIN rel USING (query_id, url) GROUP BY 1),
 f AS (SELECT query_id, first FROM (SELECT DISTINCT query_id FROM rel) LEFT JOIN h USING (query_id)) """
 OUT = "SELECT * FROM out WHERE rank <= 20"
-RANKED = "SELECT CAST(query_id AS INTEGER) AS query_id, row_number() OVER ({by}) AS rank, {keys}, score FROM {t} QUALIFY rank <= 20"
+RANKED = "SELECT CAST(query_id AS INTEGER) AS query_id, row_number() OVER ({by}) AS rank, {keys}, round(score, 6) AS score FROM {t} QUALIFY row_number() OVER ({by}) <= 20"
 
 SQL = {
+    "index_build": f"WITH {CHUNKS}, p AS (SELECT DISTINCT term, document_id, field FROM tok) SELECT 'lengths' AS name, (SELECT count(*) FROM indexed_documents) AS rows UNION ALL SELECT 'postings', (SELECT count(*) FROM p) UNION ALL SELECT 'passages', (SELECT count(*) FROM chunk)",
     "passage_chunks": f"WITH {CHUNKS} SELECT document_id, chunk_index, start, stop, tokens FROM chunk",
     "passage_bm25": f"WITH {PASSAGE} " + RANKED.format(by=BYC, keys="document_id, chunk_index", t="psparse"),
     "dense_passages_topk": f"WITH {VEC} " + RANKED.format(by=BYC, keys="document_id, chunk_index", t="dp"),

@@ -42,4 +42,4 @@ dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 w AS (SELECT tf.term, tf.document_id, dfs.df, st.n,
   2e0 * f0 / (CASE WHEN a0 = 0 THEN 1e0 ELSE 1e0 - 0.3e0 + 0.3e0 * (l0 / a0) END) + 1e0 * f1 / (CASE WHEN a1 = 0 THEN 1e0 ELSE 1e0 - 0.75e0 + 0.75e0 * (l1 / a1) END) AS s
   FROM tf JOIN dfs USING (term) JOIN len USING (document_id) CROSS JOIN st),
-sparse AS (SELECT q.query_id, document_id, round(sum(ln(1e0 + (n - df + 0.5e0) / (df + 0.5e0)) * 2.2e0 * s / (1.2e0 + s)), 6) AS score FROM w JOIN q USING (term) GROUP BY 1, 2)"""
+sparse AS (SELECT q.query_id, document_id, round(sum(ln(1e0 + (n - df + 0.5e0) / (df + 0.5e0)) * 2.2e0 * s / (1.2e0 + s)), 12) AS score FROM w JOIN q USING (term) GROUP BY 1, 2)"""

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls
-from ..operators import index, ranking
+from ..operators import index, pages, ranking
 from ..sources.tables import table
 from . import sqlparts as S
+from . import stored
 
 QUERIES = {1: "课程评估 完整范围", 2: "图书馆统一认证", 3: "Cookie 保存问卷", 4: "library catalogue", 5: "café near the Wing"}
 PHRASES = {1: "统一认证", 2: "only one cookie", 3: "percent of the", 4: "cookie保存"}
+REFERENCES = ["/p/1.htm", "//other.example/a?x=1#top", "https://z.example/b", "?q=1", "#part"]
 DOCS, INDEXED = "documents", "indexed_documents"
 
 
@@ -20,21 +22,19 @@ def _index(spark: SparkSession, d: str, terms: list[str] | None = None) -> DataF
     return index.indexed(table(spark, d, INDEXED), terms=terms)
 
 
+def bm25f(spark, d):
+    return ranking.bm25f_of_index(stored.stats(spark, d), stored.postings(spark, d), QUERIES)
+
+
 def bm25f_top20(spark, d):
-    return ranking.top(ranking.bm25f(table(spark, d, INDEXED), QUERIES), 20).select("query_id", "rank", "document_id", "score")
+    return ranking.top(bm25f(spark, d), 20).select("query_id", "rank", "document_id", F.round("score", 6).alias("score"))
 
 
 def phrase_search(spark, d):
-    return ranking.phrase_search(table(spark, d, INDEXED), PHRASES)
+    return ranking.phrase_of_postings(stored.postings(spark, d), PHRASES)
 
 
 def normalize_text(spark, d):
-    """Exact normalisation; checked on what SQL can say of it: ASCII titles."""
-    docs = table(spark, d, DOCS).filter(F.regexp_like("title", F.lit(r"^[\x20-\x7E]+$")))
-    return docs.select("doc_id", T.normalize_text("title").alias("title_norm"))
-
-
-def normalize_text_all(spark, d):
     """Exact normalisation of title and text of every document; SQL has no twin for it."""
     docs = table(spark, d, DOCS)
     return docs.select("doc_id", T.normalize_text("title").alias("title_norm"), T.normalize_text("text").alias("text_norm"))
@@ -54,7 +54,7 @@ def query_terms(spark, d):
 
 
 def compact_bigrams(spark, d):
-    docs = table(spark, d, INDEXED).select("document_id", T.compact(F.substring("title_norm", 1, 40)).alias("c"))
+    docs = table(spark, d, INDEXED).select("document_id", T.compact(F.col("title_norm")).alias("c"))
     return docs.select("document_id", "c", F.explode(T.bigrams(F.col("c"))).alias("bigram"))
 
 
@@ -82,8 +82,8 @@ def host_scope(spark, d):
 
 
 def url_resolve(spark, d):
-    base = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
-    return table(spark, d, DOCS).filter("url like 'http%'").select("doc_id", F.concat(base, F.lit("/p/1.htm")).alias("resolved"))
+    """Every url with each of some references resolved against it."""
+    return pages.resolved(table(spark, d, DOCS).filter("url is not null"), REFERENCES)
 
 
 def published_dates(spark, d):
@@ -100,15 +100,16 @@ def field_lengths(spark, d):
 
 
 def term_df(spark, d):
-    return index.document_frequency(_index(spark, d))
+    return stored.postings(spark, d).groupBy("term").agg(F.countDistinct("document_id").alias("df"))
 
 
 def corpus_stats(spark, d):
-    return index.corpus_stats(_index(spark, d))
+    return stored.stats(spark, d).select("documents", "title_tokens", "text_tokens")
 
 
 def posting_lookup(spark, d):
-    return index.posting_lookup(_index(spark, d, ["课程"]), "课程", 1).select("document_id", F.array_join("positions", ",").alias("positions"))
+    found = stored.postings(spark, d).filter((F.col("term") == "课程") & (F.col("field") == 1))
+    return found.select("document_id", F.array_join("positions", ",").alias("positions"))
 
 
 def scan_documents(spark, d):
@@ -134,7 +135,8 @@ def index_incremental(spark, d):
 def index_replace(spark, d):
     rows = _index(spark, d)
     new = index.indexed(table(spark, d, INDEXED).filter("document_id % 10 = 0"), text="title_norm")
-    return index.lengths(index.replaced(rows, new))
+    flat = index.postings(index.replaced(rows, new))
+    return flat.select("term", "document_id", F.col("field").cast("int").alias("field"), F.array_join("positions", ",").alias("positions"))
 
 
 def docs_upsert(spark, d):
@@ -146,7 +148,7 @@ def docs_upsert(spark, d):
 HOST = r"regexp_extract(lower(url), '^\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)"
 TOK = f"WITH {S.tokens()} "
 RANK = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id)"
-TOP20 = f"WITH {S.bm25f(QUERIES)}, r AS (SELECT query_id, {RANK} AS rank, document_id, score FROM sparse) "
+TOP20 = f"WITH {S.bm25f(QUERIES)}, r AS (SELECT query_id, {RANK} AS rank, document_id, round(score, 6) AS score FROM sparse) "
 PHRASE_TERMS = []
 for _q, _p in PHRASES.items():
     _t = ranking.tokenize_with_positions(ranking.normalize(_p), "search")
@@ -155,18 +157,17 @@ for _q, _p in PHRASES.items():
 SQL = {
     "bm25f_top20": TOP20 + "SELECT CAST(query_id AS INTEGER) AS query_id, rank, document_id, score FROM r WHERE rank <= 20",
     "phrase_search": TOK + f", q(query_id, term, shift, n) AS (VALUES {', '.join(PHRASE_TERMS)}), m AS (SELECT query_id, document_id, field, start - shift AS s, count(DISTINCT shift) AS met, max(n) AS n FROM tok JOIN q USING (term) GROUP BY 1, 2, 3, 4) SELECT DISTINCT query_id, document_id FROM m WHERE met = n",
-    "normalize_text": r"SELECT doc_id, trim(regexp_replace(lower(title), ' +', ' ', 'g')) AS title_norm FROM documents WHERE regexp_matches(title, '^[\x20-\x7E]+$')",
-    "normalize_text_all": None,
+    "normalize_text": None,
     "normalize_native": r"SELECT document_id, trim(regexp_replace(replace(lower(title_norm), 'ß', 'ss'), '[ \t\n\x0B\f\r\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), ' ') AS title_norm FROM indexed_documents",
     "tokenize_positions": TOK + "SELECT document_id, field, term, start FROM tok",
     "query_terms": f"WITH {S.term_values(QUERIES)} SELECT query_id, term FROM q",
-    "compact_bigrams": r"WITH c AS (SELECT document_id, regexp_replace(substr(title_norm, 1, 40), '[^\p{L}\p{N}]', '', 'g') AS c FROM indexed_documents) SELECT document_id, c, unnest(list_distinct([substr(c, i, 2) for i in range(1, length(c))])) AS bigram FROM c WHERE length(c) >= 2",
+    "compact_bigrams": r"WITH c AS (SELECT document_id, regexp_replace(title_norm, '[^\p{L}\p{N}]', '', 'g') AS c FROM indexed_documents) SELECT document_id, c, unnest(list_distinct([substr(c, i, 2) for i in range(1, length(c))])) AS bigram FROM c WHERE length(c) >= 2",
     "clean_text": r"SELECT doc_id, trim(regexp_replace(coalesce(title, ''), '\s+', ' ', 'g'), ' ') AS title FROM documents",
     "token_estimate": r"SELECT doc_id, CAST(length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) + (length(text) - length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) + 3) // 4 + 4 AS BIGINT) AS tokens FROM documents WHERE text IS NOT NULL",
     "evidence_ids": "SELECT doc_id, 'ev_' || left(sha256(url || chr(0) || doc_id || ':0' || chr(0) || coalesce(text, '')), 16) AS evidence_id FROM documents WHERE url IS NOT NULL",
     "url_canonical": r"WITH p AS (SELECT doc_id, url, regexp_replace(url, '#.*$', '') AS u FROM documents WHERE url IS NOT NULL), a AS (SELECT doc_id, url, u, lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*')) AS origin FROM p) SELECT doc_id, regexp_replace(regexp_replace(origin, '^(http://[^/]*):80$', '\1'), '^(https://[^/]*):443$', '\1') || CASE WHEN substr(u, length(origin) + 1) = '' THEN '/' ELSE substr(u, length(origin) + 1) END AS url, nullif(" + HOST + ", '') AS host FROM a",
     "host_scope": f"SELECT doc_id, {HOST} AS host FROM documents WHERE {HOST} IN ('jwc.lanwan.example', 'lib.lanwan.example')",
-    "url_resolve": "SELECT doc_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/p/1.htm' AS resolved FROM documents WHERE url LIKE 'http%'",
+    "url_resolve": r"WITH b AS (SELECT doc_id, url, trim(url) AS u, regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS scheme, regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') AS origin FROM documents WHERE url IS NOT NULL), r AS (SELECT unnest(['/p/1.htm', '//other.example/a?x=1#top', 'https://z.example/b', '?q=1', '#part']) AS ref) SELECT doc_id, ref, CASE ref WHEN '/p/1.htm' THEN lower(scheme) || substr(origin, length(scheme) + 1) || ref WHEN '//other.example/a?x=1#top' THEN lower(scheme) || '://other.example/a?x=1' WHEN 'https://z.example/b' THEN ref WHEN '?q=1' THEN lower(scheme) || substr(regexp_replace(u, '[?#].*$', ''), length(scheme) + 1) || '?q=1' ELSE lower(scheme) || substr(regexp_replace(u, '#.*$', ''), length(scheme) + 1) END AS resolved FROM b CROSS JOIN r",
     "published_dates": r"WITH m AS (SELECT doc_id, regexp_extract(coalesce(text, ''), '(?:日期|发布时间|更新时间)\s*[:：]?\s*(20\d{2})[-年/.](\d{1,2})[-月/.](\d{1,2})日?', ['y', 'm', 'd']) AS t, regexp_extract(coalesce(url, ''), '(?:^|[^0-9])(20\d{2})(\d{2})(\d{2})', ['y', 'm', 'd']) AS u FROM documents), x AS (SELECT doc_id, CASE WHEN t.y <> '' THEN t ELSE u END AS x FROM m) SELECT doc_id, coalesce(strftime(try_cast(x.y || '-' || lpad(x.m, 2, '0') || '-' || lpad(x.d, 2, '0') AS DATE), '%Y-%m-%d'), '') AS published_at FROM x",
     "postings": TOK + "SELECT term, document_id, field, string_agg(CAST(start AS VARCHAR), ',' ORDER BY start) AS positions FROM tok GROUP BY ALL",
     "field_lengths": TOK + "SELECT d.document_id, count(t.term) FILTER (t.field = 0) AS title_len, count(t.term) FILTER (t.field = 1) AS text_len FROM indexed_documents d LEFT JOIN tok t USING (document_id) GROUP BY 1",
@@ -177,7 +178,7 @@ SQL = {
     "docs_lookup": TOP20 + "SELECT CAST(query_id AS INTEGER) AS query_id, rank, document_id, url, title FROM r JOIN documents ON doc_id = document_id WHERE rank <= 20",
     "docs_by_host": f"SELECT {HOST} AS host, count(*) AS documents FROM documents WHERE {HOST} <> '' GROUP BY 1",
     "index_incremental": "SELECT doc_id AS document_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM indexed_documents i WHERE i.document_id = d.doc_id AND i.fetched_at = d.fetched_at)",
-    "index_replace": TOK + "SELECT d.document_id, count(t.term) FILTER (t.field = 0) AS title_len, CASE WHEN d.document_id % 10 = 0 THEN count(t.term) FILTER (t.field = 0) ELSE count(t.term) FILTER (t.field = 1) END AS text_len FROM indexed_documents d LEFT JOIN tok t USING (document_id) GROUP BY 1",
+    "index_replace": f"WITH {S.tokens(S.FIELDS.replace('SELECT document_id, 1, text_norm FROM indexed_documents WHERE text_norm', 'SELECT document_id, 1, CASE WHEN document_id % 10 = 0 THEN title_norm ELSE text_norm END AS text_norm FROM indexed_documents WHERE CASE WHEN document_id % 10 = 0 THEN title_norm ELSE text_norm END'))} SELECT term, document_id, field, string_agg(CAST(start AS VARCHAR), ',' ORDER BY start) AS positions FROM tok GROUP BY ALL",
     "docs_upsert": "WITH r AS (SELECT *, doc_id % 2 AS nw FROM documents WHERE url IS NOT NULL), i AS (SELECT url, doc_id AS document_id FROM r QUALIFY row_number() OVER (PARTITION BY url ORDER BY nw, doc_id) = 1), l AS (SELECT url, title, fetched_at FROM r QUALIFY row_number() OVER (PARTITION BY url ORDER BY nw DESC, fetched_at DESC NULLS LAST, doc_id DESC) = 1) SELECT document_id, url, title, fetched_at FROM i JOIN l USING (url)",
 }
 
