@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -85,6 +86,26 @@ def lexical_score(text: Column, terms: Column) -> Column:
     return F.aggregate(terms, F.lit(0).cast("long"), lambda a, t: a + F.length(t) * occurrences(text, t))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often it stands there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def sums(sizes: Column) -> Column:
+    """Running sums of an array of ints that is not empty, in blocks of the root of its length, so that it costs n^1.5."""
+    add = lambda a, x: F.array_append(a, F.element_at(a, -1) + x)
+    zero = F.array(F.lit(0).cast("long"))
+
+    def by_block(b: Column) -> Column:
+        part = lambda k: F.slice(sizes, (k - 1) * b + 1, b)
+        blocks = F.sequence(F.lit(1), F.ceil(F.size(sizes) / b).cast("int"))
+        firsts = F.aggregate(blocks, zero, lambda a, k: add(a, F.aggregate(part(k), F.lit(0).cast("long"), lambda s, x: s + x)))
+        inner = lambda first, k: F.slice(F.aggregate(part(k), F.array(first), add), 2, b)
+        return let(firsts, lambda f: F.flatten(F.transform(blocks, lambda k: inner(F.element_at(f, k), k))))
+
+    return let(F.ceil(F.sqrt(F.size(sizes).cast("double"))).cast("int"), by_block)
+
+
 def snippet(text: Column, terms: Column, limit: int = 240) -> Column:
     """The window of `limit` characters with the highest lexical score; the earliest of equal ones, all of a short text.
 
@@ -93,13 +114,8 @@ def snippet(text: Column, terms: Column, limit: int = 240) -> Column:
     last = F.length(text) - limit
 
     def starts(t: Column) -> Column:
-        cuts = F.slice(F.split(text, F.concat(F.lit("\\Q"), t, F.lit("\\E")), F.lit(-1)), 1, 1_000_000)
-        ends = F.aggregate(
-            cuts,
-            F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<int>").alias("out")),
-            lambda a, c: F.struct((a["at"] + F.length(c) + F.length(t)).cast("int").alias("at"), F.array_append(a["out"], (a["at"] + F.length(c)).cast("int")).alias("out")),
-        )["out"]
-        return F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0)))
+        cuts = F.split(text, F.concat(F.lit("\\Q"), t, F.lit("\\E")), F.lit(-1))
+        return let(F.transform(cuts, lambda c: F.length(c) + F.length(t)), lambda sizes: F.transform(F.slice(sums(sizes), 1, F.size(sizes) - 1), lambda e: (e - F.length(t)).cast("int")))
 
     places = F.flatten(F.transform(F.filter(terms, lambda t: F.length(t) > 0), starts))
     wanted = F.array_union(F.array(F.lit(0)), F.transform(places, lambda p: F.greatest(F.lit(0), F.least(p - limit // 3, last)).cast("int")))

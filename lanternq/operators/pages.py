@@ -28,13 +28,19 @@ def per_page(df: DataFrame, columns: list[str], schema: str, make: Callable[...,
 
 
 def extracted(df: DataFrame, rules: dict[str, dom.Rule] | None = None, key: str = "doc_id", url: str = "url", page: str = "content_html") -> DataFrame:
-    """(key, title, text, content_html, links) of each page; a null page has no text and no links."""
+    """(key, title, text, content_html, links, error) of each page; a null page has no text and no links.
+
+    A page that cannot be read at all comes out empty with what went wrong, and stops nothing.
+    """
 
     def make(i: int, u: str | None, p: str | None) -> list[tuple]:
-        x = dom.extract(p, u or "", rules)
-        return [(i, x["title"], x["text"], x["content_html"], x["links"])]
+        try:
+            x = dom.extract(p, u or "", rules)
+        except Exception as e:  # noqa: BLE001
+            return [(i, "", "", "", [], f"{type(e).__name__}: {e}")]
+        return [(i, x["title"], x["text"], x["content_html"], x["links"], None)]
 
-    return per_page(df, [key, url, page], f"{key} long, title string, text string, content_html string, links array<string>", make)
+    return per_page(df, [key, url, page], f"{key} long, title string, text string, content_html string, links array<string>, error string", make)
 
 
 def html_blocks(df: DataFrame, key: str = "doc_id", page: str = "content_html") -> DataFrame:
@@ -68,7 +74,8 @@ def table_cards(df: DataFrame, terms: list[str], limit: int = 8, key: str = "doc
     def make(i: int, p: str | None) -> list[tuple]:
         return [(i, c["index"], c["label"], c["size"], c["score"]) for c in dom.table_sections(p or "", terms)]
 
-    out = per_page(df, [key, page], f"{key} long, table int, label string, size int, score int", make)
+    with_tables = df.filter(F.regexp_like(page, F.lit("(?i)<table")))
+    out = per_page(with_tables, [key, page], f"{key} long, table int, label string, size int, score int", make)
     return out.orderBy(F.desc("score"), key, "table").limit(limit)
 
 

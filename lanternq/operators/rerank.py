@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -15,7 +16,8 @@ from .passages import FRAME_TOKENS, OVERLAP, SPECIALS, TITLE_TOKENS, windows
 
 #: Tokens of a pair, of the query in it; saturation and the margin of a plateau; passages per document.
 PAIR_TOKENS, QUERY_TOKENS, SATURATION, MARGIN, EPSILON, PER_DOCUMENT = 512, 256, 0.99, 0.2, 1e-7, 3
-SCORE_LIMIT = 50
+#: Candidates that are scored where the caller asks for fewer, and the least share of a second window.
+SCORE_LIMIT, SECOND_SHARE = 50, 0.8
 
 
 def compact(text: str) -> str:
@@ -37,30 +39,36 @@ def lexical_scorer(query: str, text: str) -> float:
     return round((2 * pairs + chars + has) / (2 * len({q[i : i + 2] for i in range(len(q) - 1)}) + len(set(q)) + 1), 6)
 
 
-def chosen_windows(query: str, title: str, text: str, max_tokens: int = PAIR_TOKENS) -> list[str]:
-    """One or two windows of the document, with its title, that a scorer should see for the query."""
-    _, _, end, flat = spans([title], "model")
-    head = title[: int(end[TITLE_TOKENS - 1])] if len(end) >= TITLE_TOKENS else title
-    prefix = min(len(end), TITLE_TOKENS) + FRAME_TOKENS
+def scored_windows(title: str, text: str, query_tokens: int, max_tokens: int = PAIR_TOKENS) -> list[str]:
+    """The windows of a text that fit a scorer's pair beside so many tokens of the query, each under the title."""
+    _, _, ends, _ = spans([title], "model")
+    used = min(len(ends), TITLE_TOKENS)
+    head = title if used == len(ends) and used < TITLE_TOKENS else title[: int(ends[used - 1])]
     _, start, end, _ = spans([text], "model")
     if not len(start):
         return [head] if head else []
-    n_query = min(len(spans([query], "model")[1]), QUERY_TOKENS)
-    size = max_tokens - SPECIALS - n_query - prefix
-    body = [text[int(start[a]) : int(end[b - 1])] for a, b in windows(len(start), max(size, OVERLAP + 1))]
-    made = [f"{head}\n{x}" if head else x for x in body]
-    if not compact(query):
+    room = max_tokens - SPECIALS - min(query_tokens, QUERY_TOKENS) - used - FRAME_TOKENS
+    cuts = windows(len(start), max(room, OVERLAP + 1))
+    return ["\n".join(x for x in (head, text[int(start[a]) : int(end[b - 1])]) if x) for a, b in cuts]
+
+
+def chosen_windows(query: str, title: str, text: str, max_tokens: int = PAIR_TOKENS) -> list[str]:
+    """One or two windows of the document, with its title, that a scorer should see for the query.
+
+    The first has the most of the query: as a whole, then in pairs, then in characters, then the earliest. If it does not
+    hold the query as a whole, the next in that order that is not beside it joins it, if it has at least SECOND_SHARE of
+    its pairs (counted twice) and characters.
+    """
+    made = scored_windows(title, text, len(spans([query], "model")[1]), max_tokens)
+    if len(made) < 2 or not compact(query):
         return made[:1]
-    parts = [lexical_parts(query, x) for x in made]
-    order = sorted(range(len(made)), key=lambda k: (*(-x for x in parts[k]), k))
+    whole, pairs, chars = np.array([lexical_parts(query, x) for x in made]).T
+    order = np.lexsort((-chars, -pairs, -whole))  # stable: the earliest of equal ones first
     best = order[0]
-    if parts[best][0]:
-        return [made[best]]
-    strength = lambda k: 2 * parts[k][1] + parts[k][2]
-    for k in order[1:]:
-        if abs(k - best) > 1:
-            return [made[best], made[k]] if strength(k) > 0 and strength(k) >= 0.8 * strength(best) else [made[best]]
-    return [made[best]]
+    strength = 2 * pairs + chars
+    fits = (np.abs(order - best) > 1) & (strength[order] > 0) & (strength[order] >= SECOND_SHARE * strength[best])
+    second = order[fits][: 0 if whole[best] else 1]
+    return [made[k] for k in (best, *second)]
 
 
 def rerank_documents(hits: DataFrame, documents: DataFrame, queries: dict[int, str], scorer: Callable[[str, str], float] = lexical_scorer, limit: int = 20) -> DataFrame:
@@ -75,7 +83,7 @@ def rerank_documents(hits: DataFrame, documents: DataFrame, queries: dict[int, s
             score = [max((scorer(queries[q], w) for w in chosen_windows(queries[q], h or "", t or "")), default=None) for q, _, _, h, t in rows]
             yield pa.record_batch({"query_id": b.column(0), "candidate": b.column(1), "document_id": b.column(2), "score": pa.array(score, pa.float64())})
 
-    pairs = documents.select("document_id", "title_norm", "text_norm").join(F.broadcast(hits.select("query_id", F.col("rank").alias("candidate"), "document_id")), "document_id")  # limit rows a query
+    pairs = documents.select("document_id", "title_norm", "text_norm").join(hits.select("query_id", F.col("rank").alias("candidate"), "document_id"), "document_id")
     scored = pairs.select("query_id", "candidate", "document_id", "title_norm", "text_norm").mapInArrow(run, "query_id int, candidate int, document_id long, score double")
     out = plateau(scored.filter("score is not null"))
     return out.filter(F.col("rank") <= limit).select("query_id", "rank", "document_id", "score")
@@ -116,14 +124,14 @@ def capped(rows: pd.DataFrame, limit: int, per_document: int = PER_DOCUMENT) ->
     return pd.DataFrame(out, columns=["query_id", "rank", "document_id", "chunk_index", "score"])
 
 
-def rerank_passages(candidates: DataFrame, limit: int) -> DataFrame:
+def rerank_passages(candidates: DataFrame, limit: int, candidate_limit: int = SCORE_LIMIT) -> DataFrame:
     """(query_id, rank, document_id, chunk_index, score) of candidates (.., candidate, score, text), capped per document.
 
-    A query has at most SCORE_LIMIT candidates, so its group is bounded.
+    The first max(limit, candidate_limit) candidates of a query take part, which also bounds its group.
     """
-    if limit <= 0:
-        raise ValueError("limit must be positive")
-    few = candidates.filter(F.col("candidate") <= SCORE_LIMIT)
+    if limit <= 0 or candidate_limit <= 0:
+        raise ValueError("limits must be positive")
+    few = candidates.filter(F.col("candidate") <= max(limit, candidate_limit))
     return few.groupBy("query_id").applyInPandas(lambda x: capped(x, limit), "query_id int, rank int, document_id long, chunk_index int, score double")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.tokens import query_terms as terms
-from ..operators import dense, evaluate, fusion, passages, ranking, rerank
+from ..operators import dense, evaluate, fusion, pages, passages, ranking, rerank
 from ..sources.tables import table
 from . import sqlparts as S
 from . import stored
@@ -113,8 +113,8 @@ def rerank_documents_lexical(spark, d):
 
 def rerank_windows(spark, d):
     query = T.normalize(QUERIES[1])
-    pick = F.udf(lambda h, t: rerank.chosen_windows(query, h or "", t or ""), "array<string>")
-    return table(spark, d, INDEXED).select("document_id", F.posexplode(pick("title_norm", "text_norm")).alias("window", "text"))
+    make = lambda i, h, t: [(i, k, w) for k, w in enumerate(rerank.chosen_windows(query, h or "", t or ""))]
+    return pages.per_page(table(spark, d, INDEXED), ["document_id", "title_norm", "text_norm"], "document_id long, window int, text string", make)
 
 
 def _runs(spark, d):

@@ -136,3 +136,13 @@ def test_model_needs_its_settings(monkeypatch):
         model.call_model("x")
     with pytest.raises(ValueError):
         model.call_model(" ")
+
+
+def test_pieces_without_a_url_are_not_capped():
+    from lanternq.operators import evidence
+
+    pool = evidence.Pool()
+    pool.add([({"title": f"t{k}", "url": "", "content": f"text {k}", "passage_id": str(k)}, "q") for k in range(6)])
+    pool.add([({"title": f"u{k}", "url": "http://a.example/", "content": f"other {k}", "passage_id": f"u{k}"}, "q") for k in range(6)])
+    _, visible = pool.context()
+    assert sum(not e.url for e in visible) == 6 and sum(bool(e.url) for e in visible) == 3

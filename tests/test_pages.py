@@ -93,3 +93,20 @@ def test_queue_transitions(spark):
     assert {r.url: r.state for r in crawl.recover(t).collect()}["b"] == "pending"
     new = spark.createDataFrame([("a", "h"), ("z", "h"), ("z", "h"), (None, "h")], "url string, host string")
     assert [r.url for r in crawl.enqueue(t, new).collect()] == ["z"]
+
+
+def test_deep_and_broken_pages_do_not_stop_the_rest(spark):
+    deep = "<ul>" + "<li><ul>" * 3000 + "x"
+    rows = [(1, "http://a.example/", deep), (2, "http://[bad/", "<p>text <a href='//[x'>l</a><a href='/y'>m</a>"), (3, "http://a.example/", "<p>fine")]
+    df = spark.createDataFrame(rows, "doc_id long, url string, content_html string")
+    got = {r.doc_id: r for r in pages.extracted(df).collect()}
+    assert got[1].text == "x" and got[1].content_html.count("<li>") == 3000
+    assert got[2].text == "text l m" and got[3].text == "fine" and all(r.error is None for r in got.values())
+    assert {r.resolved for r in pages.resolved(df, ["/z#q"]).collect()} == {"http://a.example/z", None}
+
+
+def test_implied_ends_reach_through_paragraphs():
+    root = dom.parse("<ul><li><p>a<li>b<ul><li>c</ul></ul><table><tr><td><p>x<td>y<tr><td>z</table>")
+    items = [n for n in root.walk() if n.tag == "li"]
+    assert [n.text() for n in items] == ["a", "b c", "c"] and items[0].parent is items[1].parent
+    assert [[c.text() for c in n.children] for n in root.walk() if n.tag == "tr"] == [["x", "y"], ["z"]]

@@ -87,3 +87,23 @@ def test_reciprocal_rank(spark):
     rel = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "c"), (4, "z")], "query_id long, url string")
     first = evaluate.first_hits(runs, rel)
     assert evaluate.mrr(first).first().mrr == round((1 + 1 / 7) / 4, 6) and evaluate.recall(first).first().recall == 0.5 and evaluate.top1(first).first().top1_hits == 1
+
+
+def test_second_window_is_the_first_far_one_that_is_strong_enough(monkeypatch):
+    """Windows 0, 2 and 3 with (pairs, characters) (3, 3), (2, 3), (1, 7): window 2 is too weak, window 3 is not."""
+    parts = {"w0": (0, 3, 3), "w1": (0, 0, 0), "w2": (0, 2, 3), "w3": (0, 1, 7)}
+    monkeypatch.setattr(rerank, "scored_windows", lambda *_: list(parts))
+    monkeypatch.setattr(rerank, "lexical_parts", lambda q, w: parts[w])
+    assert rerank.chosen_windows("query", "", "") == ["w0", "w3"]
+    monkeypatch.setattr(rerank, "lexical_parts", lambda q, w: (w == "w0", *parts[w][1:]))
+    assert rerank.chosen_windows("query", "", "") == ["w0"]
+
+
+def test_candidates_beyond_fifty_take_part(spark):
+    rows = [(1, k, k, 0, k / 100, f"t{k}") for k in range(1, 81)]
+    df = spark.createDataFrame(rows, "query_id int, candidate int, document_id long, chunk_index int, score double, text string")
+    assert rerank.rerank_passages(df, 60).count() == 60
+    assert rerank.rerank_passages(df, 5, 80).orderBy("rank").first().document_id == 80
+    assert rerank.rerank_passages(df, 5).orderBy("rank").first().document_id == 50
+    with pytest.raises(ValueError):
+        rerank.rerank_passages(df, 5, 0)

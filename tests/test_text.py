@@ -63,3 +63,14 @@ def test_normalize_text_of_every_document(spark, tmp_path):
     got = {r.doc_id: (r.title_norm, r.text_norm) for r in catalog.queries()["normalize_text_all"](spark, str(tmp_path)).collect()}
     assert got.keys() == {1, 2, 3, 4}
     assert got[1] == ("abc 图书馆", "strasse fin") and got[2][1] == "обычный текст" and got[3][0] == "plain title" and got[4][0] == "ガイド"
+
+
+def test_snippets_of_many_occurrences(spark):
+    """Occurrences far into a long text count, and their places are added up in blocks."""
+    from pyspark.sql import functions as F
+
+    text = "a n b " * 3000 + "x" * 400 + "needle needle" + "y" * 400
+    got = spark.createDataFrame([(text,), ("short",), ("",)], "t string").select(T.snippet(F.col("t"), F.array(F.lit("needle"), F.lit("zz"))).alias("s")).collect()
+    assert "needle needle" in got[0].s and len(got[0].s) == 240 and [r.s for r in got[1:]] == ["short", ""]
+    n = spark.range(1).select(T.sums(F.sequence(F.lit(1), F.lit(50)).cast("array<int>")).alias("x")).first().x
+    assert n == [k * (k + 1) // 2 for k in range(1, 51)]
