@@ -1,10 +1,11 @@
 """Problem 1: text that was decoded with the wrong code page.
 
-A wrong decoding is a substitution cipher: bytes of the true code page were shown as letters of another. Each line is
-explained either as it stands or by a key, a pair of public code pages (true, shown). Letters and letter pairs of the
-whole collection give the language model; lines are scored by it under every key that can undo them, and expectation
-maximisation learns per source how much each key is used (E: share of each key in each line, M: share of each key in each
-source). The keys with the highest share give the byte-to-letter mapping that restores the text.
+A wrong decoding is a substitution cipher: bytes of the true code page were shown as letters of another. Letters and letter
+pairs of the whole collection give the language model. Where each byte became one letter, the mapping of a source is learned
+by expectation-maximisation against the letter pairs of the other sources (ciphers.py) and applied with translate(). Where
+letters took several bytes, no table of letters can undo it; such lines are tried under keys, pairs of public code pages
+(true, shown), and expectation-maximisation learns per source how much each key is used. A line is scored by the language
+model as it stands and under everything that may undo it.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import spread, stage
+from . import ciphers
 from .codes import MAX_CP, codes_of, text_of
 
 #: Code pages that a text may be shown in by mistake, and that it may truly be in.
@@ -42,7 +45,7 @@ PAIRS = [
     *(("cp874", x) for x in ["cp1252", "mac_roman", "gb18030", "cp1251"]),
 ]
 KEYS = [*(("utf-8", x) for x in [*SINGLE, *DOUBLE]), *PAIRS]
-LOST = len(KEYS)
+LOST, LEARNED = len(KEYS), len(KEYS) + 1
 PAGES = [*SINGLE, *DOUBLE]
 BY_SHOWN = {page: [(k, true) for k, (true, shown) in enumerate(KEYS) if shown == page] for page in PAGES}
 PAIR_BITS = 19
@@ -236,11 +239,22 @@ def letter_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch({"kind": np.full(len(some), kind, np.int32), "slot": some.astype(np.int64), "n": x[some]})
 
 
-def language(df: DataFrame, title: str, text: str) -> Language:
-    """The language model of all rows. What comes to the driver is bounded by the number of code points and slots."""
+def language(df: DataFrame, title: str, text: str, wrong: pd.DataFrame | None = None) -> Language:
+    """The language model of all rows. What comes to the driver is bounded by the number of code points and slots.
+
+    wrong has pairs of signs (a, b, n; 0 for none) known to be wrong, which are taken out of it.
+    """
     counts = df.select(title, text).mapInArrow(letter_counts, "kind int, slot long, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toPandas()
+    if wrong is not None and len(wrong):
+        a, b, n = wrong.a.to_numpy(np.int64), wrong.b.to_numpy(np.int64), wrong.n.to_numpy(np.float64)
+        both = (a > 0) & (b > 0)
+        counts["n"] = counts.n.astype(np.float64)
+        for kind, slot, less in ((0, a[a > 0], n[a > 0]), (1, pair_slot(a[both], b[both]), n[both])):
+            at = counts.kind == kind
+            less = pd.Series(less).groupby(slot).sum()
+            counts.loc[at, "n"] = (counts.n[at] - counts.slot[at].map(less).fillna(0)).clip(lower=0)
     one, two = counts[counts.kind == 0], counts[counts.kind == 1]
-    return Language(one.slot.to_numpy(), one.n.to_numpy(), two.slot.to_numpy(), two.n.to_numpy())
+    return Language(one.slot.to_numpy(), one.n.to_numpy(np.float64), two.slot.to_numpy(), two.n.to_numpy(np.float64))
 
 
 def quoted(line: str, fixed: str) -> bool:
@@ -434,8 +448,18 @@ def explained(lines: list[str], lm: Language, twice: bool = True) -> list[list[t
     return out
 
 
+def deciphered(old: str, new: str, lm: Language) -> list[tuple[int, int, float, str, bool]]:
+    """(line_no, key, gain, line, quoted) of the lines that read better in the learned letters."""
+    pairs = [(n, a, b) for n, (a, b) in enumerate(zip(old.split("\n"), new.split("\n"), strict=True), 1) if a != b]
+    gain = lm.scores([f"\n{b}\n" for _, _, b in pairs]) - lm.scores([f"\n{a}\n" for _, a, _ in pairs])
+    return [(n, LEARNED, g, b, quoted(a, b)) for (n, a, b), g in zip(pairs, gain.tolist(), strict=True) if g >= LINE_GAIN]
+
+
 def suspects(lm):
-    """mapInArrow function: (key, source, title, text) -> (_id, source, field, line_no, key, gain, fixed, quoted)."""
+    """mapInArrow function: (key, source, title, text, new title, new text) -> (_id, source, field, line_no, key, gain, fixed, quoted).
+
+    The new ones are title and text in the letters learned for the source, null where none were.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lm.value.prepare()
@@ -452,6 +476,9 @@ def suspects(lm):
             for at in range(0, len(new), 4000):
                 known |= zip(new[at : at + 4000], explained(new[at : at + 4000], model), strict=True)
             rows = [(i, field, n, *found) for i, field, n, line in where for found in known[line]]
+            for field in ("title", "text"):
+                old, new = (batch.column(batch.schema.get_field_index(f"_{x}{field}")).to_pylist() for x in ("", "new_"))
+                rows += ((i, field, *found) for i, (a, b) in enumerate(zip(old, new, strict=True)) if b is not None and a != b for found in deciphered(a, b, model))
             if rows:
                 i, field, n, k, g, f, q = zip(*rows, strict=True)
                 pick = pa.array(i, pa.int64())
@@ -485,7 +512,8 @@ def learned_shares(pooled: DataFrame, fields: DataFrame, rounds: int) -> DataFra
 def wrong_lines(df: DataFrame, key: str = "doc_id", title: str = "title", text: str = "text", source: str = "source", rounds: int = 2) -> DataFrame:
     """(key, field, line_no, true_page, shown_page, gain, fixed): lines decoded wrongly, with the line restored.
 
-    true_page is null where the bytes are lost (replacement characters); the line then stays as it is. A field is wrong if
+    true_page is null where the bytes are lost (replacement characters); the line then stays as it is. It is `learned` where
+    the letters were learned from the source itself. A field is wrong if
     its lines gain at least FIELD_GAIN under one key together, or less where the key is frequent in its source. A short
     piece inside quotes is an example: it proves nothing by itself, but is restored where the rest of its field is wrong by
     the same key. Null and empty texts have no such lines; rows of a null source share one source. Keys of rows are taken as
@@ -493,7 +521,16 @@ def wrong_lines(df: DataFrame, key: str = "doc_id", title: str = "title", text:
     """
     spark = df.sparkSession
     base = spread(df.select(F.col(key).alias("_id"), F.col(source).alias("source"), F.col(title).alias("_title"), F.col(text).alias("_text")))
-    lm = spark.sparkContext.broadcast(language(base, "_title", "_text"))
+    letters = stage(ciphers.learned(base, "source", "_title", "_text"), "letters")
+    wrong = letters.groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()  # bounded by the alphabets
+    lm = spark.sparkContext.broadcast(language(base, "_title", "_text", wrong))
+    if len(wrong):
+        own = letters.filter("shown is not null").select(F.col("source").alias("_of"), "shown", "letters")
+        base = base.join(own, base.source.eqNullSafe(F.col("_of")), "left")
+        new = {c: F.expr(f"translate({c}, shown, letters)") for c in ("_title", "_text")}
+    else:
+        new = dict.fromkeys(("_title", "_text"), F.lit(None).cast("string"))
+    base = base.select("_id", "source", "_title", "_text", new["_title"].alias("_new_title"), new["_text"].alias("_new_text"))
     schema = f"_id {dict(df.dtypes)[key]}, source string, field string, line_no long, key int, gain double, fixed string, quoted boolean"
     lines = stage(base.mapInArrow(suspects(lm), schema), "suspects")
 
@@ -507,7 +544,7 @@ def wrong_lines(df: DataFrame, key: str = "doc_id", title: str = "title", text:
     lines = lines.join(kept, (F.col("_id") == F.col("_i")) & (F.col("field") == F.col("_f")) & (F.col("key") == F.col("_k")))
     best = F.max_by(F.struct("key", "gain", "fixed"), F.struct(F.col("key") != LOST, F.col("gain") + F.col("weight")))
     out = lines.groupBy("_id", "field", "line_no").agg(best.alias("x"))
-    pages = F.create_map(*[F.lit(v) for k, p in enumerate(KEYS) for v in (k, ":".join(p))])
+    pages = F.create_map(*[F.lit(v) for k, p in enumerate(KEYS) for v in (k, ":".join(p))], F.lit(LEARNED), F.lit("learned:learned"))
     pair = F.split(pages[F.col("x.key")], ":")
     return out.select(F.col("_id").alias(key), "field", "line_no", pair[0].alias("true_page"), pair[1].alias("shown_page"), F.round("x.gain", 3).alias("gain"), F.col("x.fixed").alias("fixed"))
 

@@ -85,3 +85,33 @@ def test_empty(spark):
 
 def test_quoted_examples():
     assert E.quoted("显示“Ã©”字样", "显示“é”字样") and not E.quoted("cafÃ© near", "café near")
+
+
+WORDS = """библиотека каталог читатель студент расписание экзамен преподаватель кафедра отчёт заседание получить новый пропуск
+можно только после проверки документов зал открыт ежедневно кроме выходных справка выдаётся деканатом заявление подаётся
+лично или через портал срок сдачи работ продлён до конца месяца участники конференции приглашаются стипендия назначается
+приказом ректора общежитие занятия начнутся вовремя список литературы опубликован вопросы направляйте секретарю""".split()
+
+
+def test_a_page_in_no_list_is_learned_from_the_source(spark):
+    """Every Cyrillic letter is shown as another sign, by a table made at random: of a whole source among the Cyrillic letters
+    themselves, or of half the lines of a third of a source as signs of a Western page."""
+    r = random.Random(9)
+    letters = [chr(c) for c in range(0x410, 0x450)] + ["ё"]
+    for signs, most, first in ((letters, 900, 0), ([chr(c) for c in range(0xA1, 0x100)], 300, 2)):
+        table = r.sample(signs, len(letters))
+        cipher = str.maketrans(dict(zip(letters, table, strict=True)))
+        rows, want = [], {}
+        for k in range(900):
+            lines = [" ".join(r.choice(WORDS) for _ in range(7)) for _ in range(5)]
+            source = f"s{k % 4}"
+            if k % 4 == 1 and k < most:
+                lines[first:] = [x.translate(cipher) for x in lines[first:]]
+                want |= {(k, n): None for n in range(first + 1, 6)}
+            rows.append((k, lines[0], "\n".join(lines), source))
+        shown_ = {i: t for i, _, t, _ in rows}
+        undo = str.maketrans(dict(zip(table, letters, strict=True)))
+        want = {(k, n): shown_[k].split("\n")[n - 1].translate(undo) for k, n in want}
+        got = {(x.doc_id, x.line_no): x.fixed for x in E.wrong_lines(spark.createDataFrame(rows, SCHEMA)).filter("field = 'text'").collect()}
+        assert sum(got.get(at) == line for at, line in want.items()) >= 0.9 * len(want)
+        assert len(got.keys() - want.keys()) == 0
