@@ -6,7 +6,6 @@ import argparse
 import json
 import logging
 import math
-import time
 from pathlib import Path
 
 from .functions.text import normalize
@@ -17,7 +16,7 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--index", default="index", help="folder of the index")
     p.add_argument("--verbose", action="store_true")
     sub = p.add_subparsers(dest="command", required=True)
-    c = sub.add_parser("crawl", help="fetch pages from seeds into a documents table")
+    c = sub.add_parser("crawl", help="fetch pages from seeds into a folder, or go on with the crawl kept there")
     c.add_argument("seeds", nargs="+")
     c.add_argument("--out", required=True)
     c.add_argument("--max-pages", type=int, default=500_000)
@@ -25,8 +24,9 @@ def arguments() -> argparse.ArgumentParser:
     c.add_argument("--refresh-hours", type=float)
     c.add_argument("--retry-failed", action="store_true")
     c.add_argument("--delay", type=float, default=0.2)
+    c.add_argument("--fetchers", type=int, default=8)
     sub.add_parser("stats", help="documents per host and terms of the index")
-    i = sub.add_parser("index", help="index a documents table, again where it changed")
+    i = sub.add_parser("index", help="index a documents table or the folder of a crawl, again where it changed")
     i.add_argument("documents")
     s = sub.add_parser("search", help="rank documents for a query")
     s.add_argument("query")
@@ -51,7 +51,7 @@ def arguments() -> argparse.ArgumentParser:
 
 def checked(a: argparse.Namespace) -> argparse.Namespace:
     """The arguments, or SystemExit with what is wrong."""
-    for name in ("limit", "candidates", "top_k", "attempts"):
+    for name in ("limit", "candidates", "top_k", "attempts", "fetchers"):
         if getattr(a, name, 1) <= 0:
             raise SystemExit(f"{name} must be positive")
     if not 0 <= getattr(a, "alpha", 0) <= 1:
@@ -93,13 +93,12 @@ def main(argv: list[str] | None = None, engine=None) -> int:
     if a.command == "crawl":
         from .sources.fetch import http_fetch
 
-        stats, rows = engine.crawl(a.seeds, http_fetch, max_pages=a.max_pages, attempts=a.attempts, refresh_hours=a.refresh_hours, retry_failed=a.retry_failed, delay=a.delay)
-        if rows:
-            stamp = time.strftime("%Y-%m-%dT%H:%M:%S+00:00", time.gmtime())
-            engine.spark.createDataFrame([r | {"fetched_at": stamp} for r in rows]).write.mode("overwrite").parquet(a.out)
+        stats, _ = engine.crawl(a.out, a.seeds, http_fetch, max_pages=a.max_pages, attempts=a.attempts, refresh_hours=a.refresh_hours, retry_failed=a.retry_failed, delay=a.delay, fetchers=a.fetchers)
         print(json.dumps(stats))
     elif a.command == "index":
-        print(json.dumps(engine.build(engine.spark.read.parquet(a.documents))))
+        crawled = generation.manifest(f"{a.documents}/pages")
+        documents = generation.load(engine.spark, f"{a.documents}/pages")[1]["documents"] if crawled else engine.spark.read.parquet(a.documents)
+        print(json.dumps(engine.build(documents)))
     elif a.command == "stats":
         print(json.dumps(engine.stats(), ensure_ascii=False))
     elif a.command == "search":

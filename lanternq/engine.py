@@ -212,8 +212,6 @@ class Engine:
         """The audited answer to a question; the model is an option."""
         return answer_question(question, self.search_passages, top_k=top_k, collection=lambda q: self.collection(q, max(12, 3 * top_k)), **options)
 
-    def crawl(self, seeds: list[str], fetch: crawl.Fetcher, **options) -> tuple[dict[str, int], list[dict]]:
-        """Crawl and give the pages as document rows."""
-        pages: dict[str, dict] = {}
-        stats, _ = crawl.crawl(seeds, fetch, save=lambda u, p: pages.__setitem__(u, p), **options)
-        return stats, [{"document_id": k, "url": u, **{x: p[x] for x in ("title", "text", "content_html")}} for k, (u, p) in enumerate(pages.items(), 1)]
+    def crawl(self, directory: str, seeds: list[str], fetch: crawl.Fetcher, **options) -> tuple[dict[str, int], DataFrame | None]:
+        """Crawl into a folder, or go on with the crawl kept there; counters, and the documents so far."""
+        return crawl.crawl_into(self.spark, directory, seeds, fetch, **options)

@@ -110,3 +110,34 @@ def test_implied_ends_reach_through_paragraphs():
     items = [n for n in root.walk() if n.tag == "li"]
     assert [n.text() for n in items] == ["a", "b c", "c"] and items[0].parent is items[1].parent
     assert [[c.text() for c in n.children] for n in root.walk() if n.tag == "tr"] == [["x", "y"], ["z"]]
+
+
+def test_a_crawl_is_kept_and_goes_on(spark, tmp_path):
+    at, web = str(tmp_path), dict(WEB)
+    fetch = lambda u: (u, web[u])
+    stats, docs = crawl.crawl_into(spark, at, ["http://a.example/", "http://b.example/"], fetch, max_pages=2, fetchers=2)
+    assert (stats["scheduled"], stats["saved"]) == (2, 2)
+    first = {r.url: r.document_id for r in docs.collect()}
+    assert set(first) == {"http://a.example/", "http://b.example/"}
+    stats, docs = crawl.crawl_into(spark, at, ["http://a.example/"], fetch)  # the link found before waits in the queue
+    assert stats["saved"] == 1 and {r.url for r in docs.collect()} == set(WEB)
+    web["http://a.example/"] = "<p>changed</p>"
+    stats, docs = crawl.crawl_into(spark, at, ["http://a.example/"], fetch, refresh_hours=0)
+    got = {r.url: (r.document_id, r.text) for r in docs.collect()}
+    assert stats["refreshed"] == 3 and len(got) == 3 and got["http://a.example/"] == (first["http://a.example/"], "changed")
+    assert sorted(i for i, _ in got.values()) == [1, 2, 3]
+
+
+def test_a_kept_crawl_retries_skips_and_fails(spark, tmp_path):
+    def fetch(u):
+        if u.endswith("/out"):
+            return "http://out.example/", "<p>x</p>"
+        if u.endswith("/bad"):
+            raise OSError("boom")
+        return None if u.endswith("/none") else (u, "<a href='/out'>o</a><a href='/bad'>b</a><a href='/none'>n</a><a href='http://[x'>y</a>")
+
+    stats, docs = crawl.crawl_into(spark, str(tmp_path), ["http://a.example/"], fetch, attempts=2)
+    assert (stats["saved"], stats["skipped"], stats["failed"], stats["retried"], stats["processed"]) == (1, 1, 2, 2, 6)
+    stats, _ = crawl.crawl_into(spark, str(tmp_path), ["http://a.example/"], lambda u: (u, "<p>now"), retry_failed=True)
+    assert stats["requeued_failed"] == 2 and stats["saved"] == 2
+    assert crawl.crawl_into(spark, str(tmp_path / "none"), [], fetch, max_pages=0)[1] is None
