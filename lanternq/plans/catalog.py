@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus_queries, retrieval_queries, text_queries
+from . import built_queries, corpus_queries, retrieval_queries, text_queries
 
-MODULES = [text_queries, retrieval_queries, corpus_queries]
+MODULES = [text_queries, retrieval_queries, corpus_queries, built_queries]
 
 
 def queries() -> dict:

@@ -23,12 +23,12 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_titles(spark, d):
-    got = pages.extracted(_pages(spark, d).filter("content_html like '%<h1>%'"))
+    got = pages.extracted(_pages(spark, d))
     return got.select("doc_id", "title")
 
 
 def page_links(spark, d):
-    got = pages.extracted(_pages(spark, d).filter("content_html like '%href=%' and url like 'http%'"))
+    got = pages.extracted(_pages(spark, d))
     return got.select("doc_id", F.explode("links").alias("link")).select("doc_id", F.regexp_extract("link", r"^https?://[^/]+(/.*)$", 1).alias("path"))
 
 
@@ -73,8 +73,10 @@ def _tasks(spark, d):
 
 
 def crawl_enqueue(spark, d):
-    found = table(spark, d, "documents").select("url", urls.host(F.col("url")).alias("host"))
-    return crawl.enqueue(_tasks(spark, d), found)
+    """The links of all pages that no task has, together with the urls of the pages themselves."""
+    links = pages.extracted(_pages(spark, d)).select(F.explode("links").alias("url"))
+    found = links.union(table(spark, d, "documents").select("url"))
+    return crawl.enqueue(_tasks(spark, d), found.select("url", urls.host(F.col("url")).alias("host")))
 
 
 def crawl_recover(spark, d):
@@ -168,10 +170,12 @@ def context_budget(spark, d):
 ALLHITS = f"WITH {S.bm25f(QUERIES)}, r AS (SELECT query_id, row_number() OVER ({BY}) AS rank, document_id FROM sparse QUALIFY rank <= 20), j AS (SELECT *, row_number() OVER (ORDER BY rank, query_id) AS place FROM r), i AS (SELECT CAST(query_id AS INTEGER) AS query_id, rank, document_id, place, url, coalesce(text, '') AS text FROM j JOIN documents ON doc_id = document_id) "
 L = "WITH o AS (SELECT l_orderkey, list(l_quantity ORDER BY l_linenumber) AS q, list(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1) "
 
+#: Links of all pages: all of them are absolute paths.
+LINKS = f"WITH h AS (SELECT DISTINCT doc_id, url AS base, unnest(regexp_extract_all(content_html, 'href=\"([^\"]*)\"', 1)) AS path FROM documents), k AS (SELECT DISTINCT doc_id, link, {HOST.replace('url', 'link')} AS host FROM (SELECT doc_id, regexp_extract(base, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') || path AS link FROM h)) "
 SQL = {
-    "page_titles": r"SELECT doc_id, trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_extract(content_html, '<h1>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '&gt;', '>'), '&lt;', '<'), '&amp;', '&'), '[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), ' ') AS title FROM documents WHERE content_html LIKE '%<h1>%'",
-    "page_links": "SELECT DISTINCT doc_id, unnest(regexp_extract_all(content_html, 'href=\"([^\"]*)\"', 1)) AS path FROM documents WHERE content_html LIKE '%href=%' AND url LIKE 'http%'",
-    "link_scope": None,
+    "page_titles": r"SELECT doc_id, CASE WHEN content_html LIKE '%<h1>%' THEN trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_extract(content_html, '<h1>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '&gt;', '>'), '&lt;', '<'), '&amp;', '&'), '[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), ' ') ELSE '' END AS title FROM documents",
+    "page_links": "SELECT DISTINCT doc_id, unnest(regexp_extract_all(content_html, 'href=\"([^\"]*)\"', 1)) AS path FROM documents",
+    "link_scope": LINKS + "SELECT doc_id, link FROM k WHERE host IN ('jwc.lanwan.example', 'lib.lanwan.example')",
     "page_text": None,
     "minimal_html": None,
     "html_blocks": None,
@@ -179,7 +183,7 @@ SQL = {
     "table_values": None,
     "table_sections": None,
     "structured_evidence": None,
-    "crawl_enqueue": f"SELECT DISTINCT url, nullif({HOST}, '') AS host FROM documents WHERE url IS NOT NULL AND url NOT IN (SELECT url FROM crawl_tasks WHERE url IS NOT NULL)",
+    "crawl_enqueue": LINKS + f", f AS (SELECT link AS url FROM k UNION SELECT url FROM documents WHERE url IS NOT NULL) SELECT DISTINCT url, nullif({HOST}, '') AS host FROM f WHERE url NOT IN (SELECT url FROM crawl_tasks WHERE url IS NOT NULL)",
     "crawl_recover": "SELECT CASE WHEN state = 'processing' THEN 'pending' ELSE state END AS state, count(*) AS tasks FROM crawl_tasks GROUP BY 1",
     "crawl_claim": "SELECT seq, url, 'processing' AS state, coalesce(attempts, 0) + 1 AS attempts FROM (SELECT * FROM crawl_tasks WHERE state = 'pending' ORDER BY seq LIMIT 100)",
     "crawl_complete": f"SELECT seq, CASE WHEN state = 'processing' THEN 'done' ELSE state END AS state, CASE WHEN state = 'processing' THEN '{NOW}' ELSE finished_at END AS finished_at, CASE WHEN state = 'processing' THEN NULL ELSE last_error END AS last_error FROM crawl_tasks",
@@ -198,7 +202,11 @@ SQL = {
     "calc_set_ops": L + ", x AS (SELECT l_orderkey % 100 AS g, unnest(parts) AS p FROM o), s AS (SELECT g, list(DISTINCT p % 50) AS a, list(DISTINCT (p // 7) % 60) AS b FROM x GROUP BY 1) SELECT g, array_to_string(list_sort(list_filter(a, lambda v: list_contains(b, v))), ',') AS \"intersection\", array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') AS \"union\", array_to_string(list_sort(list_filter(a, lambda v: NOT list_contains(b, v))), ',') AS difference FROM s",
     "evidence_interleave": ALLHITS + "SELECT query_id, rank, document_id, place FROM i",
     "evidence_merge": ALLHITS + "SELECT 'ev_' || left(sha256(coalesce(url || chr(0), '') || document_id || ':0' || chr(0) || text), 16) AS evidence_id, first(url) AS url, min(place) AS place, string_agg(DISTINCT CAST(query_id AS VARCHAR), '|' ORDER BY CAST(query_id AS VARCHAR)) AS retrieved_by FROM i WHERE text <> '' GROUP BY 1",
-    "context_budget": None,
+    "context_budget": ALLHITS.replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT place, text, url, length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) + (length(text) - length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) + 3) // 4 + 4 AS cost, row_number() OVER (ORDER BY place) AS n FROM i),
+f AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS place, false AS ok, CAST(0 AS BIGINT) AS spent, CAST([] AS VARCHAR[]) AS texts, CAST([] AS VARCHAR[]) AS urls
+UNION ALL SELECT g.n, g.place, g.ok, CASE WHEN g.ok THEN g.spent + g.cost ELSE g.spent END, CASE WHEN g.ok THEN list_append(g.texts, g.text) ELSE g.texts END, CASE WHEN g.ok THEN list_append(g.urls, g.url) ELSE g.urls END FROM (
+SELECT o.n, o.place, o.cost, o.text, o.url, f.spent, f.texts, f.urls, len(f.texts) < 20 AND NOT list_contains(f.texts, o.text) AND (coalesce(o.url, '') = '' OR len(list_filter(f.urls, lambda u: u = o.url)) < 3) AND f.spent + o.cost <= 4000 AS ok FROM f JOIN o ON o.n = f.n + 1) g)
+SELECT 1 AS conversation, CAST(place AS INTEGER) AS place FROM f WHERE ok""",
 }
 
 

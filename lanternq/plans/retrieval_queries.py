@@ -132,7 +132,7 @@ def rerank_passages_capped(spark, d):
     scored = dense.ranked(_passages(spark, d), 50)
     text = passages.passages(table(spark, d, INDEXED)).select("document_id", "chunk_index", "text")
     rows = scored.withColumnRenamed("rank", "candidate").join(text, ["document_id", "chunk_index"])
-    return rerank.rerank_passages(rows.select("query_id", "candidate", "document_id", "chunk_index", "score", "text"), LIMIT)
+    return _rounded(rerank.rerank_passages(rows.select("query_id", "candidate", "document_id", "chunk_index", "score", "text"), LIMIT), "document_id", "chunk_index")
 
 
 def _terms():
@@ -237,7 +237,12 @@ SQL = {
     "rerank_documents_lexical": None,
     "rerank_windows": None,
     "rerank_plateau": f"WITH {RUNS}, b AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM s), f AS (SELECT *, best >= 0.99e0 AND best <= 1 AND score BETWEEN 0 AND 1 AND {LOGIT('best')} - {LOGIT('score')} <= 0.2e0 AS flat FROM b) SELECT query_id, candidate, row_number() OVER (PARTITION BY query_id ORDER BY flat DESC, CASE WHEN flat THEN candidate ELSE -score END, candidate) AS rank FROM f",
-    "rerank_passages_capped": None,
+    "rerank_passages_capped": f"""WITH RECURSIVE {PASSAGE}, cd AS (SELECT *, row_number() OVER ({BYC}) AS candidate FROM psparse QUALIFY row_number() OVER ({BYC}) <= 50),
+o AS (SELECT query_id, cd.document_id, cd.chunk_index, cd.score, substr(text_norm, CAST(start + 1 AS BIGINT), CAST(stop - start AS BIGINT)) AS text, row_number() OVER (PARTITION BY query_id ORDER BY cd.score DESC, candidate) AS n FROM cd JOIN chunk USING (document_id, chunk_index) JOIN indexed_documents d USING (document_id)),
+f AS (SELECT query_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS document_id, 0 AS chunk_index, 0e0 AS score, false AS ok, CAST([] AS VARCHAR[]) AS texts, CAST([] AS BIGINT[]) AS docs FROM o GROUP BY 1
+UNION ALL SELECT query_id, n, document_id, chunk_index, score, ok, CASE WHEN ok THEN list_append(texts, text) ELSE texts END, CASE WHEN ok THEN list_append(docs, document_id) ELSE docs END FROM (
+SELECT o.*, f.texts, f.docs, len(f.texts) < 20 AND NOT list_contains(f.texts, o.text) AND len(list_filter(f.docs, lambda x: x = o.document_id)) < 3 AS ok FROM f JOIN o ON o.query_id = f.query_id AND o.n = f.n + 1))
+SELECT CAST(query_id AS INTEGER) AS query_id, CAST(len(docs) AS INTEGER) AS rank, document_id, chunk_index, round(score, 6) AS score FROM f WHERE ok""",
     "lexical_score": f"SELECT document_id, CAST({SCORE.format(t=Q1, x='text_norm')} AS BIGINT) AS score FROM indexed_documents WHERE text_norm IS NOT NULL",
     "query_snippets": f"""WITH d AS (SELECT document_id, text_norm AS x FROM indexed_documents WHERE text_norm IS NOT NULL), t AS (SELECT unnest([{Q1}]) AS t),
 p AS (SELECT document_id, x, t, string_split(x, t) AS a FROM d CROSS JOIN t), u AS (SELECT document_id, x, t, unnest(a) AS part, generate_subscripts(a, 1) AS i, len(a) AS n FROM p),
