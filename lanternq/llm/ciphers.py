@@ -26,6 +26,8 @@ HIGHEST = 0x3000
 #: Signs of a source that may be ciphers (a page has 128 beyond ASCII), pairs of them that it must hold before anything is
 #: learned, the least part of a sign's uses that must be wrong, and letters that make an alphabet.
 SIGNS, LEAST_PAIRS, LEAST_SHARE, LEAST_LETTERS = 128, 300, 0.02, 20
+#: A cipher's signs stand beside each other nearly as often as letters do, and nearly each frequent sign is another letter.
+SAME_WORDS, ONE_TO_ONE = 0.7, 0.7
 #: Uses of a sign below which its letter stays unknown.
 LEAST_USES = 10
 #: Rounds of expectation-maximisation, and starts of it.
@@ -198,6 +200,8 @@ def learner(total: pd.DataFrame):
             if len(letters) <= LEAST_LETTERS or language[1:, 1:].sum() < LEAST_PAIRS:
                 continue
             language /= language.sum()
+            if seen[1:, 1:].sum() / seen.sum() < SAME_WORDS * language[1:, 1:].sum():
+                continue  # signs that stand alone, as look-alikes and stray marks do, read well as short words
             usual = float((language * np.log(language + 1e-9)).sum())
             if decipher(seen, language, 1, ROUNDS // 2)[1] < usual - FIRST_SLACK:
                 continue
@@ -207,7 +211,9 @@ def learner(total: pd.DataFrame):
         if best is None:
             return none
         moved, uses = best[1] != signs, seen.sum(0) + seen.sum(1)
-        if uses[1:][moved[1:]].sum() < 0.5 * uses[1:].sum():
+        often = 1 + np.argsort(-uses[1:])
+        often = often[np.cumsum(uses[often]) <= 0.95 * uses[1:].sum()]
+        if uses[1:][moved[1:]].sum() < 0.5 * uses[1:].sum() or len(np.unique(best[1][often])) < ONE_TO_ONE * len(often):
             return none
         moved &= (best[1] > 0) & (uses >= LEAST_USES)
         keep = np.isin(x, signs[moved]) | np.isin(y, signs[moved])
