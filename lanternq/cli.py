@@ -28,6 +28,7 @@ def arguments() -> argparse.ArgumentParser:
     sub.add_parser("stats", help="documents per host and terms of the index")
     i = sub.add_parser("index", help="index a documents table or the folder of a crawl, again where it changed")
     i.add_argument("documents")
+    sub.add_parser("dense-index", help="encode all stored passages again")
     s = sub.add_parser("search", help="rank documents for a query")
     s.add_argument("query")
     s.add_argument("--ranking", default="hybrid", choices=["dense", "phrase", "bm25f", "hybrid", "rerank"])
@@ -43,9 +44,10 @@ def arguments() -> argparse.ArgumentParser:
     w = sub.add_parser("serve", help="serve searches over HTTP")
     w.add_argument("--host", default="127.0.0.1")
     w.add_argument("--port", type=int, default=8000)
-    e = sub.add_parser("eval", help="reciprocal rank and recall of runs against relevant urls")
-    e.add_argument("runs")
+    e = sub.add_parser("eval", help="reciprocal rank and recall of runs, or of this index's rankings, against relevant urls")
+    e.add_argument("runs", help="table of query_id, rank, url; with --queries, of query_id, text")
     e.add_argument("qrels")
+    e.add_argument("--queries", action="store_true", help="run the queries of the first table in every ranking and time them")
     return p
 
 
@@ -88,7 +90,7 @@ def main(argv: list[str] | None = None, engine=None) -> int:
         engine = Engine(SparkSession.builder.appName("lanternq").getOrCreate(), a.index)
     from .sources import generation
 
-    if a.command in ("stats", "search", "rag", "serve") and not generation.manifest(a.index):
+    if a.command in ("stats", "dense-index", "search", "rag", "serve") and not generation.manifest(a.index):
         raise SystemExit(f"no index in {a.index}")
     if a.command == "crawl":
         from .sources.fetch import http_fetch
@@ -106,6 +108,12 @@ def main(argv: list[str] | None = None, engine=None) -> int:
             print(f"{k}. {card['title']}\n   {card['url']}\n   {card['snippet']}")
     elif a.command == "rag":
         print(report(engine.answer(a.question, a.top_k, cycles=a.max_cycles, debug=a.debug)))
+    elif a.command == "dense-index":
+        print(json.dumps({"vectors": engine.encode_again()}))
+    elif a.command == "eval" and a.queries:
+        texts = {r.query_id: r.text for r in engine.spark.read.parquet(a.runs).select("query_id", "text").collect()}
+        for row in engine.evaluate(texts, engine.spark.read.parquet(a.qrels)):
+            print(json.dumps(row))
     elif a.command == "eval":
         from .operators import evaluate
 
@@ -114,6 +122,7 @@ def main(argv: list[str] | None = None, engine=None) -> int:
     else:
         from .web import server
 
+        engine.warm_up()
         server(engine, a.host, a.port).serve_forever()
     return 0
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable
 
 import numpy as np
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .functions import dom
 from .functions import text as T
-from .functions.tokens import query_terms, spans
-from .operators import build, crawl, dense, fusion, index, passages, ranking, rerank
+from .functions.tokens import Segmenter, query_terms, spans
+from .operators import build, crawl, dense, evaluate, fusion, index, passages, ranking, rerank
 from .rag.engine import answer_question
 from .sources import generation
 from .sources.staging import stage
@@ -56,8 +57,11 @@ def loaded_encoder(load: Callable[[], Callable[[list[str]], list[list[float]]]],
 class Engine:
     """All operations of one index folder. Rankings take a limit; document rankings give cards in rank order."""
 
-    def __init__(self, spark: SparkSession, directory: str, encoder: Encoder = hashed_vectors, scorer: Callable[[str, str], float] = rerank.lexical_scorer) -> None:
+    def __init__(self, spark: SparkSession, directory: str, encoder: Encoder = hashed_vectors, scorer: Callable[[str, str], float] = rerank.lexical_scorer, tokenizer: str | Segmenter = "search", tokenizer_name: str = "") -> None:
+        """`tokenizer` is a mode of tokens, or a word segmenter; its name is kept with the index, and another name builds it anew."""
         ship(spark)
+        self.tokenizer = tokenizer
+        self.versions = VERSIONS | {"tokenizer_mode": tokenizer_name or (tokenizer if isinstance(tokenizer, str) else getattr(tokenizer, "__name__", "segmenter"))}
         self.spark, self.directory, self.encoder, self.scorer = spark, directory, encoder, scorer
         self._loaded: tuple[str, dict[str, DataFrame]] | None = None
 
@@ -74,16 +78,16 @@ class Engine:
             old_manifest, old = generation.load(self.spark, self.directory)
         except ValueError:
             old_manifest, old = {}, {}
-        todo = index.changed(docs, old["documents"], old_manifest, VERSIONS) if old else docs
+        todo = index.changed(docs, old["documents"], old_manifest, self.versions) if old else docs
         fresh = stage(todo.withColumns({"title_norm": T.normalize_text("title"), "text_norm": T.normalize_text("text")}), "fresh")
         seen, n = docs.count(), fresh.count()
         if n or not old:
-            tables = build.tables(fresh, self.encoder) | {"documents": fresh}
-            same = old and all(old_manifest.get(k) == v for k, v in VERSIONS.items()) and len(old_manifest["segments"]) < generation.MOST_SEGMENTS
+            tables = build.tables(fresh, self.encoder, self.tokenizer) | {"documents": fresh}
+            same = old and all(old_manifest.get(k) == v for k, v in self.versions.items()) and len(old_manifest["segments"]) < generation.MOST_SEGMENTS
             if old and not same:  # everything as one segment again
                 gone = fresh.select("document_id")
                 tables = {k: old[k].join(gone, "document_id", "left_anti").unionByName(v) if k in old else v for k, v in tables.items()}
-            generation.publish(self.directory, tables, old_manifest if same else None, build.stats, dimension=len(self.encoder(["x"])[0]), **VERSIONS)
+            generation.publish(self.directory, tables, old_manifest if same else None, build.stats, dimension=len(self.encoder(["x"])[0]), **self.versions)
             self._loaded = None
         return {"seen": seen, "indexed": n, "skipped": seen - n}
 
@@ -105,6 +109,28 @@ class Engine:
     def _numbers(self) -> DataFrame:
         return build.stats_row(self.spark, self.manifest["stats"])
 
+    def encode_again(self) -> int:
+        """New vectors for all stored passages, as with another encoder; the number of them."""
+        m, old = generation.load(self.spark, self.directory)
+        tables = {k: v for k, v in old.items() if k != "vectors"} | {"vectors": build.vectors(old["passages"], old["documents"], self.encoder)}
+        new = generation.publish(self.directory, tables, None, build.stats, dimension=len(self.encoder(["x"])[0]), **{k: m[k] for k in VERSIONS})
+        self._loaded = None
+        return new["counts"]["vectors"]
+
+    def evaluate(self, queries: dict[int, str], qrels: DataFrame, rankings: tuple[str, ...] = ("bm25f", "dense", "hybrid", "rerank"), limit: int = 20) -> list[dict[str, object]]:
+        """Per ranking: reciprocal rank, recall and first hits against (query_id, url), and mean seconds of a query."""
+        out = []
+        for how in rankings:
+            rows, began = [], time.perf_counter()
+            for q, text in queries.items():
+                rows += [(q, k, card["url"]) for k, card in enumerate(self.search_documents(text, how, limit), 1)]
+            took = time.perf_counter() - began
+            runs = self.spark.createDataFrame(rows, "query_id long, rank int, url string")
+            first = evaluate.first_hits(runs, qrels)
+            figures = {k: v for f in (evaluate.mrr, evaluate.recall, evaluate.top1) for k, v in f(first).first().asDict().items()}
+            out.append({"ranking": how, **figures, "seconds": round(took / max(len(queries), 1), 3)})
+        return out
+
     def warm_up(self) -> None:
         """Load the index and the encoder and run a search of each kind, so that the first question does not wait for it."""
         for how in RANKINGS:
@@ -120,7 +146,7 @@ class Engine:
     # ---- rankings ----
 
     def _sparse(self, query: str, side: int) -> DataFrame:
-        return ranking.top(ranking.bm25f_of_index(self._numbers(), self.tables["postings"], {1: query}), side)
+        return ranking.top(ranking.bm25f_of_index(self._numbers(), self.tables["postings"], {1: query}, self.tokenizer), side)
 
     def _vectors(self, query: str, side: int, once: bool = False) -> DataFrame:
         return dense.scores(self.tables["vectors"], {1: self.encoder([T.normalize(query)])[0]}, ["document_id", "chunk_index"], side, once=once)
@@ -134,11 +160,11 @@ class Engine:
             raise ValueError(f"unknown ranking {how!r}")
         if limit <= 0 or candidates <= 0:
             raise ValueError("limits must be positive")
-        if not query_terms(query):
+        if not query_terms(query, self.tokenizer):
             return self.spark.createDataFrame([], "query_id int, rank int, document_id long, score double")
         side = fusion.candidates(limit)
         if how == "phrase":
-            return ranking.top(ranking.phrase_of_postings(self.tables["postings"], {1: query}).withColumn("score", F.lit(0.0)), limit)
+            return ranking.top(ranking.phrase_of_postings(self.tables["postings"], {1: query}, self.tokenizer).withColumn("score", F.lit(0.0)), limit)
         if how == "bm25f":
             return self._sparse(query, limit)
         if how == "dense":
@@ -153,7 +179,7 @@ class Engine:
         if content_limit < 0:
             raise ValueError("content_limit must not be negative")
         hits = self.rank(query, how, limit, alpha, candidates)
-        terms = F.array(*[F.lit(t) for t in query_terms(query)]).cast("array<string>")
+        terms = F.array(*[F.lit(t) for t in query_terms(query, self.tokenizer)]).cast("array<string>")
         day = T.published_date(F.coalesce("text", F.lit("")), F.coalesce("url", F.lit("")))
         rows = self.tables["documents"].join(F.broadcast(hits.select("rank", "document_id")), "document_id")  # limit rows
         columns = ["rank", "title_norm", "url", T.snippet(F.col("text_norm"), terms).alias("snippet"), day.alias("day"), F.length("text_norm").alias("n"), F.substring("text_norm", 1, max(content_limit, 1)).alias("content"), F.when(F.length("text_norm") <= content_limit, F.col("content_html")).alias("html")]
@@ -171,11 +197,11 @@ class Engine:
 
     def search_passages(self, query: str, limit: int = 8, alpha: float = fusion.ALPHA, candidates: int = rerank.SCORE_LIMIT) -> list[dict[str, str]]:
         """Cards of reranked passages with the structure they came from."""
-        terms = query_terms(query)
+        terms = query_terms(query, self.tokenizer)
         if not terms:
             return []
         side = fusion.candidates(limit)
-        sparse = dense.ranked(passages.passage_bm25_of_index(self._numbers(), self.tables["passage_postings"], {1: query}), side)
+        sparse = dense.ranked(passages.passage_bm25_of_index(self._numbers(), self.tables["passage_postings"], {1: query}, self.tokenizer), side)
         both = fusion.fuse(sparse, dense.ranked(self._vectors(query, side), side), max(limit, candidates), alpha, ("document_id", "chunk_index"))
         docs = self.tables["documents"].select("document_id", "url", "title_norm", "content_html", T.published_date(F.coalesce("text", F.lit("")), F.coalesce("url", F.lit(""))).alias("day"))
         rows = self.tables["passages"].join(F.broadcast(both), ["document_id", "chunk_index"]).join(docs, "document_id").toPandas()  # candidates rows
@@ -198,7 +224,7 @@ class Engine:
 
     def collection(self, query: str, hits: int = 24, limit: int = 8) -> list[dict[str, str]]:
         """Cards of whole tables in the documents that a query finds."""
-        terms = query_terms(query)
+        terms = query_terms(query, self.tokenizer)
         if not terms:
             return []
         docs = self.tables["documents"].join(F.broadcast(self.rank(query, "hybrid", hits).select("rank", "document_id")), "document_id")  # hits rows

@@ -1,12 +1,14 @@
 """Tokens with character positions, by code-point classes over whole batches.
 
 Mode `default` takes maximal runs of Han and maximal runs of other letters, marks and digits; mode `search` cuts a Han
-run into overlapping pairs (a lone Han stays alone). Model tokens are single Han and the other runs.
+run into overlapping pairs (a lone Han stays alone). Model tokens are single Han and the other runs. A mode can also be a
+word segmenter, a function that cuts a run of Han into words.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -14,6 +16,8 @@ import numpy as np
 from .text import STOPWORDS, normalize
 
 MODES = ("default", "search", "model")
+#: Cuts a run of Han into words, which together are the run.
+Segmenter = Callable[[str], Iterable[str]]
 
 
 @lru_cache(maxsize=1)
@@ -24,12 +28,31 @@ def classes() -> np.ndarray:
     return kind
 
 
-def spans(texts: list[str], mode: str = "search") -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
+def segmented(flat: str, start: np.ndarray, end: np.ndarray, segmenter: Segmenter) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of some runs; each distinct run is cut once."""
+    known: dict[str, list[int]] = {}
+    a: list[int] = []
+    b: list[int] = []
+    for s, e in zip(start.tolist(), end.tolist(), strict=True):
+        run = flat[s:e]
+        sizes = known.get(run)
+        if sizes is None:
+            sizes = known[run] = [len(w) for w in segmenter(run) if w]
+            if sum(sizes) != len(run):
+                raise ValueError(f"the words of {run!r} do not make it up")
+        for n in sizes:
+            a.append(s)
+            s += n
+            b.append(s)
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def spans(texts: list[str], mode: str | Segmenter = "search") -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
     """Text number, start and end of every token in the line-joined texts, in order, and the joined text.
 
     Starts and ends are places in the joined text.
     """
-    if mode not in MODES:
+    if not callable(mode) and mode not in MODES:
         raise ValueError(f"tokenizer mode {mode!r} is none of {MODES}")
     flat = "\n".join(texts) + "\n"
     kind = classes()[np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -45,6 +68,8 @@ def spans(texts: list[str], mode: str = "search") -> tuple[np.ndarray, np.ndarra
         b = a + 1 + (next_[a] == 1)
     else:
         a, b = np.flatnonzero(han & (prev != 1)), np.flatnonzero(han & (next_ != 1)) + 1
+        if callable(mode):
+            a, b = segmented(flat, a, b, mode)
     start, end = np.concatenate((start, a)), np.concatenate((end, b))
     order = np.argsort(start, kind="stable")
     start, end = start[order], end[order]
@@ -52,13 +77,13 @@ def spans(texts: list[str], mode: str = "search") -> tuple[np.ndarray, np.ndarra
     return np.searchsorted(bounds, start, "right"), start, end, flat
 
 
-def tokenize_with_positions(text: str, mode: str = "default") -> list[tuple[str, int]]:
+def tokenize_with_positions(text: str, mode: str | Segmenter = "default") -> list[tuple[str, int]]:
     """(token, character start) of the tokens of one text, without stop words."""
     _, start, end, flat = spans([text], mode)
     pairs = ((flat[a:b], a) for a, b in zip(start.tolist(), end.tolist(), strict=True))
     return [(t, a) for t, a in pairs if t.casefold() not in STOPWORDS]
 
 
-def query_terms(query: str) -> list[str]:
+def query_terms(query: str, mode: str | Segmenter = "search") -> list[str]:
     """Distinct search tokens of a query in order of first occurrence."""
-    return list(dict.fromkeys(t for t, _ in tokenize_with_positions(normalize(query), "search")))
+    return list(dict.fromkeys(t for t, _ in tokenize_with_positions(normalize(query), mode)))

@@ -8,21 +8,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tokens import Segmenter
 from ..sources.staging import stage
 from . import index, passages
 
 Encoder = Callable[[list[str]], list[list[float]]]
 
 
-def tables(documents: DataFrame, encode: Encoder | None = None) -> dict[str, DataFrame]:
+def tables(documents: DataFrame, encode: Encoder | None = None, mode: str | Segmenter = "search") -> dict[str, DataFrame]:
     """ids, lengths, postings, passages, passage_postings[, vectors] of documents (document_id, title_norm, text_norm, ..).
 
     Documents are tokenised once for the documents' index and once for the passages'. `encode` turns a list of texts into
     vectors, a batch at a time; a passage is encoded with its title before it.
     """
-    rows = stage(index.indexed(documents), "index-rows")
-    cut = stage(passages.passage_terms(documents, None), "passage-rows")
-    texts = passages.passages(documents)
+    rows = stage(index.indexed(documents, mode=mode), "index-rows")
+    cut = stage(passages.passage_terms(documents, None, mode=mode), "passage-rows")
+    texts = stage(passages.passages(documents), "passages")
     out = {
         "ids": documents.select("document_id"),
         "lengths": index.lengths(rows),
@@ -31,15 +32,18 @@ def tables(documents: DataFrame, encode: Encoder | None = None) -> dict[str, Dat
         "passage_sizes": cut.select("document_id", "chunk_index", "size"),
         "passage_postings": passages.stored_passage_postings(cut),
     }
-    if encode is not None:
+    return out | ({"vectors": vectors(texts, documents, encode)} if encode is not None else {})
 
-        def vectors(batches):
-            for b in batches:
-                yield pa.record_batch({"document_id": b.column(0), "chunk_index": b.column(1), "embedding": pa.array(encode(b.column(2).to_pylist()), pa.list_(pa.float32()))})
 
-        titled = texts.join(documents.select("document_id", "title_norm"), "document_id").select("document_id", "chunk_index", F.concat_ws("\n", "title_norm", "text").alias("t"))
-        out["vectors"] = titled.mapInArrow(vectors, "document_id long, chunk_index int, embedding array<float>")
-    return out
+def vectors(texts: DataFrame, documents: DataFrame, encode: Encoder) -> DataFrame:
+    """(document_id, chunk_index, embedding) of passages, each encoded with the title of its document before it."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.record_batch({"document_id": b.column(0), "chunk_index": b.column(1), "embedding": pa.array(encode(b.column(2).to_pylist()), pa.list_(pa.float32()))})
+
+    titled = texts.join(documents.select("document_id", "title_norm"), "document_id").select("document_id", "chunk_index", F.concat_ws("\n", "title_norm", "text").alias("t"))
+    return titled.mapInArrow(run, "document_id long, chunk_index int, embedding array<float>")
 
 
 def stats(merged: dict[str, DataFrame]) -> dict[str, float]:

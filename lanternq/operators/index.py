@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS
-from ..functions.tokens import spans
+from ..functions.tokens import Segmenter, spans
 from ..sources.staging import spread
 
 TERM = pa.struct([("term", pa.string()), ("field", pa.int8()), ("positions", pa.list_(pa.int32()))])
@@ -19,7 +19,7 @@ SCHEMA = "document_id long, title_len long, text_len long, terms array<struct<te
 CHUNK = 1_000_000
 
 
-def _rows(ids: pa.Array, titles: list[str], texts: list[str], mode: str, only: frozenset[str] | None) -> pa.RecordBatch:
+def _rows(ids: pa.Array, titles: list[str], texts: list[str], mode: str | Segmenter, only: frozenset[str] | None) -> pa.RecordBatch:
     both = [x for pair in zip(titles, texts, strict=True) for x in pair]
     of, start, end, flat = spans(both, mode)
     words = [flat[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
@@ -43,7 +43,7 @@ def _rows(ids: pa.Array, titles: list[str], texts: list[str], mode: str, only: f
     return pa.record_batch({"document_id": ids, "title_len": size[:, 0].astype(np.int64), "text_len": size[:, 1].astype(np.int64), "terms": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), terms)})
 
 
-def indexed(df: DataFrame, key: str = "document_id", title: str = "title_norm", text: str = "text_norm", mode: str = "search", terms: list[str] | None = None) -> DataFrame:
+def indexed(df: DataFrame, key: str = "document_id", title: str = "title_norm", text: str = "text_norm", mode: str | Segmenter = "search", terms: list[str] | None = None) -> DataFrame:
     """(document_id, title_len, text_len, terms): the index rows of normalised documents; nulls count as empty.
 
     With `terms`, only their postings are kept, while lengths still count every token.

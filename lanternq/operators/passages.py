@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS
-from ..functions.tokens import spans
+from ..functions.tokens import Segmenter, spans
 from ..sources.staging import spread, stage
 from .ranking import DIGITS, terms_of, wanted
 
@@ -58,7 +58,7 @@ def passages(df: DataFrame, key: str = "document_id", title: str = "title_norm",
     return spread(df.select(F.col(key).cast("long").alias("document_id"), title, text)).mapInArrow(run, "document_id long, chunk_index int, start int, end int, tokens int, text string")
 
 
-def passage_terms(df: DataFrame, terms: list[str] | None, key: str = "document_id", title: str = "title_norm", text: str = "text_norm", max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
+def passage_terms(df: DataFrame, terms: list[str] | None, key: str = "document_id", title: str = "title_norm", text: str = "text_norm", max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP, mode: str | Segmenter = "search") -> DataFrame:
     """(document_id, chunk_index, size, hits array<struct<term, tf0, tf1>>): search tokens of each passage with its title.
 
     With terms None all tokens are kept, else only these; size counts every token.
@@ -73,9 +73,9 @@ def passage_terms(df: DataFrame, terms: list[str] | None, key: str = "document_i
                 where = cut(h, t, max_tokens, overlap)
                 if not where:
                     continue
-                _, a0, b0, f0 = spans([h], "search")
+                _, a0, b0, f0 = spans([h], mode)
                 head = [w for w in (f0[a:b] for a, b in zip(a0.tolist(), b0.tolist(), strict=True)) if w not in STOPWORDS]
-                _, a1, b1, f1 = spans([t], "search")
+                _, a1, b1, f1 = spans([t], mode)
                 body = [f1[a:b] for a, b in zip(a1.tolist(), b1.tolist(), strict=True)]
                 keep = np.fromiter((w not in STOPWORDS for w in body), bool, len(body))
                 for k, (s, e, _) in enumerate(where):
@@ -106,18 +106,18 @@ def passage_stats(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("rows"), F.avg("size").alias("mean"))
 
 
-def passage_bm25(df: DataFrame, queries: dict[int, str], **options) -> DataFrame:
+def passage_bm25(df: DataFrame, queries: dict[int, str], mode: str | Segmenter = "search", **options) -> DataFrame:
     """(query_id, document_id, chunk_index, score) over texts without a stored index."""
-    rows = stage(passage_terms(df, [t for _, t in terms_of(queries)], **options), "passage-terms")  # read for statistics and for hits
-    return passage_bm25_of_index(passage_stats(rows), stored_passage_postings(rows.filter(F.size("hits") > 0)), queries)
+    rows = stage(passage_terms(df, [t for _, t in terms_of(queries, mode)], mode=mode, **options), "passage-terms")  # read for statistics and for hits
+    return passage_bm25_of_index(passage_stats(rows), stored_passage_postings(rows.filter(F.size("hits") > 0)), queries, mode)
 
 
-def passage_bm25_of_index(stats: DataFrame, stored: DataFrame, queries: dict[int, str]) -> DataFrame:
+def passage_bm25_of_index(stats: DataFrame, stored: DataFrame, queries: dict[int, str], mode: str | Segmenter = "search") -> DataFrame:
     """(query_id, document_id, chunk_index, score): passages that hold a query term, by two-field BM25 with a least idf.
 
     stats is one row (rows, mean); of the stored postings only those of the query terms are read.
     """
-    pairs = terms_of(queries)
+    pairs = terms_of(queries, mode)
     words = stored.sparkSession.createDataFrame(pairs, "query_id int, term string")
     hits = wanted(stored, words.select("term").distinct(), sorted({t for _, t in pairs}))
     found = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

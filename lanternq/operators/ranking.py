@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize
-from ..functions.tokens import query_terms, tokenize_with_positions
+from ..functions.tokens import Segmenter, query_terms, tokenize_with_positions
 from ..sources.staging import stage
 from .index import corpus_stats, indexed, postings, stored_postings
 
@@ -28,19 +28,19 @@ def top(scored: DataFrame, limit: int, *order: Column, key: str = "document_id")
     return scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= limit)
 
 
-def terms_of(queries: dict[int, str]) -> list[tuple[int, str]]:
-    return [(q, t) for q, text in queries.items() for t in query_terms(text)]
+def terms_of(queries: dict[int, str], mode: str | Segmenter = "search") -> list[tuple[int, str]]:
+    return [(q, t) for q, text in queries.items() for t in query_terms(text, mode)]
 
 
-def bm25f(df: DataFrame, queries: dict[int, str], mode: str = "search") -> DataFrame:
+def bm25f(df: DataFrame, queries: dict[int, str], mode: str | Segmenter = "search") -> DataFrame:
     """(query_id, document_id, score) of all documents that hold a query term; df has document_id, title_norm, text_norm.
 
     For texts without a stored index. Only the postings of query terms leave the scan, so what is shuffled is the matches
     and not the corpus.
     """
-    words = [t for _, t in terms_of(queries)]
+    words = [t for _, t in terms_of(queries, mode)]
     index = stage(indexed(df, mode=mode, terms=words), "matches")  # read for lengths and for hits
-    return scored_bm25f(corpus_stats(index), stored_postings(index.filter(F.size("terms") > 0)), queries)
+    return scored_bm25f(corpus_stats(index), stored_postings(index.filter(F.size("terms") > 0)), queries, mode)
 
 
 def wanted(stored: DataFrame, words: DataFrame, terms: list[str]) -> DataFrame:
@@ -49,14 +49,14 @@ def wanted(stored: DataFrame, words: DataFrame, terms: list[str]) -> DataFrame:
     return few.join(F.broadcast(words), "term") if len(terms) <= SCAN_TERMS else few.join(words, "term")
 
 
-def bm25f_of_index(stats: DataFrame, stored: DataFrame, queries: dict[int, str]) -> DataFrame:
+def bm25f_of_index(stats: DataFrame, stored: DataFrame, queries: dict[int, str], mode: str | Segmenter = "search") -> DataFrame:
     """The same over a stored index: one row of statistics, and the postings, of which only the query terms are read."""
-    return scored_bm25f(stats, stored, queries)
+    return scored_bm25f(stats, stored, queries, mode)
 
 
-def scored_bm25f(stats: DataFrame, stored: DataFrame, queries: dict[int, str]) -> DataFrame:
+def scored_bm25f(stats: DataFrame, stored: DataFrame, queries: dict[int, str], mode: str | Segmenter = "search") -> DataFrame:
     """Scores from one row (documents, title_tokens, text_tokens) and stored postings."""
-    pairs = terms_of(queries)
+    pairs = terms_of(queries, mode)
     words = stored.sparkSession.createDataFrame(pairs, "query_id int, term string")
     stats = stats.select("documents", (F.col("title_tokens") / F.col("documents")).alias("avg0"), (F.col("text_tokens") / F.col("documents")).alias("avg1"))
     terms = sorted({t for _, t in pairs})
@@ -75,7 +75,7 @@ def scored_bm25f(stats: DataFrame, stored: DataFrame, queries: dict[int, str]) -
     return scored.groupBy("query_id", "document_id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
 
 
-def phrase_search(df: DataFrame, phrases: dict[int, str], mode: str = "search") -> DataFrame:
+def phrase_search(df: DataFrame, phrases: dict[int, str], mode: str | Segmenter = "search") -> DataFrame:
     """(query_id, document_id): documents with the phrase in one field, every token at its place relative to the first.
 
     The shifted starts of all tokens of a phrase meet in one group; a group of all tokens is an occurrence.
@@ -84,7 +84,7 @@ def phrase_search(df: DataFrame, phrases: dict[int, str], mode: str = "search")
     return phrase_of_postings(postings(indexed(df, mode=mode, terms=[r[1] for r in rows])), phrases, mode)
 
 
-def phrase_rows(phrases: dict[int, str], mode: str) -> list[tuple[int, str, int, int]]:
+def phrase_rows(phrases: dict[int, str], mode: str | Segmenter) -> list[tuple[int, str, int, int]]:
     """(query_id, term, shift, n) of every token of every phrase."""
     rows = []
     for q, text in phrases.items():
@@ -93,7 +93,7 @@ def phrase_rows(phrases: dict[int, str], mode: str) -> list[tuple[int, str, int,
     return rows
 
 
-def phrase_of_postings(stored: DataFrame, phrases: dict[int, str], mode: str = "search") -> DataFrame:
+def phrase_of_postings(stored: DataFrame, phrases: dict[int, str], mode: str | Segmenter = "search") -> DataFrame:
     """phrase_search over stored postings; the filter on term reaches the scan."""
     rows = phrase_rows(phrases, mode)
     words = stored.sparkSession.createDataFrame(rows, "query_id int, term string, shift int, n int")

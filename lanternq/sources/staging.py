@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import store
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; on a local master without one, a fresh temporary folder.
@@ -24,10 +26,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def staged_dir(spark: SparkSession) -> str:
+    """Where this application's staged tables stand in the shared folder."""
+    return f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete this application's staged tables. DataFrames that still read them cannot be used any more."""
+    store.delete(spark, staged_dir(spark))
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df once to the shared folder and return a scan of the written table."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{staged_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -94,3 +94,31 @@ def test_cli(engine, capsys):
             cli.main(["--index", engine.directory, *bad], engine)
     with pytest.raises(SystemExit):
         cli.main(["--index", "/nowhere", "stats"], engine)
+
+
+def pairs_and_rest(run):
+    return [run[:2], *run[2:]]
+
+
+def test_a_segmenter_takes_part(spark, tmp_path):
+    e = Engine(spark, str(tmp_path), tokenizer=pairs_and_rest)
+    e.build(spark.createDataFrame(ROWS, DOCS))
+    assert e.manifest["tokenizer_mode"] == "pairs_and_rest"
+    assert {r.term for r in e.tables["postings"].filter("document_id = 2 and field = 1").collect()} == {"获奖", "名", "单", "甲", "乙"}
+    assert e.search_documents("获奖", "bm25f")[0]["url"] == "http://a.example/2"
+    assert e.search_documents("奖名", "bm25f") == []
+
+
+def test_segments_hide_old_rows_and_are_written_as_one_at_last(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(generation, "MOST_SEGMENTS", 2)
+    e = Engine(spark, str(tmp_path))
+    for n, word in enumerate(("alpha", "beta", "gamma")):
+        e.build(spark.createDataFrame([(1, "http://a.example/1", "t", word, f"t{n}", None), ROWS[1]], DOCS))
+        assert e.stats()["documents"] == 2
+        assert len(e.manifest["segments"]) == (1, 2, 1)[n] and e.manifest["stats"]["documents"] == 2
+        hits = {w: len(e.search_documents(w, "bm25f")) for w in ("alpha", "beta", "gamma")}
+        assert hits == {w: int(w == word) for w in hits}
+    assert e.encode_again() == 2 and e.search_documents("gamma", "dense")
+    qrels = spark.createDataFrame([(1, "http://a.example/1")], "query_id long, url string")
+    got = e.evaluate({1: "gamma"}, qrels, ("bm25f",))[0]
+    assert got["mrr"] == got["recall"] == 1.0 and got["seconds"] > 0
