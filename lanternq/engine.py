@@ -54,6 +54,15 @@ def loaded_encoder(load: Callable[[], Callable[[list[str]], list[list[float]]]],
     return encode
 
 
+#: Hits up to which they are sent to the documents; more are joined by shuffle.
+SENT_HITS = 10_000
+
+
+def sent(hits: DataFrame, n: int) -> DataFrame:
+    """Hits, of which there are at most n, as a side of a join."""
+    return F.broadcast(hits) if n <= SENT_HITS else hits
+
+
 class Engine:
     """All operations of one index folder. Rankings take a limit; document rankings give cards in rank order."""
 
@@ -181,8 +190,17 @@ class Engine:
         hits = self.rank(query, how, limit, alpha, candidates)
         terms = F.array(*[F.lit(t) for t in query_terms(query, self.tokenizer)]).cast("array<string>")
         day = T.published_date(F.coalesce("text", F.lit("")), F.coalesce("url", F.lit("")))
-        rows = self.tables["documents"].join(F.broadcast(hits.select("rank", "document_id")), "document_id")  # limit rows
-        columns = ["rank", "title_norm", "url", T.snippet(F.col("text_norm"), terms).alias("snippet"), day.alias("day"), F.length("text_norm").alias("n"), F.substring("text_norm", 1, max(content_limit, 1)).alias("content"), F.when(F.length("text_norm") <= content_limit, F.col("content_html")).alias("html")]
+        hits = stage(hits.select("rank", "document_id"), "hits")
+        rows = self.tables["documents"].join(sent(hits, limit), "document_id")
+        snippet = T.snippet(F.col("text_norm"), terms)
+        if how in ("dense", "hybrid", "rerank"):  # the nearest passage, unless the text has a better place
+            near = dense.scores(self.tables["vectors"].join(sent(hits, limit).drop("rank"), "document_id", "left_semi"), {1: self.encoder([T.normalize(query)])[0]}, ["document_id", "chunk_index"], limit, once=True)
+            near = dense.best_per_document(near).select("document_id", "chunk_index")
+            near = self.tables["passages"].join(sent(near, limit), ["document_id", "chunk_index"]).select("document_id", T.snippet(F.col("text"), terms).alias("_near"))
+            rows = rows.join(near, "document_id", "left")
+            score = lambda x: F.coalesce(T.lexical_score(x, terms), F.lit(-1))
+            snippet = F.when(score(F.col("_near")) >= score(snippet), F.col("_near")).otherwise(snippet)
+        columns = ["rank", "title_norm", "url", snippet.alias("snippet"), day.alias("day"), F.length("text_norm").alias("n"), F.substring("text_norm", 1, max(content_limit, 1)).alias("content"), F.when(F.length("text_norm") <= content_limit, F.col("content_html")).alias("html")]
         cards = []
         for r in rows.select(*columns).orderBy("rank").collect():
             card = {"title": r.title_norm or r.url, "url": r.url, "snippet": r.snippet}
@@ -204,7 +222,7 @@ class Engine:
         sparse = dense.ranked(passages.passage_bm25_of_index(self._numbers(), self.tables["passage_postings"], {1: query}, self.tokenizer), side)
         both = fusion.fuse(sparse, dense.ranked(self._vectors(query, side), side), max(limit, candidates), alpha, ("document_id", "chunk_index"))
         docs = self.tables["documents"].select("document_id", "url", "title_norm", "content_html", T.published_date(F.coalesce("text", F.lit("")), F.coalesce("url", F.lit(""))).alias("day"))
-        rows = self.tables["passages"].join(F.broadcast(both), ["document_id", "chunk_index"]).join(docs, "document_id").toPandas()  # candidates rows
+        rows = self.tables["passages"].join(sent(both, max(limit, candidates)), ["document_id", "chunk_index"]).join(docs, "document_id").toPandas()  # candidates rows
         if rows.empty:
             return []
         query_norm = T.normalize(query)
@@ -227,7 +245,7 @@ class Engine:
         terms = query_terms(query, self.tokenizer)
         if not terms:
             return []
-        docs = self.tables["documents"].join(F.broadcast(self.rank(query, "hybrid", hits).select("rank", "document_id")), "document_id")  # hits rows
+        docs = self.tables["documents"].join(sent(self.rank(query, "hybrid", hits).select("rank", "document_id"), hits), "document_id")
         found = []
         for r in docs.select("rank", "document_id", "url", "title_norm", "content_html").orderBy("rank").collect():
             for c in dom.table_sections(r.content_html, terms):

@@ -36,13 +36,19 @@ def tables(documents: DataFrame, encode: Encoder | None = None, mode: str | Segm
 
 
 def vectors(texts: DataFrame, documents: DataFrame, encode: Encoder) -> DataFrame:
-    """(document_id, chunk_index, embedding) of passages, each encoded with the title of its document before it."""
+    """(document_id, chunk_index, embedding) of passages, each encoded with the title of its document before it.
+
+    A passage without its document is an error.
+    """
 
     def run(batches):
         for b in batches:
             yield pa.record_batch({"document_id": b.column(0), "chunk_index": b.column(1), "embedding": pa.array(encode(b.column(2).to_pylist()), pa.list_(pa.float32()))})
 
-    titled = texts.join(documents.select("document_id", "title_norm"), "document_id").select("document_id", "chunk_index", F.concat_ws("\n", "title_norm", "text").alias("t"))
+    of = documents.select("document_id", "title_norm", F.lit(1).alias("_here"))
+    titled = texts.join(of, "document_id", "left")
+    text = F.when(F.col("_here").isNull(), F.raise_error(F.concat(F.lit("a passage of no document: "), "document_id"))).otherwise(F.concat_ws("\n", "title_norm", "text"))
+    titled = titled.select("document_id", "chunk_index", text.alias("t"))
     return titled.mapInArrow(run, "document_id long, chunk_index int, embedding array<float>")
 
 

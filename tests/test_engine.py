@@ -78,6 +78,7 @@ def test_http(engine):
     try:
         got = json.load(urlopen(f"{base}/api/search?q={quote('ＶＣＲ')}&ranking=bm25f"))
         assert got["query"] == "vcr" and got["count"] == 1 == len(got["results"])
+        assert b"/api/search" in urlopen(f"{base}/").read()
         for bad, code in (("/api/search", 400), ("/api/search?q=x&ranking=phrase", 400), ("/api/search?q=x&limit=a", 400), ("/api/search?q=x&alpha=2", 400), ("/api/search?q=x&max_cycles=9", 400), ("/other", 404)):
             with pytest.raises(HTTPError) as e:
                 urlopen(base + bad)

@@ -141,3 +141,11 @@ def test_a_kept_crawl_retries_skips_and_fails(spark, tmp_path):
     stats, _ = crawl.crawl_into(spark, str(tmp_path), ["http://a.example/"], lambda u: (u, "<p>now"), retry_failed=True)
     assert stats["requeued_failed"] == 2 and stats["saved"] == 2
     assert crawl.crawl_into(spark, str(tmp_path / "none"), [], fetch, max_pages=0)[1] is None
+
+
+def test_the_container_with_most_text_is_the_content():
+    page = "<body><div><a href=/1>menu one</a> <a href=/2>menu two</a></div><div id=all><div>side note</div><div><p>" + "long text. " * 20 + "</p></div></div><div>foot</div></body>"
+    x = dom.extract(page, "http://a.example/")
+    assert x["text"] == ("long text. " * 20).strip()
+    spread = dom.extract("<div>one two</div><div>three four</div>", "http://a.example/")
+    assert spread["text"] == "one two three four" and dom.densest(dom.parse("")) is None

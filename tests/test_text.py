@@ -74,3 +74,19 @@ def test_snippets_of_many_occurrences(spark):
     assert "needle needle" in got[0].s and len(got[0].s) == 240 and [r.s for r in got[1:]] == ["short", ""]
     n = spark.range(1).select(T.sums(F.sequence(F.lit(1), F.lit(50)).cast("array<int>")).alias("x")).first().x
     assert n == [k * (k + 1) // 2 for k in range(1, 51)]
+
+
+def test_canonical_urls(spark):
+    from lanternq.functions import urls
+
+    pairs = {
+        "HTTP://A.Example:80": "http://a.example/",
+        "https://a.example:443/x/../y/./z?q=../k#f": "https://a.example/y/z?q=../k",
+        "http://a.example/a/b/..": "http://a.example/a/",
+        "http://a.example/../../c": "http://a.example/c",
+        "http://a.example/%e4%bd%A0%zz?x=%2f": "http://a.example/%E4%BD%A0%zz?x=%2F",
+        "http://a.example?x": "http://a.example?x",
+        "http://a.example/v1.2/..x": "http://a.example/v1.2/..x",
+    }
+    df = spark.createDataFrame([*pairs.items(), (None, None)], "u string, want string")
+    assert all(r.got == r.want for r in df.select("want", urls.canonical(F.col("u")).alias("got")).collect())
