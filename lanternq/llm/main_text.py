@@ -28,6 +28,8 @@ LONGEST_LESSON = 200_000
 #: Slots and sizes of its vectors; passes over the sample.
 WORD_SLOTS, WORD_DIM, PATH_SLOTS, PATH_DIM, HIDDEN, MEASURES = 1 << 14, 16, 1 << 10, 8, 24, 8
 EPOCHS, BATCH, RATE = 8, 24, 0.01
+#: Share of the pages whose articles are made strange while fitting.
+STRANGE = 0.05
 #: Lines in one padded batch of labelling; a longer page is a batch of its own.
 BATCH_LINES = 30_000
 
@@ -199,7 +201,7 @@ class Labeller:
         r = np.random.default_rng(seed)
         dim = WORD_DIM + PATH_DIM + MEASURES + 1
         f = lambda *shape, s: (r.standard_normal(shape) * s).astype(np.float32)
-        self.p = {"word": f(WORD_SLOTS, WORD_DIM, s=0.1), "path": f(PATH_SLOTS, PATH_DIM, s=0.1), "out": f(2 * HIDDEN, s=0.2), "bias": np.zeros(1, np.float32)}
+        self.p = {"word": f(WORD_SLOTS, WORD_DIM, s=0.001), "path": f(PATH_SLOTS, PATH_DIM, s=0.1), "out": f(2 * HIDDEN, s=0.2), "bias": np.zeros(1, np.float32)}
         for d in "lr":
             self.p |= {"x" + d: f(dim, 4 * HIDDEN, s=dim**-0.5), "h" + d: f(HIDDEN, 4 * HIDDEN, s=HIDDEN**-0.5), "b" + d: np.r_[np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)].astype(np.float32)}
 
@@ -290,6 +292,7 @@ class Labeller:
             for at in range(0, len(order), BATCH):
                 batch = [pages[i] for i in order[at : at + BATCH]]
                 batch = [(p | {"path_line": p["path_line"][:0], "path_slot": p["path_slot"][:0], "measures": p["measures"] * NO_LINK}) if r.random() < 0.5 else p for p in batch]
+                batch = [strange(p, r) if r.random() < STRANGE else p for p in batch]
                 y = np.concatenate([p["label"] for p in batch])
                 sizes = [len(p["label"]) for p in batch]
                 x = self.inputs(batch)
@@ -305,6 +308,17 @@ class Labeller:
         return self
 
 
+def strange(page: dict, r: np.random.Generator) -> dict:
+    """The page with the words of some lines of its article as words that stand nowhere else.
+
+    Menus and notices use few words that all pages have, so words never seen speak for the article; wrong decoding makes
+    such words too.
+    """
+    size = np.diff(np.r_[page["at"], len(page["words"])])
+    some = np.repeat((page["label"] == 0) & (r.random(len(size)) < r.choice([0.3, 1.0])), size)
+    return page | {"words": np.where(some, r.integers(0, WORD_SLOTS, len(some)), page["words"]).astype(np.int32)}
+
+
 NO_LINK = np.r_[np.ones(6), 0, 1].astype(np.float32)
 
 
