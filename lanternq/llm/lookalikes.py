@@ -29,6 +29,8 @@ TO_LATIN = dict(zip(map(ord, GREEK + CYRILLIC), GREEK_LATIN + CYRILLIC_LATIN, st
 
 #: Bits of the classes of code points.
 WIDE, KANA, ACCENT, HIDDEN, SPACE, HAN_FORM, LATIN, FOREIGN, JOINER, EMOJI = (1 << k for k in range(10))
+#: Faults that may have no other form.
+STAYING = np.uint16(ACCENT | HAN_FORM | FOREIGN)
 #: Names of the faults, by bit.
 FAULTS = {WIDE: "full-width", KANA: "half-width kana", ACCENT: "separate accent", HIDDEN: "invisible", SPACE: "space", HAN_FORM: "han form", FOREIGN: "look-alike letter"}
 
@@ -115,7 +117,8 @@ def checked(every: bool):
     """mapInArrow function: (key, text) -> (_id, bits, form) of the rows that hold a fault, or of all; each distinct value once.
 
     The form of every value is made; a value has a fault if it differs from its form and holds what a fault is made of.
-    Accents without a composed letter stay in the form, so they count without a difference.
+    Accents without a composed letter, radicals without a character and foreign letters without a Latin look-alike stay in
+    the form, so they count without a difference.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +128,7 @@ def checked(every: bool):
             forms = [consistent(v) for v in values]
             bits = faults(values)
             differs = np.fromiter((f != v for f, v in zip(forms, values, strict=True)), bool, len(values))
-            bits[~differs & (bits & ACCENT == 0)] = 0
+            bits[~differs] &= STAYING
             of = coded.indices.to_numpy(zero_copy_only=False)
             rows = (np.arange(len(of)) if every else np.flatnonzero(bits[of])) if len(values) else np.zeros(0, np.int64)
             yield pa.record_batch({"_id": batch.column(0).take(pa.array(rows)), "bits": bits[of[rows]].astype(np.int32), "form": pa.array([forms[k] for k in of[rows].tolist()], pa.string())})

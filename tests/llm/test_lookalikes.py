@@ -35,7 +35,8 @@ def test_forms():
 
 
 def test_every_row_gets_its_form(spark):
-    df = spark.createDataFrame([(1, "ＡＢＣ"), (2, "abc"), (3, "ABC"), (4, None), (5, "q̃")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "ＡＢＣ"), (2, "abc"), (3, "ABC"), (4, None), (5, "q̃"), (6, "cafθ")], "doc_id long, text string")
     got = {r.doc_id: (list(r.faults), r.form) for r in A.inconsistent(df, "doc_id", "text", True).collect()}
-    assert {k: v[1] for k, v in got.items()} == {1: "abc", 2: "abc", 3: "abc", 5: "q̃"}
+    assert {k: v[1] for k, v in got.items()} == {1: "abc", 2: "abc", 3: "abc", 5: "q̃", 6: "cafθ"}
+    assert got[6][0] == ["look-alike letter"]
     assert got[1][0] == ["full-width"] and got[2][0] == got[3][0] == [] and got[5][0] == ["separate accent"]
