@@ -212,7 +212,7 @@ def learner(total: pd.DataFrame):
             return none
         moved, uses = best[1] != signs, seen.sum(0) + seen.sum(1)
         often = 1 + np.argsort(-uses[1:])
-        often = often[np.cumsum(uses[often]) <= 0.95 * uses[1:].sum()]
+        often = often[(np.cumsum(uses[often]) <= 0.95 * uses[1:].sum()) & moved[often]]
         if uses[1:][moved[1:]].sum() < 0.5 * uses[1:].sum() or len(np.unique(best[1][often])) < ONE_TO_ONE * len(often):
             return none
         moved &= (best[1] > 0) & (uses >= LEAST_USES)
