@@ -58,6 +58,14 @@ def built_minimal_html(spark, d):
     return pages.extracted(built(spark, d)).select("doc_id", "content_html")
 
 
+def built_structured(spark, d):
+    """The structure around a passage that holds the names of all suppliers of a nation."""
+    names = _rows(table(spark, d, "supplier"), "s_nationkey", "s_suppkey", F.concat(F.lit(" "), "s_name")).withColumnRenamed("n_nationkey", "doc_id")
+    rows = built(spark, d).join(names.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", "left")
+    hits = rows.select(F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_index"), F.trim(F.coalesce("s_nationkey", F.lit(""))).alias("text"), "content_html")
+    return pages.structured_evidence(hits, TERMS)
+
+
 BASE = """WITH c AS (SELECT c_nationkey AS k, c_custkey, c_name, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
 s AS (SELECT s_nationkey AS k, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier WHERE s_nationkey IN (SELECT k FROM c)),
 m AS (SELECT k, max(n) AS n, string_agg('<tr><td>' || c_name || '</td><td>' || c_mktsegment || '</td><td>-</td></tr>', '' ORDER BY r) AS trs, string_agg(c_name || ' ' || c_mktsegment || ' -', ' ' ORDER BY r) AS words FROM c GROUP BY 1),
@@ -76,6 +84,7 @@ SQL = {
     "built_table_sections": BASE + f"v AS (SELECT doc_id, t AS \"table\", '{LABEL}' AS label, CAST(2 * n AS INTEGER) AS size, {sum(len(t) for t in TERMS if len(t) >= 2)} AS score FROM p CROSS JOIN (VALUES (0), (-1)) x(t)) SELECT * FROM v",
     "built_html_blocks": BASE + BLOCKS + "SELECT doc_id, CAST(block AS INTEGER) AS block, tag, text FROM b",
     "built_heading_paths": BASE + BLOCKS + "SELECT doc_id, CAST(block AS INTEGER) AS block, heading_path FROM b",
+    "built_structured": BASE + "v AS (SELECT doc_id AS document_id, 0 AS chunk_index, CASE WHEN ns > 0 THEN 'ul' ELSE 'passage' END AS scope, swords AS content, CASE WHEN ns > 0 THEN n_name || ' > suppliers' ELSE '' END AS heading_path FROM p) SELECT * FROM v",
     "built_page_text": BASE + f"v AS (SELECT doc_id, n_name AS title, n_name || ' {LABEL} name segment ' || cwords || ' suppliers ' || CASE WHEN swords = '' THEN '' ELSE swords || ' ' END || 'end of ' || n_name AS text FROM p) SELECT * FROM v",
     "built_minimal_html": BASE + f"v AS (SELECT doc_id, '<h1>' || n_name || '</h1><h2>{LABEL}</h2><table><tr><th>name</th><th>segment</th></tr>' || trs || '</table><h2>suppliers</h2><ul>' || lis || '</ul><p>end of ' || n_name || '</p>' AS content_html FROM p) SELECT * FROM v",
 }
