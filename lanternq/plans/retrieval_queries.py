@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.tokens import query_terms as terms
+from ..functions.tokens import spans
 from ..operators import dense, evaluate, fusion, pages, passages, ranking, rerank
 from ..sources.tables import table
 from . import sqlparts as S
@@ -215,12 +216,38 @@ Q1 = ", ".join(S.text(t) for t in terms(QUERIES[1]))
 SCORE = "list_sum(list_transform([{t}], lambda t: length(t) * ((length({x}) - length(replace({x}, t, ''))) // length(t))))"
 RUNS = "r AS (SELECT DISTINCT query_id, rank AS candidate FROM eval_runs WHERE rank IS NOT NULL), s AS (SELECT *, CASE WHEN query_id % 2 = 0 THEN 1e0 - ((candidate * 7) % 10) / 4000e0 ELSE 0.5e0 + ((candidate * 7) % 10) / 25e0 END AS score FROM r)"
 LOGIT = lambda x: f"ln(greatest(least({x}, 1e0 - 1e-7), 1e-7) / (1e0 - greatest(least({x}, 1e0 - 1e-7), 1e-7)))"
+#: Ranks of s(query_id, candidate, score) with saturated scores in the order of their candidates.
+PLATEAU = f"b AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM s), fl AS (SELECT *, best >= 0.99e0 AND best <= 1 AND score BETWEEN 0 AND 1 AND {LOGIT('best')} - {LOGIT('score')} <= 0.2e0 AS flat FROM b), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY flat DESC, CASE WHEN flat THEN candidate ELSE -score END, candidate) AS rank FROM fl)"
 FIRST = r"""WITH rel AS (SELECT DISTINCT query_id, regexp_replace(url, '#.*$', '') AS url FROM qrels WHERE url IS NOT NULL),
 h AS (SELECT query_id, min(rank) AS first FROM (SELECT query_id, rank, regexp_replace(url, '#.*$', '') AS url FROM eval_runs WHERE rank BETWEEN 1 AND 20) JOIN rel USING (query_id, url) GROUP BY 1),
 f AS (SELECT query_id, first FROM (SELECT DISTINCT query_id FROM rel) LEFT JOIN h USING (query_id)) """
 OUT = "SELECT * FROM out WHERE rank <= 20"
 RANKED = "SELECT CAST(query_id AS INTEGER) AS query_id, row_number() OVER ({by}) AS rank, {keys}, round(score, 6) AS score FROM {t} QUALIFY row_number() OVER ({by}) <= 20"
 
+def _windows(query: str) -> str:
+    """WITH-parts up to chosen(document_id, window, text): the windows for a query, of titles under 64 tokens."""
+    q = rerank.compact(T.normalize(query))
+    pairs, chars = sorted({q[i : i + 2] for i in range(len(q) - 1)}), sorted(set(q))
+    room = rerank.PAIR_TOKENS - rerank.SPECIALS - passages.FRAME_TOKENS - len(spans([T.normalize(query)], "model")[1])
+    held = lambda of: f"len(list_filter([{', '.join(S.text(x) for x in of)}], lambda x: contains(c, x)))"
+    return f"""WITH {CHUNKS.replace("376 -", f"{room} -")},
+wt AS (SELECT c.document_id, c.chunk_index AS k, CASE WHEN coalesce(text_norm, '') = '' OR stop = start THEN coalesce(title_norm, '') WHEN coalesce(title_norm, '') = '' THEN '' ELSE title_norm || chr(10) END || substr(coalesce(text_norm, ''), CAST(start + 1 AS BIGINT), CAST(stop - start AS BIGINT)) AS text FROM chunk c JOIN indexed_documents d USING (document_id)),
+wc AS (SELECT *, regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS c FROM wt),
+wp AS (SELECT document_id, k, text, contains(c, {S.text(q)}) AS whole, {held(pairs)} AS pairs, {held(chars)} AS chars FROM wc),
+wo AS (SELECT *, 2 * pairs + chars AS strength, row_number() OVER (PARTITION BY document_id ORDER BY whole DESC, pairs DESC, chars DESC, k) AS place FROM wp),
+wb AS (SELECT document_id, k AS bk, whole AS bwhole, strength AS bs FROM wo WHERE place = 1),
+far AS (SELECT wo.document_id, text, whole, pairs, chars FROM wo JOIN wb USING (document_id) WHERE NOT bwhole AND abs(k - bk) > 1 AND strength > 0 AND strength >= 0.8e0 * bs QUALIFY row_number() OVER (PARTITION BY wo.document_id ORDER BY place) = 1),
+chosen AS (SELECT document_id, 0 AS "window", text, whole, pairs, chars FROM wo WHERE place = 1 UNION ALL SELECT document_id, 1, text, whole, pairs, chars FROM far) """.replace("\\\\p", "\\p")
+
+
+def _lexical(q: int, query: str) -> str:
+    """The best lexical score of the windows of each document for a query, as a subquery."""
+    c = rerank.compact(T.normalize(query))
+    whole = 2 * len({c[i : i + 2] for i in range(len(c) - 1)}) + len(set(c)) + 1
+    return f"SELECT {q} AS query_id, document_id, max(score) AS score FROM ({_windows(query)} SELECT document_id, round((2 * pairs + chars + CAST(whole AS INTEGER)) / {whole}e0, 6) AS score FROM chosen) GROUP BY ALL"
+
+
+WINDOWS = _windows(QUERIES[1])
 SQL = {
     "index_build": f"WITH {CHUNKS}, p AS (SELECT DISTINCT term, document_id, field FROM tok) SELECT 'lengths' AS name, (SELECT count(*) FROM indexed_documents) AS rows UNION ALL SELECT 'postings', (SELECT count(*) FROM p) UNION ALL SELECT 'passages', (SELECT count(*) FROM chunk)",
     "passage_chunks": f"WITH {CHUNKS} SELECT document_id, chunk_index, start, stop, tokens FROM chunk",
@@ -234,9 +261,9 @@ SQL = {
     "hybrid_alpha0": f"WITH {S.bm25f(QUERIES)} " + RANKED.format(by=BY, keys="document_id", t="sparse"),
     "hybrid_alpha1": f"WITH {VEC} " + RANKED.format(by=BY, keys="document_id", t="dd"),
     "hybrid_passages": f"WITH {PASSAGE}, {VEC}, {_fused('psparse', 'dp', 'document_id, chunk_index', BYC, 0.23)} {OUT}",
-    "rerank_documents_lexical": None,
-    "rerank_windows": None,
-    "rerank_plateau": f"WITH {RUNS}, b AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM s), f AS (SELECT *, best >= 0.99e0 AND best <= 1 AND score BETWEEN 0 AND 1 AND {LOGIT('best')} - {LOGIT('score')} <= 0.2e0 AS flat FROM b) SELECT query_id, candidate, row_number() OVER (PARTITION BY query_id ORDER BY flat DESC, CASE WHEN flat THEN candidate ELSE -score END, candidate) AS rank FROM f",
+    "rerank_documents_lexical": f"WITH {S.bm25f(QUERIES)}, cd AS (SELECT query_id, document_id, row_number() OVER ({BY}) AS candidate FROM sparse QUALIFY row_number() OVER ({BY}) <= 50), lx AS ({' UNION ALL '.join(_lexical(q, t) for q, t in QUERIES.items())}), s AS (SELECT query_id, document_id, candidate, score FROM cd JOIN lx USING (query_id, document_id)), {PLATEAU} SELECT CAST(query_id AS INTEGER) AS query_id, rank, document_id, score FROM rk WHERE rank <= 20",
+    "rerank_windows": WINDOWS + "SELECT document_id, \"window\", text FROM chosen",
+    "rerank_plateau": f"WITH {RUNS}, {PLATEAU} SELECT query_id, candidate, rank FROM rk",
     "rerank_passages_capped": f"""WITH RECURSIVE {PASSAGE}, cd AS (SELECT *, row_number() OVER ({BYC}) AS candidate FROM psparse QUALIFY row_number() OVER ({BYC}) <= 50),
 o AS (SELECT query_id, cd.document_id, cd.chunk_index, cd.score, substr(text_norm, CAST(start + 1 AS BIGINT), CAST(stop - start AS BIGINT)) AS text, row_number() OVER (PARTITION BY query_id ORDER BY cd.score DESC, candidate) AS n FROM cd JOIN chunk USING (document_id, chunk_index) JOIN indexed_documents d USING (document_id)),
 f AS (SELECT query_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS document_id, 0 AS chunk_index, 0e0 AS score, false AS ok, CAST([] AS VARCHAR[]) AS texts, CAST([] AS BIGINT[]) AS docs FROM o GROUP BY 1
