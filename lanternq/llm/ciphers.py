@@ -30,6 +30,8 @@ SIGNS, LEAST_PAIRS, LEAST_SHARE, LEAST_LETTERS = 128, 300, 0.02, 20
 SAME_WORDS, ONE_TO_ONE = 0.7, 0.7
 #: Uses of a sign below which its letter stays unknown.
 LEAST_USES = 10
+#: Pairs that a task holds before it hands its counts on.
+HELD_PAIRS = 2_000_000
 #: Rounds of expectation-maximisation, and starts of it.
 ROUNDS, STARTS = 60, 8
 #: Nats a pair that decoded text may read worse than clean text, after all starts and after the first short one.
@@ -67,6 +69,12 @@ def pair_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.bincount(back, np.r_[counts[source], n]).astype(np.int64)
         held[source], counts[source] = key, n
 
+    def handed_on() -> Iterator[pa.RecordBatch]:
+        for s, key in held.items():
+            yield pa.record_batch({"source": pa.array([s] * len(key), pa.string()), "a": (key >> 32).astype(np.int32), "b": (key & 0xFFFFFFFF).astype(np.int32), "n": counts[s].astype(np.int64)})
+        held.clear()
+        counts.clear()
+
     for batch in batches:
         by: dict[str | None, list[str]] = {}
         for s, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -75,8 +83,9 @@ def pair_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, texts in by.items():
             if texts:
                 add(s, texts)
-    for s, key in held.items():
-        yield pa.record_batch({"source": pa.array([s] * len(key), pa.string()), "a": (key >> 32).astype(np.int32), "b": (key & 0xFFFFFFFF).astype(np.int32), "n": counts[s].astype(np.int64)})
+        if sum(map(len, held.values())) > HELD_PAIRS:
+            yield from handed_on()
+    yield from handed_on()
 
 
 def square(a: np.ndarray, b: np.ndarray, n: np.ndarray, of: np.ndarray) -> np.ndarray:

@@ -190,6 +190,18 @@ l AS (SELECT row, doc_id, site, unnest(string_split(text, chr(10))) AS line, gen
 f AS (SELECT *, regexp_replace(trim(regexp_replace(line, '[ \t\x{00A0}\x{3000}]+', ' ', 'g'), ' '), '[0-9]+', '#', 'g') AS form FROM l WHERE regexp_matches(line, '[^\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]')),
 many AS (SELECT site, form FROM f JOIN base USING (site) GROUP BY site, form, n_of HAVING count(DISTINCT row) >= 6 AND count(DISTINCT row) * 20 >= n_of),
 found AS (SELECT row, doc_id, line_no FROM f JOIN many USING (site, form)) """
+#: Similar pairs, by all shared substrings of five signs; classes of equal stripped texts; groups by what can be reached.
+COPIES = r"""WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(coalesce(title, '') || coalesce(text, ''), '[ \n\x{00A0}\x{3000}]', '', 'g') AS s FROM documents),
+a AS (SELECT doc_id, regexp_extract_all(s, '(?s).') AS c FROM t WHERE length(s) >= 5),
+g AS (SELECT DISTINCT doc_id, unnest([array_to_string(c[i:i + 4], '') FOR i IN range(1, len(c) - 3)]) AS h FROM a),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+sh AS (SELECT x.doc_id AS doc_id_a, y.doc_id AS doc_id_b, count(*) AS shared FROM g x JOIN g y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY 1, 2),
+p AS (SELECT doc_id_a, doc_id_b, shared / CAST(na.n + nb.n - shared AS DOUBLE) AS jaccard FROM sh JOIN n na ON na.doc_id = doc_id_a JOIN n nb ON nb.doc_id = doc_id_b WHERE shared >= 0.6e0 * (na.n + nb.n - shared)),
+m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS representative FROM t WHERE length(s) >= 5),
+rp AS (SELECT p.* FROM p JOIN m x ON x.doc_id = doc_id_a AND x.representative = doc_id_a JOIN m y ON y.doc_id = doc_id_b AND y.representative = doc_id_b),
+e AS (SELECT doc_id_a AS a, doc_id_b AS b FROM rp UNION ALL SELECT representative, doc_id FROM m WHERE doc_id <> representative),
+ee AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT DISTINCT a AS doc_id, a AS node FROM ee UNION SELECT r.doc_id, ee.b FROM r JOIN ee ON ee.a = r.node) """
 SIZES = r"""WITH s AS (SELECT source, CASE WHEN text IS NULL THEN 0 ELSE length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) + (length(text) - length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) + 3) // 4 END AS tokens FROM documents),
 p AS (SELECT m.source, target_share, max_repeats, coalesce(sum(tokens), 0) AS tokens FROM mix_targets m LEFT JOIN s USING (source) GROUP BY 1, 2, 3) """
 #: The whole draw a second time, by plain windows: sizes, plan, inclusion, ranks.
@@ -217,6 +229,10 @@ got AS (SELECT source, CAST(sum(tokens * copies) AS BIGINT) AS reached FROM mixt
 def oracle_sql() -> dict[str, str]:
     """SQL twins; the other queries are tested against brute force, round trips or held-out labels."""
     return {
+        "p2_found": COPIES + "SELECT doc_id_a, doc_id_b FROM p",
+        "p2_pairs": COPIES + "SELECT doc_id_a, doc_id_b, round(jaccard, 6) AS jaccard FROM rp",
+        "p2_members": COPIES + "SELECT doc_id, representative FROM m WHERE doc_id <> representative",
+        "p2_groups": COPIES + "SELECT r.doc_id, min(node) AS class_id, (SELECT count(*) FROM ee WHERE ee.a = r.doc_id) AS links FROM r GROUP BY r.doc_id",
         "p4_found": LINES + "SELECT doc_id, line_no FROM found",
         "p4_clean_text": LINES + "SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce((SELECT string_agg(x, chr(10) ORDER BY i) FROM (SELECT unnest(string_split(d.text, chr(10))) AS x, generate_subscripts(string_split(d.text, chr(10)), 1) AS i) WHERE i NOT IN (SELECT line_no FROM found WHERE found.row = d.row)), '') END AS text FROM d",
         "p5_found": TERMS + "SELECT term, mark FROM freq WHERE mark IS NOT NULL",
