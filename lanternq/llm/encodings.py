@@ -24,9 +24,9 @@ from ..sources.staging import spread, stage
 from . import ciphers
 from .codes import MAX_CP, codes_of, text_of
 
-#: Code pages that a text may be shown in by mistake, and that it may truly be in.
+#: Code pages that a text may be shown in by mistake, and that it may truly be in. euc_kr is a part of cp949.
 SINGLE = ["cp1252", "mac_roman", "cp1251", "koi8_r", "cp437", "cp1250", "cp850", "cp866", "iso8859_5", "cp874", "cp1253", "cp1254"]
-DOUBLE = ["gb18030", "cp950", "cp949", "cp932", "euc_jp", "euc_kr", "big5hkscs"]
+DOUBLE = ["gb18030", "cp950", "cp949", "cp932", "euc_jp", "big5hkscs"]
 #: Fixed values: (true, shown) pairs besides UTF-8 shown in each of the pages above.
 PAIRS = [
     *(("gb18030", x) for x in ["cp1252", "mac_roman", "cp1251", "cp437", "cp1250", "koi8_r", "cp850", "cp950", "cp949", "cp932", "euc_jp"]),
@@ -328,26 +328,31 @@ class Pieces:
         begin, after, letters, code = utf8_runs(byte)
         if not len(begin):
             return
-        chancy = self.page in DOUBLE or self.page in CYRILLIC
-        long = begin[letters >= (3 if chancy else 1)]
+        double = self.page in DOUBLE
+        chancy = double or self.page in CYRILLIC
+        long = letters >= (3 if chancy else 1)
+        if chancy:
+            first = np.r_[0, np.cumsum(byte_lengths(self.page)[self.codes].astype(np.int64))] if double else np.arange(len(byte) + 1)
+            if first[-1] != len(byte):
+                return
+            a = np.searchsorted(first, begin)
+            b = np.searchsorted(first, after)  # the last byte may be shown together with the letter after it
+            stop = np.cumsum(letters)
+            old = self.total[self.at[b - 1] + 1] - self.total[self.at[a] - 1]
+            new = self.lm.between(code, stop - letters, stop, self.shown[self.at[a] - 1], self.shown[self.at[b - 1] + 1], old)
+            starts, ends_ = first[a] == begin, first[b] == after
+            if double:  # runs of whole letters are tried by themselves; others can only gain with the rest of their piece
+                long &= ~(starts & ends_) & (new > old)
         ends = np.flatnonzero(byte == 10)
-        pieces = np.unique(np.searchsorted(ends, long))
+        pieces = np.unique(np.searchsorted(ends, begin[long]))
         for j in pieces.tolist():
             text = undone(self.raw[ends[j - 1] + 1 if j else 0 : ends[j]], "utf-8", self.page)
             if text is not None:
                 yield k, j, int(self.start[j]), int(self.end[j]), text
         if not chancy:
             return
-        first = np.r_[0, np.cumsum(np.ones(len(self.codes), np.int64) if self.page in SINGLE else byte_lengths(self.page)[self.codes].astype(np.int64))]
-        if first[-1] != len(byte):
-            return
-        a = np.searchsorted(first, begin)
-        b = np.searchsorted(first, after)  # the last byte may be shown together with the letter after it
-        stop = np.cumsum(letters)
-        old = self.total[self.at[b - 1] + 1] - self.total[self.at[a] - 1]
-        new = self.lm.between(code, stop - letters, stop, self.shown[self.at[a] - 1], self.shown[self.at[b - 1] + 1], old)
-        new[first[b] != after] = 0.0  # not known without the letter that shares a byte
-        gain, own = np.where(first[a] == begin, new - old, 0.0), self.line[np.searchsorted(self.end, a)]
+        gain = np.where(starts, np.where(ends_, new, 0.0) - old, 0.0)  # not known without the letter that shares a byte
+        own = self.line[np.searchsorted(self.end, a)]
         for i in np.flatnonzero(self.enough(gain, own) | ((gain > 0) & np.isin(own, self.line[pieces]))).tolist():
             x, y = int(begin[i]), int(after[i])
             text = self.raw[x:y].decode("utf-8", "replace") + shown_text(self.raw[y : first[b[i]]], self.page)
